@@ -175,3 +175,37 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         last = tuple(column_of(batch, k)[batch.num_rows - 1].as_py() for k in keys)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of complete groups from a partition sorted by ``keys``; several small groups come together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.zeros(n, bool)
+        if n > 1:
+            for k in keys:
+                c = column_of(batch, k)
+                change[1:] |= np.asarray(pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False), bool)
+        change[0] = bool(held) and tuple(column_of(batch, k)[0].as_py() for k in keys) != last
+        cuts = np.flatnonzero(change)
+        last = tuple(column_of(batch, k)[n - 1].as_py() for k in keys)
+        if len(cuts):
+            cut = int(cuts[-1])
+            held.append(batch.slice(0, cut))
+            ready = pa.Table.from_batches(held)
+            if ready.num_rows:
+                yield ready
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def one_chunk(table: pa.Table, name: str) -> pa.Array:
+    c = table.column(name).combine_chunks()
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import common, fingerprint, langid, packing, tokenfile
+from ledgerloom.llm import common, fingerprint, langid, packing, suffix, tokenfile
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,13 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(common.documents(spark, sf_dir))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(common.documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op5_fingerprint, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op5_fingerprint, op7_suffix, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
