@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import common, fingerprint, langid, packing, suffix, tokenfile
+from ledgerloom.llm import common, fingerprint, langid, ngram_join, packing, suffix, tokenfile
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.encode(common.documents(spark, sf_dir))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(common.documents(spark, sf_dir))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(common.documents(spark, sf_dir))
 
@@ -27,5 +31,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op5_fingerprint, op7_suffix, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op3_ngram_join, op5_fingerprint, op7_suffix, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
