@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import common, fingerprint, langid, ngram_join, packing, suffix, tokenfile
+from ledgerloom.llm import common, decontaminate, fingerprint, langid, ngram_join, packing, suffix, tokenfile
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(common.documents(spark, sf_dir))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(common.documents(spark, sf_dir))
 
@@ -31,5 +35,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op3_ngram_join, op5_fingerprint, op7_suffix, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op3_ngram_join, op4_decontaminate, op5_fingerprint, op7_suffix, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
