@@ -100,6 +100,7 @@ def _fill(runs, gaps, length, rank, left, each, first, take, gap, capacity) -> i
 def place(cut: DataFrame, capacity: int) -> DataFrame:
     """Give each piece (with ``length`` and a key in ``doc_id, piece``) its sequence and its offset there."""
     spark = cut.sparkSession
+    cut = common.staged(cut, "packing-pieces")  # else the range sort's sample would tokenise everything once more
     spread = F.xxhash64("doc_id", "piece")
     ranked = common.staged(
         cut.withColumn("spread", spread).repartitionByRange("length", "spread").sortWithinPartitions("length", "spread").withColumn("part", F.spark_partition_id()),
