@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import common, decontaminate, fingerprint, langid, ngram_join, packing, suffix, tokenfile
+from ledgerloom.llm import common, decontaminate, fingerprint, langid, ngram_join, packing, quality, sharding, suffix, tokenfile
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +31,17 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(common.documents(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "score", "keep")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(common.documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op3_ngram_join, op4_decontaminate, op5_fingerprint, op7_suffix, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op3_ngram_join, op4_decontaminate, op5_fingerprint, op7_suffix, op8_quality, op9_sharding, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
