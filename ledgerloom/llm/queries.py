@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import common, decontaminate, fingerprint, langid, ngram_join, packing, quality, sharding, suffix, tokenfile
+from ledgerloom.llm import common, decontaminate, fingerprint, langid, ngram_join, packing, quality, secret_scan, sharding, suffix, tokenfile
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(common.documents(spark, sf_dir))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(common.documents(spark, sf_dir))
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(common.documents(spark, sf_dir))
 
@@ -43,5 +47,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op3_ngram_join, op4_decontaminate, op5_fingerprint, op7_suffix, op8_quality, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op3_ngram_join, op4_decontaminate, op5_fingerprint, op6_secrets, op7_suffix, op8_quality, op9_sharding, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
