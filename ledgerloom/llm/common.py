@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import documents, scratch_path, staged  # noqa: F401
+from ledgerloom.llm.scratch import discard, documents, scratch_path, staged  # noqa: F401
 
 #: Bytes of text that one numpy step works on; a longer document is worked on alone.
 STEP_BYTES = 1 << 20

@@ -37,3 +37,10 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Free the files of a staged table that nothing reads any more."""
+    path = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
+    if path:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)

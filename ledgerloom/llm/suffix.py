@@ -7,13 +7,15 @@ suffixes at anchors, about 2 in ``width - gram + 2`` positions, to miss no repea
 (``region``).
 
 Index family.  Documents come in batches.  Each batch's entries are sorted into a suffix array of its own, merge-scanned
-by key against every level of the family for entries seen before, and then put in as a level; levels of equal size are
-merged into one of double size, so there are never more than log2(batches) + 1 of them, and an entry is rewritten that
-often at most.  Scans yield the keys and the regions that occur more than once.
+by key against every level of the family for entries seen before, and then put in as a level; when the next batch comes,
+levels of equal size are merged into one of double size, so there are never more than log2(batches) + 1 of them, and an
+entry is rewritten that often at most.  Scans yield the keys and the regions that occur more than once.
 
-Judgement.  A region that occurs twice is repeated in whole.  Where only the key does (the edge of a repeated passage),
-the region's strings are compared one by one: their hashes meet by key, those of very frequent keys dealt further by
-hash, so that no group is large.  Last, each document drops the bytes that repeated strings cover.
+Judgement.  A region that occurs twice is repeated in whole.  Where only the key does (near the edge of a repeated
+passage), ``PROBES`` shorter strings around the anchor, one of which lies in any string of ``width`` bytes, tell whether
+a repeat is possible.  If so, the region's strings are compared one by one: their hashes meet by key, those of very
+frequent keys dealt further by hash, so that no group is large.  Last, each document drops the bytes that repeated
+strings cover.
 
 Defined results: a null text is empty; texts under ``width`` bytes stay whole; rows that repeat in full remove each
 other's text; matches don't cross documents; an empty table gives no rows; other columns are ignored.
@@ -34,19 +36,23 @@ WIDTH = 400
 #: Regions of one key that are compared in one group; more are dealt by the hashes of their strings.
 GROUP_REGIONS = 256
 
-_ANCHORS = "doc_id bigint, row_key bigint, start int, n int, key bigint, region bigint"
+#: Strings around an anchor that are looked up before the region's own are compared.
+PROBES = 4
+
+_ANCHORS = "row_key bigint, start int, n int, key bigint, region bigint, probes array<int>"
 
 
 def anchors(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Document, first string's start, number of strings, key and region of each anchor of some documents."""
+    """Document, first string's start, number of strings, key, region and probes of each anchor of some documents."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2 + (np.zeros((0, PROBES), np.int64),)
     n = len(data)
     if n < width:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2
+        return none
     prefix = common.prefix_hash(data)
     h = common.window_hash(prefix, gram)
+    reach = width - gram + 1
     bits = max(1, int(n).bit_length())
     packed = (h >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(h), dtype=np.uint64)
-    reach = width - gram + 1
     pad = np.full(-len(packed) % reach, np.iinfo(np.uint64).max, np.uint64)
     square = np.concatenate([packed, pad]).reshape(-1, reach)
     ahead = np.minimum.accumulate(square, axis=1).ravel()
@@ -61,7 +67,7 @@ def anchors(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np
     np.add.at(room, np.minimum(at[long] + lengths[long] - width + 1, m), -1)
     valid = np.flatnonzero(np.cumsum(room[:m]) > 0)
     if not len(valid):
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2
+        return none
     own = anchor[valid]
     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     a = valid[first]
@@ -69,7 +75,14 @@ def anchors(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np
     q = own[first]
     region = common.mixed(common.span_hash(prefix, a, b + width) + (q - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     doc = np.searchsorted(at, a, "right") - 1
-    return doc, a - at[doc], b - a + 1, h[q], region
+    # the strings that start step * j before the anchor or up to step - 1 earlier all hold the probe j
+    step = -(-reach // PROBES)
+    probes = np.zeros((len(q), PROBES), np.int64)
+    for j in range(PROBES):
+        s = q - step * j
+        some = np.flatnonzero((s >= a) & (s - step < b))  # a string of this kind may start in [a, b]
+        probes[some, j] = common.span_hash(prefix, s[some], s[some] + width - step + 1).view(np.int64) >> 32 | 1
+    return doc, a - at[doc], b - a + 1, h[q], region, probes
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -85,13 +98,14 @@ def anchor_table(keyed: DataFrame, width: int, gram: int) -> DataFrame:
             keys = common.column_of(batch, "row_key")
             data, at = common.utf8(common.column_of(batch, "text"))
             for first, last in common.steps(at):
-                doc, start, n, key, region = anchors(data[at[first] : at[last]], at[first : last + 1] - at[first], width, gram)
+                doc, start, n, key, region, probes = anchors(data[at[first] : at[last]], at[first : last + 1] - at[first], width, gram)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * PROBES), pa.array(probes.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(doc + first)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(region.view(np.int64))],
-                    names=["row_key", "start", "n", "key", "region"],
+                    [keys.take(pa.array(doc + first)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(region.view(np.int64)), lists],
+                    names=["row_key", "start", "n", "key", "region", "probes"],
                 )
 
-    return keyed.select("row_key", "text").mapInArrow(find, "row_key bigint, start int, n int, key bigint, region bigint")
+    return keyed.select("row_key", "text").mapInArrow(find, _ANCHORS)
 
 
 class IndexFamily:
@@ -104,6 +118,12 @@ class IndexFamily:
 
     def add(self, entries: DataFrame) -> None:
         """Scan a batch (``key, region, row_key``, a row for each anchor) against all levels, then take it in as a level."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, one), (_, other) = self.levels.pop(), self.levels.pop()
+            both = one.unionByName(other).groupBy("key", "region").agg(F.sum("n").alias("n"), F.min("speaker").alias("speaker")).sortWithinPartitions("key")
+            self.levels.append((2 * size, common.staged(both, "suffix-level")))
+            common.discard(one)
+            common.discard(other)
         batch = common.staged(entries.groupBy("key", "region").agg(F.count("*").alias("n"), F.min("row_key").alias("speaker")).sortWithinPartitions("key"), "suffix-level")
         merged = batch.withColumn("new", F.lit(True))
         for _, level in self.levels:
@@ -111,13 +131,7 @@ class IndexFamily:
         by_region = merged.repartition("key").groupBy("key", "region").agg(F.sum("n").alias("n"), F.min("speaker").alias("speaker"), F.max("new").alias("new"))
         by_key = by_region.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("regions"), F.max("new").alias("new"), F.collect_list(F.when((F.col("n") > 1) & F.col("new"), F.struct("region", "speaker"))).alias("whole"))
         self.repeated.append(common.staged(by_key.where((F.col("n") > 1) & F.col("new")).select("key", "regions", "whole"), "suffix-repeated"))
-        size, level = 1, batch
-        while self.levels and self.levels[-1][0] == size:
-            _, other = self.levels.pop()
-            both = level.unionByName(other).groupBy("key", "region").agg(F.sum("n").alias("n"), F.min("speaker").alias("speaker")).sortWithinPartitions("key")
-            level = common.staged(both, "suffix-level")
-            size *= 2
-        self.levels.append((size, level))
+        self.levels.append((1, batch))
 
     def found(self) -> tuple[DataFrame, DataFrame]:
         """Keys that occur more than once, with the number of their regions, and regions that do, with a document that has each."""
@@ -142,22 +156,31 @@ def _cut(data: np.ndarray, start: np.ndarray, n: np.ndarray, width: int) -> tupl
     return int(gone.sum()), runs, hashlib.sha256(data[~gone].tobytes()).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None, batches: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None, batches: int = 2) -> DataFrame:
     """Per document: its bytes, bytes and runs that repeated strings of ``width`` bytes cover, and the digest of the rest."""
-    gram = gram or width // 2
+    gram = gram or width * 3 // 10
     keyed = _keyed(docs)
-    found = common.staged(anchor_table(keyed, width, gram).withColumn("batch", F.pmod("row_key", F.lit(batches)).cast("int")), "suffix-anchors", "batch")
+    found = common.staged(anchor_table(keyed, width, gram).withColumn("batch", F.pmod("row_key", F.lit(batches)).cast("int")), "suffix-anchors")
     family = IndexFamily(docs.sparkSession)
     for k in range(batches):
         family.add(found.where(F.col("batch") == k).select("key", "region", "row_key"))
+    for _, level in family.levels:
+        common.discard(level)
     keys, regions = family.found()
 
-    again = found.select("row_key", "start", "n", "key", "region").join(keys, "key").join(regions, ["key", "region"], "left")
+    again = found.drop("batch").join(keys, "key").join(regions, ["key", "region"], "left")
+    again = common.staged(again, "suffix-again")
+    common.discard(found)
+    # of each region one document speaks for all: probes that occur in two regions of a key
+    speaking = again.where((F.col("regions") > 1) & (F.col("speaker").isNull() | (F.col("row_key") == F.col("speaker"))))
+    probes = speaking.select("key", "region", F.posexplode("probes").alias("j", "probe")).where("probe != 0")
+    live = probes.groupBy("key", "j", "probe").agg(F.min("region").alias("a"), F.max("region").alias("b")).where("a != b").select("key", "j", "probe")
+    open_regions = probes.join(live, ["key", "j", "probe"]).groupBy("key", "region").agg(F.lit(True).alias("open"))
     # 0: settled; above 0: to be compared with so many regions; below 0: settled, but the one that others are compared with
-    speaks = (F.col("row_key") == F.col("speaker")) & (F.col("regions") > 1)
-    state = F.when(F.col("speaker").isNull(), F.col("regions")).when(speaks, -F.col("regions")).otherwise(0)
-    mark = F.struct("start", "n", "key", state.cast("int").alias("regions"))
-    marks = again.groupBy("row_key").agg(F.collect_set(mark).alias("marks"))
+    mark = F.when(F.col("speaker").isNull(), F.col("regions")).when(F.col("row_key") == F.col("speaker"), -F.col("regions")).otherwise(0)
+    mark = F.when(F.col("open"), mark).when(F.col("speaker").isNotNull(), 0)  # null: not repeated
+    judged = again.drop("probes").join(open_regions, ["key", "region"], "left").withColumn("mark", mark.cast("int")).where("mark is not null")
+    marks = judged.groupBy("row_key").agg(F.collect_set(F.struct("start", "n", "key", F.col("mark").alias("regions"))).alias("marks"))
 
     def first_cut(rows):
         for batch in rows:
