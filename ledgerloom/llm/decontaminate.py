@@ -20,10 +20,13 @@ are each reported; items that are equal are each reported; empty tables give no
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm import common
 
@@ -154,50 +157,70 @@ def verify(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int
     return (0, exact, exact + len(item)) if exact >= 0 else align(item, text, most)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, q: int = Q) -> DataFrame:
-    """``doc_id, item_id, start, stop, edits`` for every benchmark item in a document."""
-    spark = docs.sparkSession
+def found_in(items: Items, data: np.ndarray, at: np.ndarray):
+    """Document, item, start, stop and edits of each item found in some documents."""
+    for first, last in common.steps(at):
+        part, begin = compared_form(data[at[first] : at[last]], at[first : last + 1] - at[first])
+        place, item, item_place = items.hits(part)
+        doc = np.searchsorted(begin, place, "right") - 1
+        inside = place + items.q <= begin[doc + 1]
+        place, item, item_place, doc = place[inside], item[inside], item_place[inside], doc[inside]
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for d, i, diagonal in _bands(items, place - begin[doc], doc, item, item_place):
+            if best.get((d, i), (1,))[0] == 0:
+                continue
+            k, n = int(items.edits[i]), len(items.text[i])
+            a, b = max(0, diagonal - k), min(int(begin[d + 1] - begin[d]), diagonal + 2 * (k + 1) + n + k)
+            got = verify(items.text[i], part[begin[d] + a : begin[d] + b], k)
+            if got and (got[0], a + got[1], a + got[2]) < best.get((d, i), (1 << 30,)):
+                best[d, i] = (got[0], a + got[1], a + got[2])
+        for (d, i), (edits, start, stop) in best.items():
+            yield first + d, items.ids[i], start, stop, edits
+
+
+def _slices(benchmark: DataFrame, budget: float, q: int):
+    """The items in broadcast parts of about ``BROADCAST_BYTES``."""
+    context = benchmark.sparkSession.sparkContext
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).collect()[0]["b"]
     slices = max(1, -(-size // BROADCAST_BYTES))
-    found = None
     for k in range(slices):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).select("item_id", "text").collect()  # about BROADCAST_BYTES
-        one = _find(docs, spark.sparkContext.broadcast((sorted((r["item_id"] is not None, r["item_id"] or 0, r["text"] or "") for r in rows), budget, q)))
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _find(docs: DataFrame, shared) -> DataFrame:
-    def scan(batches):
-        rows, budget, q = shared.value
-        items = Items([r[1] if r[0] else None for r in rows], [r[2] for r in rows], budget, q)
-        for batch in batches:
-            ids = common.column_of(batch, "doc_id")
-            data, at = common.utf8(common.column_of(batch, "text"))
-            out = []
-            for first, last in common.steps(at):
-                part, begin = compared_form(data[at[first] : at[last]], at[first : last + 1] - at[first])
-                place, item, item_place = items.hits(part)
-                doc = np.searchsorted(begin, place, "right") - 1
-                inside = place + items.q <= begin[doc + 1]
-                place, item, item_place, doc = place[inside], item[inside], item_place[inside], doc[inside]
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for d, i, diagonal in _bands(items, place - begin[doc], doc, item, item_place):
-                    if best.get((d, i), (1,))[0] == 0:
-                        continue
-                    k, n = int(items.edits[i]), len(items.text[i])
-                    a, b = max(0, diagonal - k), min(int(begin[d + 1] - begin[d]), diagonal + 2 * (k + 1) + n + k)
-                    got = verify(items.text[i], part[begin[d] + a : begin[d] + b], k)
-                    if got and (got[0], a + got[1], a + got[2]) < best.get((d, i), (1 << 30,)):
-                        best[d, i] = (got[0], a + got[1], a + got[2])
-                out += [(first + d, items.ids[i], s, e, edits) for (d, i), (edits, s, e) in best.items()]
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "item_id", "start", "stop", "edits"])
-
-    return docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(scan, "doc_id bigint, item_id bigint, start bigint, stop bigint, edits bigint")
+        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).select("item_id", "text").collect()
+        rows = sorted((r["item_id"] is not None, r["item_id"] or 0, r["text"] or "") for r in rows)
+        yield context.broadcast(([r[1] if r[0] else None for r in rows], [r[2] for r in rows], budget, q))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, q: int = Q) -> DataFrame:
+    """``doc_id, item_id, start, stop, edits`` for every benchmark item in a document."""
+
+    def scan(shared):
+        def work(batches):
+            items = Items(*shared.value)
+            for batch in batches:
+                out = list(found_in(items, *common.utf8(common.column_of(batch, "text"))))
+                cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
+                yield pa.RecordBatch.from_arrays([common.column_of(batch, "doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "item_id", "start", "stop", "edits"])
+
+        return docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(work, "doc_id bigint, item_id bigint, start bigint, stop bigint, edits bigint")
+
+    return functools.reduce(DataFrame.unionByName, map(scan, _slices(benchmark, budget, q)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, q: int = Q) -> DataFrame:
-    """The documents in which no benchmark item is found."""
-    hit = find(docs, benchmark, budget, q).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    """The documents in which no benchmark item is found, with all their columns."""
+
+    def holds(shared):
+        @F.arrow_udf(returnType=T.BooleanType())
+        def hit(text: pa.Array) -> pa.Array:
+            if shared not in _built:
+                _built.clear()
+                _built[shared] = Items(*shared.value)
+            out = np.zeros(len(text), bool)
+            out[[d for d, *_ in found_in(_built[shared], *common.utf8(text))]] = True
+            return pa.array(out)
+
+        return hit(common.text_or_empty())
+
+    _built: dict = {}
+    for shared in _slices(benchmark, budget, q):
+        docs = docs.where(~holds(shared))
+    return docs

@@ -285,3 +285,13 @@ def join(docs: DataFrame) -> DataFrame:
     named = named.join(least, "label", "left").select("sig_a", "sig_b", F.coalesce("class_id", "least_doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     ids = signed.select(F.when(F.col("row_id") != -1, F.col("row_id")).alias("doc_id"), "sig_a", "sig_b")
     return ids.join(named, ["sig_a", "sig_b"]).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each class, the one with the least doc_id, with all its columns.
+
+    Rows that repeat a doc_id, or have none, count as one document.
+    """
+    kept = join(docs).where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = common.staged(kept, "ngram-kept")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])

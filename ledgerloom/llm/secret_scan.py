@@ -287,7 +287,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark`` in ``text``; a null text stays null."""
+    """``docs`` with every span replaced by ``mark`` in ``text``, and ``n_chars`` to match; a null text stays null."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     @F.arrow_udf(returnType=T.StringType())
@@ -311,4 +311,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             rows[k] = new
         return pa.array(rows, pa.string())
 
-    return docs.withColumn("text", cleaned("text"))
+    if "n_chars" not in docs.columns:
+        return docs.withColumn("text", cleaned("text"))
+    new = docs.withColumn("_clean", cleaned("text"))
+    new = new.withColumn("n_chars", F.when(F.col("_clean") != F.col("text"), F.char_length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return new.withColumn("text", F.col("_clean")).drop("_clean")
