@@ -8,12 +8,13 @@ any store that Spark reaches; file ``part`` k holds only smaller doc_ids than fi
 ranks.  Decoding finds value lengths by table lookup on the control bytes, all values of a block at once in numpy.
 
 Defined results: a null text is an empty text and encodes to the end id alone; rows with the same doc_id are kept, in
-the order of their texts; an empty table gives an empty file set; other columns are ignored.
+the order of their ids' number and bytes; an empty table gives an empty file set; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +29,42 @@ BLOCK_TOKENS = 1 << 18
 _BLOCK = "part int, block int, doc_ids binary, counts binary, tokens bigint, control binary, data binary"
 
 
-def token_counts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def raw_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """Every document's plain ids, compressed: texts are tokenised once, for the counts and for the files."""
+
+    def encode(batches):
+        enc = tokens.encoder(tokenizer)
+        end = np.array([end_id], enc.dtype)
+        for batch in batches:
+            for first, texts in tokens.texts_of(common.column_of(batch, "text")):
+                got = [np.append(ids, end) for ids in enc.encode(texts)]
+                packed = [pa.compress(ids.tobytes(), "zstd", asbytes=True) for ids in got]
+                yield pa.RecordBatch.from_arrays([common.column_of(batch, "doc_id").slice(first, len(texts)), pa.array([len(ids) for ids in got], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "ids"])
+
+    return docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(encode, "doc_id bigint, n bigint, ids binary")
+
+
+def _plain(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[np.ndarray]:
+    for n, packed in zip(common.column_of(batch, "n").to_pylist(), common.column_of(batch, "ids"), strict=True):
+        yield np.frombuffer(pa.decompress(packed.as_buffer(), n * kind.itemsize, "zstd"), kind)
+
+
+def token_counts(raw: DataFrame, vocabulary: int) -> DataFrame:
     """How often each id occurs in all documents; one row for each id that does."""
 
     def count(batches):
-        enc = tokens.encoder(tokenizer)
-        total = np.zeros(enc.vocabulary, np.int64)
+        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for _, texts in tokens.texts_of(common.column_of(batch, "text")):
-                got = list(enc.encode(texts))
-                total += np.bincount(np.concatenate(got), minlength=len(total))
-                total[end_id] += len(texts)
+            for k in range(0, batch.num_rows, 256):
+                total += np.bincount(np.concatenate(list(_plain(batch.slice(k, 256), _raw_type(vocabulary)))), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["id", "n"])
 
-    return docs.select(common.text_or_empty().alias("text")).mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return raw.select("n", "ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _raw_type(vocabulary: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
 
 def ranks(counts: DataFrame) -> np.ndarray:
@@ -85,7 +107,9 @@ def unpack_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> None:
     """Encode all documents into token files under ``path``: ``path/ranks`` and ``path/blocks``."""
     spark = docs.sparkSession
-    order = ranks(token_counts(docs, tokenizer, end_id))
+    raw = common.staged(raw_ids(docs, tokenizer, end_id), "tokenfile-raw")
+    vocabulary = tokens.vocabulary_size(tokenizer)
+    order = ranks(token_counts(raw, vocabulary))
     spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(order)), pa.int32()), "id": pa.array(order, pa.int32())})).coalesce(1).write.parquet(f"{path}/ranks")
     shared = spark.sparkContext.broadcast(order)  # bounded by the vocabulary
 
@@ -93,10 +117,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        enc = tokens.encoder(tokenizer)
-        rank = np.zeros(enc.vocabulary, np.uint32)
+        rank = np.zeros(vocabulary, np.uint32)
         rank[shared.value] = np.arange(len(shared.value))
-        end = np.array([end_id], enc.dtype)
         ids, sizes, held, total = [], [], [], 0
 
         def block():
@@ -107,23 +129,20 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
             )
 
         for batch in batches:
-            docs_here = common.column_of(batch, "doc_id").to_pylist()
-            for first, texts in tokens.texts_of(common.column_of(batch, "text")):
-                for doc, got in zip(docs_here[first : first + len(texts)], enc.encode(texts), strict=True):
-                    ids.append(doc)
-                    sizes.append(len(got) + 1)
-                    held += [got, end]
-                    total += len(got) + 1
-                    if total >= BLOCK_TOKENS:
-                        yield block()
-                        number += 1
-                        ids, sizes, held, total = [], [], [], 0
+            for doc, got in zip(common.column_of(batch, "doc_id").to_pylist(), _plain(batch, _raw_type(vocabulary)), strict=True):
+                ids.append(doc)
+                sizes.append(len(got))
+                held.append(got)
+                total += len(got)
+                if total >= BLOCK_TOKENS:
+                    yield block()
+                    number += 1
+                    ids, sizes, held, total = [], [], [], 0
         if ids:
             yield block()
 
-    rows = docs.select("doc_id", common.text_or_empty().alias("text"))
-    in_order = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    in_order.mapInArrow(blocks, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    in_order = raw.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    in_order.mapInArrow(blocks, _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
