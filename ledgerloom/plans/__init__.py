@@ -1,5 +1,6 @@
 """Registered queries and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from ledgerloom.plans import dedup, serving  # noqa: F401
+from ledgerloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "res03_duplicate_groups"
