@@ -14,6 +14,16 @@ from ledgerloom.llm.scratch import discard, documents, scratch_path, staged  # n
 #: Bytes of text that one numpy step works on; a longer document is worked on alone.
 STEP_BYTES = 1 << 20
 
+#: Stands for a null doc_id where ids are sorted or packed.
+NO_ID = -(1 << 63)
+
+
+def ids_array(ids) -> pa.Array:
+    """Document ids as a column, ``NO_ID`` as null."""
+    values = np.asarray(ids, np.int64)
+    return pa.array(values, mask=values == NO_ID)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

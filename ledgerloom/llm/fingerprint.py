@@ -11,7 +11,8 @@ of each block travels to the block above as a guest too, so that every pair meet
 descending order, holding one text back.
 
 Defined results: a null text is empty; a text with no triplet has an all-zero digest and its length; rows with the same
-doc_id follow each other in the order of their texts; a lone document is its own successor; an empty table gives no rows;
+doc_id follow each other in the order of their texts; a lone document is its own successor; a null doc_id
+comes last; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -89,6 +90,7 @@ def with_successor(docs: DataFrame) -> DataFrame:
     """``block, guest, doc_id, text``: in each block, sorted by guest, doc_id descending and text, each row that isn't a guest is followed by its successor."""
     spark = docs.sparkSession
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias("doc_id"), "text")
     by_range = docs.select("doc_id").repartitionByRange(blocks, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("most"))
     bounds = np.array(sorted(r["most"] for r in by_range.collect()), np.int64)  # one number for each block
 
@@ -123,7 +125,7 @@ def compare(docs: DataFrame) -> DataFrame:
         if len(odd):
             nxt[odd] = fingerprint([nexts[k] for k in odd])
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(hexed(own)), pa.array(hexed(other)), pa.array(likeness(own, other)), pa.array(likeness(own, nxt))],
+            [common.ids_array(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(hexed(own)), pa.array(hexed(other)), pa.array(likeness(own, other)), pa.array(likeness(own, nxt))],
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 

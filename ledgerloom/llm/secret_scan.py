@@ -313,6 +313,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     if "n_chars" not in docs.columns:
         return docs.withColumn("text", cleaned("text"))
-    new = docs.withColumn("_clean", cleaned("text"))
-    new = new.withColumn("n_chars", F.when(F.col("_clean") != F.col("text"), F.char_length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return new.withColumn("text", F.col("_clean")).drop("_clean")
+    new = "_" * (1 + max(len(c) for c in docs.columns))  # a name that no column has
+    out = docs.withColumn(new, cleaned("text"))
+    out = out.withColumn("n_chars", F.when(F.col(new) != F.col("text"), F.char_length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("text", F.col(new)).drop(new)

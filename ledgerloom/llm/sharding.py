@@ -33,7 +33,11 @@ EVEN = 0.0005
 PULL_ROUNDS = 4
 EVEN_ROUNDS = 8
 
-_RUNNING = Window.partitionBy("to").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _running(shard: str):
+    """All buckets of a shard up to this one."""
+    return Window.partitionBy(shard).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _hash(*columns: str, of: int):
@@ -56,7 +60,7 @@ def pull_together(units: DataFrame, capacity: float, shards: int) -> DataFrame:
     asks = staged(asks, "sharding-asks")
     leaving = asks.groupBy("shard").agg(F.sum("bytes").alias("leaves"))
     room = _loads(units, shards).join(leaving, "shard", "left").select(F.col("shard").alias("to"), (capacity - F.col("load") + F.coalesce("leaves", F.lit(0))).alias("room"))
-    totals = asks.groupBy("to", "bucket").agg(F.sum("bytes").alias("b")).withColumn("running", F.sum("b").over(_RUNNING))
+    totals = asks.groupBy("to", "bucket").agg(F.sum("bytes").alias("b")).withColumn("running", F.sum("b").over(_running("to")))
     granted = totals.join(F.broadcast(room), "to").where("running <= room").select("to", "bucket")
     moves = asks.join(F.broadcast(granted), ["to", "bucket"]).select("text", "salt", "to")
     moved = units.join(moves, ["text", "salt"], "left")
@@ -78,8 +82,7 @@ def even_out(units: DataFrame, mean: float, shards: int, turn: int) -> DataFrame
     fit = fit.withColumn("bucket", F.pmod(F.xxhash64("text", "piece", F.lit(turn)), F.lit(BUCKETS)).cast("int"))
     fit = staged(fit.select("text", "piece", "shard", "b", "over", "bucket"), "sharding-fit")
     totals = fit.groupBy("shard", "bucket").agg(F.sum("b").alias("b"), F.first("over").alias("over"))
-    running = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    leave = totals.withColumn("running", F.sum("b").over(running)).where("running <= over")
+    leave = totals.withColumn("running", F.sum("b").over(_running("shard"))).where("running <= over")
     line = Window.orderBy("shard", "bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most shards x buckets rows
     leave = leave.withColumn("at", F.sum("b").over(line) - F.col("b") / 2)
     to = leave.join(F.broadcast(below), (F.col("at") >= F.col("from_")) & (F.col("at") < F.col("till"))).select("shard", "bucket", "to")

@@ -1,0 +1,458 @@
+"""Each operator against a brute-force version on a small corpus, and on odd and empty tables."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from ledgerloom.llm import components, decontaminate, fingerprint, langid, ngram_join, packing, quality, secret_scan, sharding, suffix, tokenfile, tokens
+
+ODD_ROWS = 18
+
+
+def library_ids(texts):
+    lib = tokens.encoder("byte_bpe_50k.json").library
+    return [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+# ---- 1 --------------------------------------------------------------------------------------------------------------
+def test_language_is_learned_and_held_out(spark):
+    r = random.Random(1)
+    words = {"aa": ["haus", "und", "nicht", "schule"], "bb": ["casa", "que", "pero", "niño"]}
+    rows = [(k, " ".join(r.choices(words[("aa", "bb")[k % 2]], k=12)), ("aa", "bb")[k % 2]) for k in range(200)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(x["lang_pred"] == rows[x["doc_id"]][2] and 0 <= x["score"] <= 1 for x in out)
+    assert {x["doc_id"] for x in out if x["held_out"]} == {k for k in range(200) if zlib.crc32(str(k).encode()) % 4 == 2}
+
+
+def test_language_of_odd_rows(odd, empty):
+    out = langid.identify(odd).collect()
+    assert len(out) == ODD_ROWS
+    by = {x["doc_id"]: x for x in out if x["doc_id"] not in (8, 9)}
+    assert all(by[k]["lang_pred"] == "und" and by[k]["score"] == 0 for k in (5, 6, 7, 17, 18))
+    assert by[15]["lang_pred"] == "en"
+    assert langid.identify(empty).count() == 0
+
+
+def test_grams_stay_inside_documents():
+    import pyarrow as pa
+
+    one = [k for _, _, kinds, _ in langid.gram_buckets(pa.array(["abc"])) for k in kinds]
+    two = [(kinds, start) for _, _, kinds, start in langid.gram_buckets(pa.array(["zzz", "abc"]))][0]
+    for a, b in zip(one, two[0], strict=True):
+        assert a[1:4].tolist() == b[two[1][1] + 1 : two[1][1] + 4].tolist()
+
+
+# ---- 2 --------------------------------------------------------------------------------------------------------------
+def test_token_files_round_trip(corpus, corpus_rows):
+    got = {x["doc_id"]: x for x in tokenfile.encode(corpus).collect()}
+    start = 0
+    for (doc_id, *_), ids in zip(corpus_rows, library_ids(t for _, t, *_ in corpus_rows), strict=True):
+        ids = ids + [0]
+        x = got[doc_id]
+        assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_token_files_of_odd_rows(odd, empty):
+    out = tokenfile.encode(odd).orderBy("start").collect()
+    assert len(out) == ODD_ROWS and out[0]["doc_id"] is None
+    assert [x["start"] for x in out[1:]] == np.cumsum([x["n_tokens"] for x in out])[:-1].tolist()
+    assert tokenfile.encode(empty).count() == 0
+
+
+@pytest.mark.parametrize("values", [[], [0], [255, 256, 65535, 65536, 2**24, 2**32 - 1], list(range(0, 5000, 7))])
+def test_variable_length_coding(values):
+    control, data = tokenfile.pack_values(np.array(values, np.uint32))
+    assert len(control) == -(-len(values) // 4)
+    assert tokenfile.unpack_values(control, data, len(values)).tolist() == values
+
+
+def test_remembered_words_give_the_library_ids(monkeypatch):
+    r = random.Random(3)
+    parts = ["a", "b", " ", "  ", "\n", ".", "...", "!", "'", "'s", "don't", "é", "ß", "12", "²", "_", "word", "\t", "\xa0", "日本", "<|endoftext|>", "\r\n", "’", " \n", "\0"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    expected = library_ids(texts)
+    for most in (10**6, 200):
+        monkeypatch.setattr(tokens, "WORDS_KEPT", most)
+        enc = tokens.Encoder()
+        got = [x.tolist() for k in range(0, len(texts), 100) for x in enc.encode(texts[k : k + 100])]
+        assert got == expected
+
+
+# ---- 3 --------------------------------------------------------------------------------------------------------------
+def shingles(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_links(rows):
+    sets = [shingles(t) for _, t, *_ in rows]
+    return [{j for j, b in enumerate(sets) if j != i and (a == b or a and b and len(a & b) >= 0.8 * len(a | b))} for i, a in enumerate(sets)]
+
+
+def test_ngram_join_finds_every_link(corpus, corpus_rows):
+    links = brute_links(corpus_rows)
+    got = {x["doc_id"]: x for x in ngram_join.join(corpus).collect()}
+    label = list(range(len(corpus_rows)))
+    for _ in label:
+        label = [min([label[i], *(label[j] for j in links[i])]) for i in range(len(label))]
+    for i, (doc_id, *_) in enumerate(corpus_rows):
+        assert (got[doc_id]["class_id"], got[doc_id]["n_links"]) == (corpus_rows[label[i]][0], len(links[i]))
+    assert sum(map(bool, links)) > 10
+
+
+def test_ngram_join_of_a_large_near_group(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 16)
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(200)] = f"x{r.random()}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(f"y{k}_{j}" for j in range(50))) for k in range(20)]
+    got = {x["doc_id"]: x for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = brute_links(rows)
+    assert all(got[d]["n_links"] == len(links[i]) for i, (d, _) in enumerate(rows))
+    assert {got[d]["class_id"] for d, _ in rows[:120]} == {0}
+
+
+def test_ngram_join_of_odd_rows(odd, empty):
+    out = ngram_join.join(odd).collect()
+    assert len(out) == ODD_ROWS
+    by = collections.defaultdict(list)
+    for x in out:
+        by[x["doc_id"]].append(x)
+    assert {by[k][0]["class_id"] for k in (5, 6, 7)} == {5} and by[5][0]["n_links"] == 2
+    assert [x["n_links"] for x in by[8]] == [1, 1] and {by[k][0]["class_id"] for k in (11, 12, 13)} == {11}
+    assert ngram_join.join(empty).count() == 0
+    kept = [x["doc_id"] for x in ngram_join.one_of_each(odd).collect()]
+    assert len(kept) == len(set(kept)) and {5, 8, 9, 10, 11, None} <= set(kept) and not {6, 7, 12, 13} & set(kept)
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
+    got = {x["node"]: x["label"] for x in components.components(links).collect()}
+    assert got == {k: 0 for k in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_bands_reach_the_recall():
+    bands, rows = ngram_join.choose_bands(0.8, 0.997)
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.997 and bands * rows <= 120
+
+
+# ---- 4 --------------------------------------------------------------------------------------------------------------
+def edits(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (t != c)))
+        row = new
+    return min(row)
+
+
+def test_alignment_is_the_edit_distance():
+    r = random.Random(5)
+    for _ in range(150):
+        item, text = (bytes(r.choices(b"abcd", k=r.randint(lo, hi))) for lo, hi in ((5, 20), (0, 40)))
+        cost, start, stop = decontaminate.align(np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8), 99)
+        assert cost == edits(item, text) and 0 <= start <= stop <= len(text)
+
+
+def test_decontamination_finds_edited_items(spark):
+    r = random.Random(6)
+    from tests.llm.conftest import sentence
+
+    items = [(k, sentence(r, r.randint(15, 40))) for k in range(12)] + [(50, None), (51, "short")]
+    rows, expected = [], set()
+    for k in range(150):
+        text = sentence(r, r.randint(10, 150))
+        if k % 3 == 0:
+            item = r.choice(items[:12])
+            body = list(item[1])
+            for _ in range(r.randint(0, int(0.06 * len(body)))):
+                p = r.randrange(len(body))
+                body[p : p + 1] = r.choice([[], ["q"], [body[p], "z"]])
+            text = f"{text}. {''.join(body).upper() if k % 2 else ''.join(body)}! {sentence(r, 20)}"
+            expected.add((k, item[0]))
+        rows.append((k, text))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, bench).collect()}
+    plain = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).strip()
+    brute = {(d, i) for d, t in rows for i, x in items[:12] if edits(plain(x), plain(t)) <= decontaminate.thresholds(len(plain(x)))[0]}
+    assert got == brute and expected <= got
+    clean = {x["doc_id"] for x in decontaminate.clean(docs, bench).collect()}
+    assert clean == {k for k, _ in rows} - {k for k, _ in got}
+
+
+def test_decontamination_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 60)
+    bench = spark.createDataFrame([(k, f"item number {k} with some text of its own {k * 7919}") for k in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before item number {k} with some text of its own {k * 7919} after") for k in range(9)] + [(99, None)], "doc_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, bench).where("edits = 0").collect()} == {(k, k) for k in range(9)}
+    assert [x["doc_id"] for x in decontaminate.clean(docs, bench).collect()] == [99]
+
+
+def test_decontamination_of_odd_rows(spark, odd, empty):
+    bench = spark.createDataFrame([(1, "no such words anywhere in these rows at all"), (None, "same row same row same row")], "item_id long, text string")
+    assert decontaminate.find(odd, bench).count() == 0 and decontaminate.clean(odd, bench).count() == ODD_ROWS
+    assert decontaminate.find(empty, bench).count() == 0 and decontaminate.find(odd, bench.limit(0)).count() == 0
+    assert decontaminate.clean(odd, bench).columns == odd.columns
+
+
+# ---- 5 --------------------------------------------------------------------------------------------------------------
+def test_fingerprints_follow_the_documents(corpus, corpus_rows):
+    got = {x["doc_id"]: x for x in fingerprint.compare(corpus).collect()}
+    ordered = sorted(((d, t) for d, t, *_ in corpus_rows), reverse=True)
+    for k, (d, t) in enumerate(ordered):
+        nxt = ordered[(k + 1) % len(ordered)][1]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        x = got[d]
+        assert (x["n_chars"], x["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        one, two, three = (fingerprint.fingerprint([y]) for y in (t, edited, nxt))
+        assert x["fingerprint"] == fingerprint.hexed(one)[0] and x["edited_fingerprint"] == fingerprint.hexed(two)[0]
+        assert x["near_edited"] == fingerprint.likeness(one, two)[0] and x["near_next"] == fingerprint.likeness(one, three)[0]
+    assert np.mean([x["near_edited"] for x in got.values()]) > np.mean([x["near_next"] for x in got.values()])
+
+
+def test_fingerprints_of_odd_rows(spark, odd, empty):
+    out = fingerprint.compare(odd).collect()
+    assert len(out) == ODD_ROWS and sum(x["doc_id"] is None for x in out) == 1
+    assert all(0 <= x["near_edited"] <= 1 and 0 <= x["near_next"] <= 1 for x in out)
+    assert fingerprint.compare(empty).count() == 0
+    alone = fingerprint.compare(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()[0]
+    assert alone["near_next"] == 1 and alone["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest()
+
+
+# ---- 6 --------------------------------------------------------------------------------------------------------------
+def test_secret_network_keeps_its_recall():
+    net = secret_scan.trained()
+    found = secret_scan.labelled_findings(300, seed=99)
+    x, y = np.array([secret_scan.window(t, a, b) for t, a, b, _ in found]), np.array([k for *_, k in found])
+    hit = net.score(x) >= net.threshold
+    assert hit[y == 1].mean() >= 0.95 and hit[y == 0].mean() <= 0.05
+
+
+def test_gradient_is_right():
+    net = secret_scan.Network()
+    found = secret_scan.labelled_findings(4)
+    x, y = np.array([secret_scan.window(t, a, b) for t, a, b, _ in found]), np.array([float(k) for *_, k in found])
+
+    def loss():
+        z = net.forward(x)[0]
+        return float(np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z))
+
+    g = net.gradient(x, y)
+    for name in net.p:
+        at = tuple(np.argwhere(np.abs(g[name]) == np.abs(g[name]).max())[0])
+        before = net.p[name][at]
+        net.p[name][at] = before + 1e-5
+        up = loss()
+        net.p[name][at] = before - 1e-5
+        down = loss()
+        net.p[name][at] = before
+        assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4
+
+
+def test_base_spans_follow_the_patterns(spark):
+    r = random.Random(7)
+    parts = ["password", "PassWD", ": ", "=", '"', "'", " ", "abc12345XYZ", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "zz", "é", "token", "api_key", "\n", "apikey", "secret", "AKIAABCDEFGHIJKL"]
+    rows = [(k, "".join(r.choice(parts) for _ in range(r.randint(0, 25)))) for k in range(400)]
+    got = {x["doc_id"]: x for x in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for k, t in rows:
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+        listed = ",".join(f"{('assign', 'access', 'hex')[kind]}:{a}:{b}" for a, kind, b in sorted(spans))
+        x = got[k]
+        assert x["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest(), t
+        assert (x["n_assign"], x["n_access"], x["n_hex"]) == tuple(sum(kind == j for _, kind, _ in spans) for j in range(3))
+        assert set(listed.split(",")) <= set(x["spans"].split(",")) or not listed
+
+
+def test_secrets_of_odd_rows(odd, empty):
+    out = secret_scan.scan(odd).collect()
+    assert len(out) == ODD_ROWS and secret_scan.scan(empty).count() == 0
+    clean = {x["doc_id"]: x for x in secret_scan.redact(odd).collect()}
+    assert clean[14]["text"] == '[SECRET]" and [SECRET]' and clean[14]["n_chars"] == len(clean[14]["text"])
+    assert clean[5]["text"] is None and clean[6]["text"] == "" and clean[11]["n_chars"] == len(clean[11]["text"])
+    assert secret_scan.redact(odd).columns == odd.columns and secret_scan.redact(empty).count() == 0
+
+
+# ---- 7 --------------------------------------------------------------------------------------------------------------
+def brute_removed(rows, width):
+    count = collections.Counter()
+    data = [(t or "").encode() for _, t, *_ in rows]
+    for b in data:
+        count.update(b[p : p + width] for p in range(len(b) - width + 1))
+    out = []
+    for b in data:
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - width + 1):
+            if count[b[p : p + width]] > 1:
+                gone[p : p + width] = True
+        runs = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+        out.append((len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("width", "batches"), [(400, 2), (60, 5)])
+def test_suffix_dedup_removes_exactly_the_repeats(corpus, corpus_rows, width, batches):
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix.remove_repeats(corpus, width, batches=batches).collect()}
+    expected = brute_removed(corpus_rows, width)
+    assert [got[d] for d, *_ in corpus_rows] == expected and any(x[1] for x in expected)
+
+
+def test_suffix_dedup_of_frequent_passages(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP_REGIONS", 8)
+    r = random.Random(8)
+    from tests.llm.conftest import sentence
+
+    shared = sentence(r, 60)
+    rows = [(k, f"{sentence(r, 40)} {shared[r.randint(0, 40) :]} {sentence(r, 40)}") for k in range(60)] + [(100, "ab " * 400)]
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 150).collect()}
+    assert [got[d] for d, _ in rows] == brute_removed(rows, 150)
+
+
+def test_suffix_dedup_of_odd_rows(odd, empty):
+    out = suffix.remove_repeats(odd).collect()
+    assert len(out) == ODD_ROWS and suffix.remove_repeats(empty).count() == 0
+    by = {x["doc_id"]: x for x in out}
+    assert by[11]["n_removed"] == by[11]["n_bytes"] and by[5]["n_bytes"] == 0 and by[10]["n_removed"] == 0
+
+
+# ---- 8 --------------------------------------------------------------------------------------------------------------
+def test_quality_rejects_faults_and_keeps_clean_texts(spark):
+    r = random.Random(9)
+    from tests.llm.conftest import sentence
+
+    clean = [(k, sentence(r, r.randint(5, 200)).capitalize() + ".") for k in range(300)]
+    bad = [(1000 + k, t) for k, t in enumerate([" ".join(w + "***" for w in sentence(r, 60).split()) for _ in range(20)] + [sentence(r, 50).upper() for _ in range(20)] + [" ".join([w] * 9) for w in (sentence(r, 1) for _ in range(20))] + [f"{sentence(r, 20)} idiot {sentence(r, 9)} moron scum" for _ in range(20)])]
+    out = {x["doc_id"]: x for x in quality.classify(spark.createDataFrame(clean + bad, "doc_id long, text string")).collect()}
+    assert np.mean([out[k]["keep"] for k, _ in clean]) >= 0.99 and np.mean([out[k]["keep"] for k, _ in bad]) <= 0.05
+
+
+def test_lexicon_is_learned_from_labels(spark):
+    r = random.Random(10)
+    from tests.llm.conftest import sentence
+
+    nasty = ["zwickle", "brontle", "garmph"]
+    rows = [(k, sentence(r, 60) + (" " + " ".join(r.choices(nasty, k=4)) if k % 5 == 0 else "")) for k in range(400)]
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(0, 400, 2)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(quality.learn_lexicon(docs, labels).tolist()) >= set(quality._hashes(nasty).tolist())
+    out = {x["doc_id"]: x["keep"] for x in quality.classify(docs, labels).collect()}
+    assert np.mean([out[k] == (k % 5 > 0) for k, _ in rows]) >= 0.97
+
+
+def test_em_recovers_labeller_accuracies():
+    rng = np.random.default_rng(0)
+    z = rng.random(20_000) < 0.2
+    said = np.array([np.where(rng.random(len(z)) < a, z, ~z) + 1 for a in (0.95, 0.85, 0.75)]).T
+    kinds, counts = np.unique(said, axis=0, return_counts=True)
+    p, rates = quality.estimate(kinds, counts.astype(float))
+    assert np.abs(rates[1, :, 2] - [0.95, 0.85, 0.75]).max() < 0.05 and np.abs(rates[0, :, 1] - [0.95, 0.85, 0.75]).max() < 0.05
+    assert abs((counts * p).sum() / len(z) - 0.2) < 0.03
+
+
+def test_quality_of_odd_rows(odd, empty):
+    out = quality.classify(odd)
+    assert out.count() == ODD_ROWS and set(out.columns) == set(odd.columns)
+    kept = {x["doc_id"]: x["keep"] for x in out.collect()}
+    assert kept[5] and kept[6] and kept[11] and not kept[17] and not kept[-3]
+    assert quality.classify(empty).count() == 0 and quality.accepted(odd).columns == odd.columns and quality.accepted(empty).count() == 0
+
+
+# ---- 9 --------------------------------------------------------------------------------------------------------------
+def check_shards(out, rows):
+    assert len(out) == len(rows)
+    slots = collections.defaultdict(list)
+    for x in out:
+        slots[x["shard"]].append(x["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(8))
+    assert all(x["law"] == "bytes" and x["grown_shard"] is None for x in out)
+
+
+def test_shards_are_even_and_keep_texts_together(spark, corpus_rows):
+    r = random.Random(12)
+    from tests.llm.conftest import sentence
+
+    rows = [(k, sentence(r, r.randint(3, 60))) for k in range(1500)]
+    rows += [(2000 + k, rows[k % 40][1]) for k in range(200)] + [(3000 + k, "hot text " * 20) for k in range(500)]
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_shards(out, rows)
+    text = dict(rows)
+    load, places = collections.Counter(), collections.defaultdict(set)
+    for x in out:
+        assert x["size"] == len(text[x["doc_id"]].encode()) + 1 and x["text_crc32"] == zlib.crc32(text[x["doc_id"]].encode())
+        load[x["shard"]] += x["size"]
+        places[text[x["doc_id"]]].add(x["shard"])
+    assert max(load.values()) <= 1.02 * sum(load.values()) / 8 and min(load.values()) >= 0.98 * sum(load.values()) / 8
+    groups = [t for t, n in collections.Counter(text.values()).items() if n > 1 and not t.startswith("hot")]
+    assert sum(len(places[t]) > 1 for t in groups) <= 2
+
+
+def test_shards_of_odd_rows(odd, empty):
+    check_shards(sharding.assign(odd).collect(), range(ODD_ROWS))
+    assert sharding.assign(empty).count() == 0
+
+
+# ---- 10 -------------------------------------------------------------------------------------------------------------
+def check_packing(out, texts, capacity):
+    pieces, places = collections.defaultdict(list), collections.defaultdict(list)
+    for x in out:
+        pieces[x["doc_id"]].append((x["piece"], x["start"], x["length"], x["ids_crc32"]))
+        places[x["sequence_id"]].append((x["offset"], x["length"]))
+    total = 0
+    for (d, _), ids in zip(texts, library_ids(t for _, t in texts), strict=True):
+        ids, a = ids + [2], 0
+        for k, (piece, start, length, crc) in enumerate(sorted(pieces[d])):
+            assert (piece, start, crc) == (k, a, zlib.crc32(np.array(ids[a : a + length], "<u4").tobytes())) and (length == capacity or k == 0)
+            a += length
+        assert a == len(ids)
+        total += a
+    for placed in places.values():
+        a = 0
+        for offset, length in sorted(placed):
+            assert offset == a
+            a += length
+        assert a <= capacity
+    return len(places), -(-total // capacity)
+
+
+@pytest.mark.parametrize("capacity", [64, 1024])
+def test_packing_is_whole_and_tight(corpus, corpus_rows, capacity):
+    used, least = check_packing(packing.pack(corpus, capacity).collect(), [(d, t) for d, t, *_ in corpus_rows], capacity)
+    assert used <= 1.05 * least + 1
+
+
+def test_supersteps_are_best_fit_decreasing():
+    r = random.Random(13)
+    for _ in range(30):
+        capacity = r.randint(5, 60)
+        sizes = [r.randint(1, capacity) for _ in range(r.randint(1, 200))]
+        gaps = []
+        for s in sorted(sizes, reverse=True):
+            fit = [g for g in gaps if g >= s]
+            if fit:
+                gaps.remove(min(fit))
+                gaps.append(min(fit) - s)
+            else:
+                gaps.append(capacity - s)
+        runs = packing.supersteps(dict(collections.Counter(sizes)), capacity)
+        assert max(f for *_, f, _ in runs) < len(gaps) and len({f for *_, f, o in runs if o == 0}) <= len(gaps)
+
+
+def test_packing_of_odd_rows(odd, empty):
+    out = packing.pack(odd).collect()
+    assert len({(x["sequence_id"], x["offset"]) for x in out}) == len(out) and sum(x["piece"] == 0 for x in out) == ODD_ROWS
+    assert packing.pack(empty).count() == 0
