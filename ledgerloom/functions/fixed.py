@@ -175,3 +175,46 @@ REGISTRY_AGENTS = [
 
 # Token prices per million: input, output, cache read, cache write.
 TOKEN_PRICES = (0.80, 4.00, 0.08, 1.00)
+
+# Tracked funds, in order, with the names that they go by, and names that only look like theirs.
+FUND_NAMES = {
+    "a16z": ["andreessen horowitz", "a16z bio", "a16z games", "a16z"], "sequoia": ["sequoia capital", "sequoia"], "benchmark": ["benchmark capital", "benchmark"],
+    "founders_fund": ["founders fund"], "greylock": ["greylock partners", "greylock"], "accel": ["accel partners", "accel"], "index": ["index ventures"],
+    "insight": ["insight partners"], "felicis": ["felicis ventures", "felicis"], "redpoint": ["redpoint ventures", "redpoint"], "khosla": ["khosla ventures", "khosla"],
+    "menlo": ["menlo ventures"], "bessemer": ["bessemer venture partners", "bessemer", "bvp"], "gv": ["google ventures", "gv"], "usv": ["union square ventures", "usv"],
+    "thrive": ["thrive capital", "thrive"], "general_catalyst": ["general catalyst"], "first_round": ["first round capital", "first round"],
+}
+NOT_FUNDS = {
+    "a16z": ["a16z crypto", "crypto fund", "a16z cryptocurrency"], "gv": ["nyse:gv", "nyse: gv", "gv stock", "visionary holdings", "global ventures"],
+    "thrive": ["thrive global", "thrive it", "thrive market", "thrive services", "thrive pet", "thrive wellness", "thrive causemetics", "thrive fitness"],
+    "sequoia": ["hongshan", "peak xv", "sequoia india", "sequoia china", "sequoia heritage"],
+    "benchmark": ["benchmark international", "benchmark electronics", "benchmark capital management", "benchmark mineral", "benchmark litigation"],
+    "insight": ["insight venture management"], "index": ["index fund", "stock index", "s&p index", "market index"], "accel": ["accelerator program", "accel entertainment"],
+    "menlo": ["menlo college", "menlo school"], "redpoint": ["redpoint bio", "redpoint positioning", "redpoint global"],
+}
+
+# Language that shows who led a round.
+LEAD_LANGUAGE = r"\bled\s+by\b|\bled\s+the\b|\bleads?\s+|\bleading\b|\bco-led\b|\bco-leads?\b|\bheaded\s+by\b|\blead\s+investor\b|\bspearheaded\b"
+
+# Rounds, and what exports call them.
+ROUNDS = ["pre_seed", "seed", "series_a", "series_b", "series_c", "series_d", "series_e_plus", "growth", "debt", "unknown"]
+EXPORT_ROUNDS = {
+    "pre-seed": "pre_seed", "seed": "seed", "series a": "series_a", "series b": "series_b", "series c": "series_c", "series d": "series_d",
+    "series e": "series_e_plus", "series f": "series_e_plus", "series g": "series_e_plus", "series h": "series_e_plus", "growth": "growth",
+    "venture": "unknown", "venture - series unknown": "unknown", "debt financing": "debt", "convertible note": "seed", "angel": "pre_seed", "grant": "unknown",
+}
+
+# Aircraft categories by number, and states by name.
+AIRCRAFT = [
+    "unknown", "unknown", "light", "small", "large", "high_vortex", "heavy", "high_perf", "rotorcraft", "glider", "lighter_than_air", "parachutist",
+    "ultralight", "reserved", "uav", "space_vehicle", "emergency", "service", "ground_obstacle", "cluster_obstacle", "line_obstacle",
+]
+STATES = {
+    "ALABAMA": "AL", "ALASKA": "AK", "ARIZONA": "AZ", "ARKANSAS": "AR", "CALIFORNIA": "CA", "COLORADO": "CO", "CONNECTICUT": "CT", "DELAWARE": "DE",
+    "FLORIDA": "FL", "GEORGIA": "GA", "HAWAII": "HI", "IDAHO": "ID", "ILLINOIS": "IL", "INDIANA": "IN", "IOWA": "IA", "KANSAS": "KS", "KENTUCKY": "KY",
+    "LOUISIANA": "LA", "MAINE": "ME", "MARYLAND": "MD", "MASSACHUSETTS": "MA", "MICHIGAN": "MI", "MINNESOTA": "MN", "MISSISSIPPI": "MS", "MISSOURI": "MO",
+    "MONTANA": "MT", "NEBRASKA": "NE", "NEVADA": "NV", "NEW HAMPSHIRE": "NH", "NEW JERSEY": "NJ", "NEW MEXICO": "NM", "NEW YORK": "NY",
+    "NORTH CAROLINA": "NC", "NORTH DAKOTA": "ND", "OHIO": "OH", "OKLAHOMA": "OK", "OREGON": "OR", "PENNSYLVANIA": "PA", "RHODE ISLAND": "RI",
+    "SOUTH CAROLINA": "SC", "SOUTH DAKOTA": "SD", "TENNESSEE": "TN", "TEXAS": "TX", "UTAH": "UT", "VERMONT": "VT", "VIRGINIA": "VA", "WASHINGTON": "WA",
+    "WEST VIRGINIA": "WV", "WISCONSIN": "WI", "WYOMING": "WY", "DISTRICT OF COLUMBIA": "DC",
+}
