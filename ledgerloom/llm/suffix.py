@@ -139,7 +139,9 @@ class IndexFamily:
         for more in self.repeated[1:]:
             every = every.unionByName(more)
         keys = every.groupBy("key").agg(F.max("regions").alias("regions"))
-        return keys, every.select("key", F.explode("whole").alias("x")).groupBy("key", "x.region").agg(F.min("x.speaker").alias("speaker"))
+        regions = every.select("key", F.explode("whole").alias("x")).groupBy("key", "x.region").agg(F.min("x.speaker").alias("speaker"))
+        # as tables, so that a join with them can split the rows of a frequent key
+        return common.staged(keys, "suffix-keys"), common.staged(regions, "suffix-regions")
 
 
 _DONE = "doc_id bigint, row_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -176,6 +178,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None,
     probes = speaking.select("key", "region", F.posexplode("probes").alias("j", "probe")).where("probe != 0")
     live = probes.groupBy("key", "j", "probe").agg(F.min("region").alias("a"), F.max("region").alias("b")).where("a != b").select("key", "j", "probe")
     open_regions = probes.join(live, ["key", "j", "probe"]).groupBy("key", "region").agg(F.lit(True).alias("open"))
+    open_regions = common.staged(open_regions, "suffix-open")
     # 0: settled; above 0: to be compared with so many regions; below 0: settled, but the one that others are compared with
     mark = F.when(F.col("speaker").isNull(), F.col("regions")).when(F.col("row_key") == F.col("speaker"), -F.col("regions")).otherwise(0)
     mark = F.when(F.col("open"), mark).when(F.col("speaker").isNotNull(), 0)  # null: not repeated
