@@ -94,3 +94,58 @@ def likely_funding(title: Column) -> Column:
 
 def crypto_site(url: Column) -> Column:
     return has_any(lowered(url), fixed.CRYPTO_SITES)
+
+
+def fund_structure(name: Column, text: Column, usd: Column) -> Column:
+    """Why a startup's name is really that of a fund or its vehicle."""
+    from ledgerloom.functions.funds import matched_fund
+
+    low = F.lower(name)
+    return (
+        F.when(low.rlike(fixed.FUND_NAME_END), "fund name")
+        .when(low.rlike(fixed.SPECIAL_VEHICLE), "special vehicle")
+        .when(low.rlike(r",\s*(lp|llc|llp)$"), "legal form")
+        .when(name.rlike(r"^[A-Z]{2,4}-\d{3,}") & low.contains("fund"), "fund code")
+        .when(matched_fund(name).isNotNull(), "tracked fund")
+        .when(has_any(lowered(text), fixed.FUND_RAISES) & (usd >= 1_000_000_000), "fund raise")
+    )
+
+
+def ai_of_industries(industries: Column, description: Column) -> Column:
+    """``is_ai, is_enterprise, category`` of an export's deal; the first kind of industry that it has decides."""
+    low = F.transform(F.coalesce(industries, F.array().cast("array<string>")), lambda x: F.trim(F.lower(x)))
+    d = lowered(description)
+    has = lambda kind: F.exists(low, lambda x: has_any(x, fixed.INDUSTRIES[kind]))
+    out = lambda ai, enterprise, category: F.struct(F.lit(ai).alias("is_ai"), F.lit(enterprise).alias("is_enterprise"), F.lit(category).alias("category"))
+    ai = has("ai") | ((d != "") & has_any(d, fixed.AI_IN_EXPORT))
+    result = F.when(has("crypto") | ~ai, out(False, False, "not_ai")).when(has("consumer"), out(True, False, "not_ai"))
+    for kind in ("security", "vertical_saas", "data_intelligence", "infrastructure"):
+        result = result.when(has(kind), out(True, True, kind))
+    software = F.exists(low, lambda x: has_any(x, ["software", "developer"]))
+    return result.when(has_any(d, fixed.ENTERPRISE_IN_EXPORT) | software, out(True, True, "infrastructure")).otherwise(out(True, False, "not_ai"))
+
+
+def obvious_fund(name: Column) -> Column:
+    """Filers that are funds for sure."""
+    return lowered(name).rlike(r"\bspv[\s\-]?[0-9ivxlc]*\b|\bfund\s*[ivxlc0-9]+")
+
+
+def likely_backed(industry: Column, raised: Column, offering: Column, first_sale: Column) -> Column:
+    """Filings of a likely industry that raised enough or sell for the first time; amounts that aren't whole numbers count as none."""
+    digits = F.regexp_replace(F.when(F.coalesce(raised, F.lit("")) != "", raised).otherwise(offering), "[$,]", "")
+    enough = F.coalesce(F.trim(digits).try_cast("long") >= fixed.BACKED_AMOUNT, F.lit(False))
+    return has_any(lowered(industry), fixed.BACKED_INDUSTRIES) & (enough | first_sale)
+
+
+def leadership(title: Column) -> Column:
+    return has_any(lowered(title), fixed.LEADERS)
+
+
+def sanitised_value(value: Column, most: int = 500) -> Column:
+    """Text that can stand in a prompt: no control characters, fences or role markers, cut to length."""
+    gap = "​"
+    s = F.regexp_replace(F.coalesce(value, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    s = F.regexp_replace(F.replace(s, F.lit("```"), F.lit(f"`{gap}`{gap}`")), "---", f"-{gap}-{gap}-")
+    s = F.regexp_replace(s, r"(?i)(SYSTEM|USER|ASSISTANT):", f"$1{gap}:")
+    s = F.regexp_replace(s, r"(?i)<(/?)(instructions|system|prompt)", f"<$1{gap}$2")
+    return F.regexp_replace(F.when(F.char_length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s), r"(?U)^\s+|\s+\z", "")

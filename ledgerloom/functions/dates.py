@@ -46,3 +46,19 @@ def absolute(text: Column) -> Column:
         return F.try_to_date(F.concat_ws("-", part(y), mm, F.lpad(part(d), 2, "0")), "yyyy-MM-dd")
 
     return F.coalesce(iso, made(month + r"[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})", 3, 1, 2), made(r"(\d{1,2})(?:st|nd|rd|th)?\s+" + month + r"[a-z]*\.?,?\s+(\d{4})", 3, 2, 1), made(r"(\d{1,2})/(\d{1,2})/(\d{4})", 3, 1, 2))
+
+
+def article_relative(text: Column, day: Column) -> Column:
+    """Calendar months and years and weeks ago, last year, earlier this year, as of a day; the first kind in this order."""
+    low = F.lower(text)
+    n = lambda unit: F.regexp_extract(low, rf"(\d+)\s*{unit}s?\s*ago", 1).try_cast("int")
+    year = F.year(day)
+    return F.coalesce(
+        F.add_months(day, -n("month")), F.add_months(day, -12 * n("year")), F.date_sub(day, 7 * n("week")), F.when(low.rlike(r"last\s+year"), F.add_months(day, -12)),
+        F.when(low.rlike(r"earlier\s+this\s+year"), F.make_date(year, F.lit(6), F.lit(1))),
+    )
+
+
+def of_url(url: Column) -> Column:
+    """The month in an address with /YYYY/MM/."""
+    return F.try_to_date(F.concat_ws("-", F.regexp_extract(url, r"/(\d{4})/(\d{2})/", 1), F.regexp_extract(url, r"/(\d{4})/(\d{2})/", 2), F.lit("01")), "yyyy-MM-dd")

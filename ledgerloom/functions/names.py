@@ -66,3 +66,10 @@ def person_names_match(a: Column, b: Column) -> Column:
     last = F.element_at(x, -1) == F.element_at(y, -1)
     both = (F.size(x) > 1) & (F.size(y) > 1)
     return F.coalesce(F.when((stripped(a) == "") | (stripped(b) == ""), False).when(both, first & last).otherwise(first), F.lit(False))
+
+
+def profile_name(url: Column) -> Column:
+    """First and last name from a profile's address, or null."""
+    slug = F.regexp_extract(F.lower(url), r"(?:^|[\s/:])(?:www\.)?linkedin\.com/in/([a-z0-9_-]+)", 1)
+    parts = F.filter(F.split(slug, "-"), lambda p: (F.length(p) > 1) & ~p.isin(fixed.NO_NAMES) & ~p.rlike(r"^\d+$"))
+    return F.when(F.size(parts) >= 2, F.concat_ws(" ", F.initcap(F.element_at(parts, 1)), F.initcap(F.element_at(parts, 2))))

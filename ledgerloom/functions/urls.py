@@ -49,3 +49,17 @@ def sanitised(url: Column) -> Column:
     s = stripped(url)
     s = F.when(F.lower(s).startswith("www."), F.concat(F.lit("https://"), s)).otherwise(s)
     return F.when(is_url(url), F.regexp_replace(s, "(?i)^http://", "https://"))
+
+
+def redirect_target(url: Column) -> Column:
+    """The address in a redirect's ``url`` parameter, http and https only."""
+    target = F.try_parse_url(url, F.lit("QUERY"), F.lit("url"))
+    return F.when(target.rlike("^https?://"), F.try_url_decode(target))
+
+
+def decoded_news_target(url: Column) -> Column:
+    """The first address inside the base-64 part of a news redirect."""
+    packed = F.regexp_extract(url, r"/articles/([A-Za-z0-9_-]+)", 1)
+    padded = F.rpad(F.translate(packed, "-_", "+/"), (F.ceil(F.length(packed) / 4) * 4).cast("int"), F.lit("="))
+    text = F.decode(F.unbase64(padded), F.lit("ISO-8859-1"))
+    return F.nullif(F.regexp_extract(text, r"(https?://[\x21-\x7e]+)", 1), F.lit(""))
