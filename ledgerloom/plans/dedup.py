@@ -118,3 +118,23 @@ def res01_tiers(v: Views) -> DataFrame:
     """The stored deal that each incoming deal duplicates, by the first tier that finds one."""
     rows = keyed(v)
     return match_tiers(rows.where("deal_id % 20 = 0"), rows.where("deal_id % 20 <> 0"), AS_OF)
+
+
+@query(f"""WITH {_KEYED}, b AS (SELECT deal_id, dedup_key, {norm_sql('name')} AS norm, round_type, coalesce(CAST((announced_date - DATE '1970-01-01') // 3 AS BIGINT), {_UNDATED}) AS b, CASE WHEN announced_date IS NULL THEN 'nodate_' ELSE '' END AS p FROM keyed),
+i AS (SELECT deal_id, unnest([md5(norm || '|' || round_type || '|' || p || CAST(b - 1 AS VARCHAR)), md5(norm || '|' || round_type || '|' || p || CAST(b + 1 AS VARCHAR))]) AS k FROM b WHERE deal_id % 10 = 0)
+SELECT i.deal_id, min(s.deal_id) AS stored_id FROM i JOIN b s ON s.dedup_key = i.k AND s.deal_id % 10 <> 0 GROUP BY i.deal_id""")
+def res02_adjacent_hits(v: Views) -> DataFrame:
+    """Incoming deals whose key in a neighbouring date bucket is stored."""
+    rows = keyed(v)
+    both = keys.adjacent_keys(F.col("name"), F.col("round_type"), F.col("announced_date"), AS_OF)
+    incoming = rows.where("deal_id % 10 = 0").select("deal_id", F.explode(both).alias("dedup_key"))
+    stored = rows.where("deal_id % 10 <> 0").groupBy("dedup_key").agg(F.min("deal_id").alias("stored_id"))
+    return incoming.join(stored, "dedup_key").groupBy("deal_id").agg(F.min("stored_id").alias("stored_id"))
+
+
+@query(f"WITH {_KEYED} SELECT dedup_key, min(deal_id) AS deal_id FROM keyed WHERE deal_id % 3 = 0 AND dedup_key NOT IN (SELECT dedup_key FROM keyed WHERE deal_id % 3 <> 0) GROUP BY dedup_key")
+def snk01_insert_absent(v: Views) -> DataFrame:
+    """New deals whose key isn't stored, the least id of each key."""
+    rows = keyed(v)
+    new = rows.where("deal_id % 3 = 0").join(rows.where("deal_id % 3 <> 0").select("dedup_key"), "dedup_key", "left_anti")
+    return new.groupBy("dedup_key").agg(F.min("deal_id").alias("deal_id"))

@@ -256,3 +256,41 @@ def set03_guarded_additions(v: Views) -> DataFrame:
     named = v.snapshots.groupBy("fund_slug", F.lower("name").alias("name")).agg(F.max(F.col("side") == "cur").alias("cur"), F.max(F.col("side") == "prev").alias("prev"))
     guard = named.groupBy("fund_slug").agg(F.count_if(F.col("cur") & ~F.col("prev")).alias("added"), F.max("prev").alias("known")).where("known AND added <= 10")
     return named.where("cur AND NOT prev").join(guard, "fund_slug", "left_semi").where(~F.col("name").startswith("small")).select("fund_slug", "name")
+
+
+@query("SELECT day, avg(CASE WHEN event_id % 9 = 0 THEN 1.0 ELSE 0.0 END) > 0.1 AS alarm, count(*) AS n FROM usage GROUP BY day")
+def agg12_failure_alarm(v: Views) -> DataFrame:
+    failed = F.when(F.col("event_id") % 9 == 0, 1.0).otherwise(0.0)
+    return v.usage.groupBy("day").agg((F.avg(failed) > 0.1).alias("alarm"), F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN altitude < 10 THEN 'low' WHEN altitude < 50 THEN 'middle' WHEN altitude < 100 THEN 'high' ELSE 'cruise' END AS band, CAST(round(altitude * 3.28084) AS BIGINT) AS feet FROM aircraft WHERE event_id % 20 = 0")
+def geo02_altitude_bands(v: Views) -> DataFrame:
+    a = F.col("altitude")
+    band = F.when(a < 10, "low").when(a < 50, "middle").when(a < 100, "high").otherwise("cruise")
+    return v.aircraft.where("event_id % 20 = 0").select("event_id", band.alias("band"), F.round(a * 3.28084).cast("long").alias("feet"))
+
+
+@query("SELECT event_id, source_name FROM usage WHERE source_name = 'error' ORDER BY day DESC, event_id DESC LIMIT 30")
+def qry08_feedback(v: Views) -> DataFrame:
+    return v.usage.where("source_name = 'error'").orderBy(F.desc("day"), F.desc("event_id")).limit(30).select("event_id", "source_name")
+
+
+@query("SELECT f.slug, count(DISTINCT d.deal_id) AS deals, count(DISTINCT CASE WHEN i.is_lead THEN d.deal_id END) AS led, CAST(sum(CASE WHEN i.is_lead THEN d.amount_usd END) AS BIGINT) AS led_usd FROM deal_investors i JOIN deals d USING (deal_id) JOIN funds f USING (fund_id) WHERE i.is_tracked_fund GROUP BY f.slug")
+def apx29_fund_metrics(v: Views) -> DataFrame:
+    rows = v.deal_investors.where("is_tracked_fund").join(v.deals, "deal_id").join(v.funds, "fund_id")
+    led = F.when(F.col("is_lead"), F.col("deal_id"))
+    return rows.groupBy("slug").agg(F.count_distinct("deal_id").alias("deals"), F.count_distinct(led).alias("led"), F.sum(F.when(F.col("is_lead"), F.col("amount_usd"))).alias("led_usd"))
+
+
+@query("SELECT item_id, CASE WHEN status = 'passed' THEN 'watching' ELSE status END AS status FROM tracker")
+def dml05_retired_column(v: Views) -> DataFrame:
+    """Items of a retired column move to another; positions stay as they are."""
+    return v.tracker.select("item_id", F.when(F.col("status") == "passed", "watching").otherwise(F.col("status")).alias("status"))
+
+
+@query("SELECT company_id, coalesce(CASE WHEN company_id % 3 = 0 THEN 'https://new.example' END, website) AS website, coalesce(CASE WHEN company_id % 6 = 0 THEN 'https://linkedin.com/company/new' END, linkedin_url) AS linkedin_url FROM companies")
+def dml01_partial_update(v: Views) -> DataFrame:
+    """Only the given fields change."""
+    changes = v.companies.where("company_id % 3 = 0").select("company_id", F.lit("https://new.example").alias("w"), F.when(F.col("company_id") % 6 == 0, "https://linkedin.com/company/new").alias("l"))
+    return v.companies.join(changes, "company_id", "left").select("company_id", F.coalesce("w", "website").alias("website"), F.coalesce("l", "linkedin_url").alias("linkedin_url"))
