@@ -11,14 +11,14 @@ measurements is then fitted by logistic regression on a bounded sample of docume
 
 Defined results: a null text is an empty text, in which no labeller finds a fault; equal texts score alike, so ties
 and repeated rows are treated alike; with no documents, or with posteriors of one class only, the posteriors decide alone;
-an empty table gives no rows; all other columns are kept, and the added ones replace columns of their names.
+an empty table gives no rows; other columns are kept, and the added ones replace columns of their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,14 +160,16 @@ def _bins(m: Measured) -> np.ndarray:
     return m.bins
 
 
-def _pattern(lexicon):
-    @F.arrow_udf(returnType=T.IntegerType())
-    def pattern(text: pa.Array) -> pa.Array:
-        data, at = common.utf8(text)
-        out = [votes(Measured(data[at[a] : at[b]], at[a : b + 1] - at[a], lexicon)) @ _PLACES for a, b in common.steps(at)]
-        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.int32())
+def patterns(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
+    """``doc_id, pattern`` of every row: its votes as one number."""
+
+    def vote(batches):
+        for batch in batches:
+            data, at = common.utf8(common.column_of(batch, "text"))
+            out = [votes(Measured(data[at[a] : at[b]], at[a : b + 1] - at[a], lexicon)) @ _PLACES for a, b in common.steps(at)]
+            yield pa.RecordBatch.from_arrays([common.column_of(batch, "doc_id"), pa.array(np.concatenate(out) if out else np.zeros(0), pa.int32())], names=["doc_id", "pattern"])
 
-    return pattern
+    return docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(vote, "doc_id bigint, pattern int")
 
 
 def _features(lexicon):
@@ -237,8 +239,7 @@ def _posteriors(counts: dict[int, int]) -> dict[int, float]:
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> Model:
     """Estimate the labellers on all documents and train the scorer on a sample."""
     lexicon = learn_lexicon(docs, labels) if labels is not None else np.zeros(0, np.uint64)
-    text = common.text_or_empty()
-    coded = docs.select(F.col("doc_id"), text.alias("text"), _pattern(lexicon)(text).alias("pattern"))
+    coded = common.staged(patterns(docs, lexicon), "quality-patterns")
     counts = {r["pattern"]: r["n"] for r in coded.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3 ** labellers rows
     posterior = _posteriors(counts)
     bad = [c for c, p in posterior.items() if p >= 0.5]
@@ -249,7 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
     table = docs.sparkSession.createDataFrame(pa.table({"pattern": pa.array(list(posterior), pa.int32()), "p": pa.array(list(posterior.values()), pa.float64())}))
     rate = F.when(F.col("p") >= 0.5, F.lit(min(1.0, sample / n_bad))).otherwise(F.lit(min(1.0, sample / n_good)))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) / float(1 << 20)
-    taken = coded.join(F.broadcast(table), "pattern").where(chance < rate).select("p", _features(lexicon)("text").alias("x")).toArrow()  # about 2 * sample rows
+    chosen = coded.join(F.broadcast(table), "pattern").where(chance < rate).groupBy("doc_id").agg(F.max("p").alias("p"))  # about 2 * sample rows
+    texts = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    taken = texts.select("p", _features(lexicon)("text").alias("x")).toArrow()
     y = taken["p"].to_numpy()
     x = [np.array(v, np.int64) for v in taken["x"].to_pylist()]
     order = sorted(range(len(y)), key=lambda k: (len(x[k]), y[k], x[k].tobytes()))
@@ -273,43 +276,46 @@ def logistic(x: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float =
     return weights.astype(np.float32), float(bias)
 
 
-def score_column(model: Model, spark) -> Column:
-    """The score of ``text``: 0 good, 1 bad."""
-    shared = spark.sparkContext.broadcast((model.lexicon, model.posterior, model.weights, model.bias))  # of fixed size
-
-    @F.arrow_udf(returnType=T.DoubleType())
-    def score(text: pa.Array) -> pa.Array:
-        lexicon, posterior, weights, bias = shared.value
-        data, at = common.utf8(text)
-        out = []
-        for a, b in common.steps(at):
-            m = Measured(data[at[a] : at[b]], at[a : b + 1] - at[a], lexicon)
-            if weights is None:
-                out.append(np.array([posterior.get(c, 0.0) for c in (votes(m) @ _PLACES).tolist()]))
-                continue
-            owner = np.repeat(np.arange(b - a), m.words + len(LABELLERS))
-            f = np.empty(len(owner), np.int64)
-            place = np.arange(len(m.hash)) + len(LABELLERS) * np.repeat(np.arange(b - a), m.words)
-            f[place] = (m.hash >> np.uint64(48)).astype(np.int64)
-            rest = np.ones(len(owner), bool)
-            rest[place] = False
-            f[rest] = _bins(m).ravel()
-            key = np.unique(owner * BUCKETS + f)
-            total = np.bincount(key // BUCKETS, weights[key % BUCKETS], b - a)
-            out.append(1 / (1 + np.exp(-np.clip(total + bias, -30, 30))))
-        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
-
-    return score(common.text_or_empty())
+def scores(model, texts: pa.Array) -> np.ndarray:
+    """The score of each text: 0 good, 1 bad."""
+    lexicon, posterior, weights, bias = model
+    data, at = common.utf8(texts)
+    out = [np.zeros(0)]
+    for a, b in common.steps(at):
+        m = Measured(data[at[a] : at[b]], at[a : b + 1] - at[a], lexicon)
+        if weights is None:
+            out.append(np.array([posterior.get(c, 0.0) for c in (votes(m) @ _PLACES).tolist()]))
+            continue
+        owner = np.r_[np.repeat(np.arange(b - a), m.words), np.repeat(np.arange(b - a), len(LABELLERS))]
+        key = np.unique(owner * BUCKETS + np.r_[(m.hash >> np.uint64(48)).astype(np.int64), _bins(m).ravel()])
+        total = np.bincount(key // BUCKETS, weights[key % BUCKETS], b - a)
+        out.append(1 / (1 + np.exp(-np.clip(total + bias, -30, 30))))
+    return np.concatenate(out)
+
+
+def _scored(docs: DataFrame, model: Model, rest: list[str], only_kept: bool) -> DataFrame:
+    """The columns ``rest`` of all documents with score and verdict, or of the kept ones alone."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.posterior, model.weights, model.bias))  # of fixed size
+    added = [] if only_kept else [T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())]
+
+    def work(batches):
+        for batch in batches:
+            score = scores(shared.value, common.column_of(batch, "text"))
+            columns = [common.column_of(batch, c) for c in rest]
+            if only_kept:
+                yield pa.RecordBatch.from_arrays(columns, names=rest).filter(pa.array(score < REJECT))
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array(score < REJECT)], names=[*rest, "score", "keep"])
+
+    needed = docs.select(*dict.fromkeys([*rest, "text"]))
+    return needed.mapInArrow(work, T.StructType([*(docs.schema[c] for c in rest), *added]))
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """``docs`` with ``score`` (0 good to 1 bad) and ``keep``."""
-    model = fit(docs, labels)
-    scored = docs.withColumn("score", score_column(model, docs.sparkSession))
-    return scored.withColumn("keep", F.col("score") < REJECT)
+    """``docs`` without their text, with ``score`` (0 good to 1 bad) and ``keep``."""
+    return _scored(docs, fit(docs, labels), [c for c in docs.columns if c not in ("text", "score", "keep")], only_kept=False)
 
 
 def accepted(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The documents that the classifier keeps, with the columns they had."""
-    model = fit(docs, labels)
-    return docs.where(score_column(model, docs.sparkSession) < REJECT)
+    return _scored(docs, fit(docs, labels), docs.columns, only_kept=True)

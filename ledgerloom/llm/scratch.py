@@ -10,8 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 _own_scratch: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch: texts are long, and a batch stands in memory several times.
+BATCH_ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches to ``BATCH_ROWS`` where the session leaves them at Spark's default of 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table under ``sf_dir``."""
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -33,6 +45,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that its lineage ends in files."""
     spark = df.sparkSession
+    short_batches(spark)
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
