@@ -8,7 +8,8 @@ any store that Spark reaches; file ``part`` k holds only smaller doc_ids than fi
 ranks.  Decoding finds value lengths by table lookup on the control bytes, all values of a block at once in numpy.
 
 Defined results: a null text is an empty text and encodes to the end id alone; rows with the same doc_id are kept, in
-the order of their ids' number and bytes; an empty table gives an empty file set; other columns are ignored.
+the order of their ids' number and bytes; a null doc_id comes first and is null again when read;
+an empty table gives an empty file set; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,23 +26,29 @@ from ledgerloom.llm import common, tokens
 
 #: A block ends with the document that brings it to so many tokens.
 BLOCK_TOKENS = 1 << 18
+#: Words remembered by one Python worker while it encodes, some 350 MB.
+WORDS_KEPT = 2_000_000
 
 _BLOCK = "part int, block int, doc_ids binary, counts binary, tokens bigint, control binary, data binary"
 
 
 def raw_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Every document's plain ids, compressed: texts are tokenised once, for the counts and for the files."""
+    """Every document's plain ids, compressed, so that texts are tokenised once; and, as a row with ``n`` of -1 for each task, counts of all ids."""
 
     def encode(batches):
-        enc = tokens.encoder(tokenizer)
-        end = np.array([end_id], enc.dtype)
+        enc = tokens.encoder(tokenizer, WORDS_KEPT)
+        end = np.array([end_id], enc.dtype).tobytes()
+        total = np.zeros(enc.vocabulary, np.int64)
+        names = ["doc_id", "n", "ids"]
         for batch in batches:
             for first, texts in tokens.texts_of(common.column_of(batch, "text")):
-                got = [np.append(ids, end) for ids in enc.encode(texts)]
-                packed = [pa.compress(ids.tobytes(), "zstd", asbytes=True) for ids in got]
-                yield pa.RecordBatch.from_arrays([common.column_of(batch, "doc_id").slice(first, len(texts)), pa.array([len(ids) for ids in got], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "ids"])
+                got = [ids + end for ids in enc.encode_bytes(texts)]
+                total += np.bincount(np.frombuffer(b"".join(got), enc.dtype), minlength=len(total))
+                packed = [pa.compress(ids, "zstd", asbytes=True) for ids in got]
+                yield pa.RecordBatch.from_arrays([common.column_of(batch, "doc_id").slice(first, len(texts)), pa.array([len(ids) // len(end) for ids in got], pa.int64()), pa.array(packed, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=names)
 
-    return docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(encode, "doc_id bigint, n bigint, ids binary")
+    return docs.select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias("doc_id"), common.text_or_empty().alias("text")).mapInArrow(encode, "doc_id bigint, n bigint, ids binary")
 
 
 def _plain(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[np.ndarray]:
@@ -49,18 +56,18 @@ def _plain(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[np.ndarray]:
         yield np.frombuffer(pa.decompress(packed.as_buffer(), n * kind.itemsize, "zstd"), kind)
 
 
-def token_counts(raw: DataFrame, vocabulary: int) -> DataFrame:
+def token_counts(raw: DataFrame) -> DataFrame:
     """How often each id occurs in all documents; one row for each id that does."""
 
-    def count(batches):
-        total = np.zeros(vocabulary, np.int64)
+    def add(batches):
+        total = 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                total += np.bincount(np.concatenate(list(_plain(batch.slice(k, 256), _raw_type(vocabulary)))), minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["id", "n"])
+            for counts in common.column_of(batch, "ids"):
+                total = total + np.frombuffer(counts.as_buffer(), np.int64)
+        used = np.flatnonzero(total) if not isinstance(total, int) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used] if len(used) else [], pa.int64())], names=["id", "n"])
 
-    return raw.select("n", "ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return raw.where("n = -1").select("ids").mapInArrow(add, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _raw_type(vocabulary: int) -> np.dtype:
@@ -77,17 +84,18 @@ def ranks(counts: DataFrame) -> np.ndarray:
 def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     n = len(values)
-    size = 1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    size = (values > 0xFF).view(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)  # less one
     padded = np.zeros(-(-n // 4) * 4, np.uint8)
-    padded[:n] = size - 1
+    padded[:n] = size
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    most = int(size.max()) + 1 if n else 1
+    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :most]
+    return control.tobytes(), (raw[np.arange(most) <= size[:, None]] if most > 1 else raw).tobytes()
 
 
 #: Lengths of the four values that a control byte stands for.
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def unpack_values(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -96,9 +104,10 @@ def unpack_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if not n:
         return np.zeros(0, np.uint32)
-    at = np.cumsum(size) - size
+    at = np.cumsum(size, dtype=np.int64)
+    at -= size
     out = raw[at].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(size.max())):
         longer = np.flatnonzero(size > k)
         out[longer] |= raw[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -109,7 +118,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
     spark = docs.sparkSession
     raw = common.staged(raw_ids(docs, tokenizer, end_id), "tokenfile-raw")
     vocabulary = tokens.vocabulary_size(tokenizer)
-    order = ranks(token_counts(raw, vocabulary))
+    order = ranks(token_counts(raw))
     spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(order)), pa.int32()), "id": pa.array(order, pa.int32())})).coalesce(1).write.parquet(f"{path}/ranks")
     shared = spark.sparkContext.broadcast(order)  # bounded by the vocabulary
 
@@ -141,8 +150,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
         if ids:
             yield block()
 
-    in_order = raw.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "ids")
-    in_order.mapInArrow(blocks, _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    in_order = raw.where("n > 0").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    in_order.mapInArrow(blocks, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -165,7 +174,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(row["doc_ids"], "<i8")), pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["block"], np.int32)), pa.array(at[:-1]), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())],
+                    [common.ids_array(np.frombuffer(row["doc_ids"], "<i8")), pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["block"], np.int32)), pa.array(at[:-1]), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())],
                     names=["doc_id", "part", "block", "inside", "n_tokens", "ids_crc32"],
                 )
 
