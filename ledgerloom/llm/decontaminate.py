@@ -137,6 +137,17 @@ def _bands(items: Items, at: np.ndarray, doc: np.ndarray, item: np.ndarray, plac
     """Kept bands, by document, item and position: document, item and the band's first diagonal."""
     reach = items.edits[item] + 1
     band = np.floor_divide(at - place, reach)
+    if not len(band):
+        return
+    # most bands hold too few q-grams even with repeats, which one sort of numbers shows
+    low, count_items = band.min() - 1, len(items.ids)
+    span = band.max() - low + 1
+    number = (doc * count_items + item) * span + band - low
+    every = np.sort(np.r_[number, number - 1])
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    enough = every[first][np.diff(np.r_[first, len(every)]) >= items.needed[every[first] // span % count_items]]
+    keep = np.isin(number, enough) | np.isin(number - 1, enough)
+    doc, item, place, band = doc[keep], item[keep], place[keep], band[keep]
     # band b spans the diagonals [b * reach, (b + 2) * reach): each q-gram counts in two bands
     d, i, b, p = np.tile(doc, 2), np.tile(item, 2), np.r_[band, band - 1], np.tile(place, 2)
     order = np.lexsort((p, b, i, d))
