@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.scratch import discard, documents, scratch_path, staged  # noqa: F401
 
 #: Bytes of text that one numpy step works on; a longer document is worked on alone.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 #: Stands for a null doc_id where ids are sorted or packed.
 NO_ID = -(1 << 63)

@@ -11,7 +11,7 @@ _own_scratch: dict[str, str] = {}
 
 
 #: Rows of an Arrow batch: texts are long, and a batch stands in memory several times.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def short_batches(spark: SparkSession) -> None:
