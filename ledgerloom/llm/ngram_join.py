@@ -35,7 +35,7 @@ N = 5
 THRESHOLD = 0.8
 RECALL = 0.997
 #: Sets of a component that are verified against each other in one task.
-BLOCK = 192
+BLOCK = 512
 #: Sketches of a bucket that are compared in one task.
 BUCKET_BLOCK = 768
 #: Estimates down to so much under the threshold are verified: more than five standard errors of the sketch.
@@ -231,7 +231,7 @@ def verified(reps_text: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return dealt.repartition("label", "p", "q").sortWithinPartitions("label", "p", "q").mapInArrow(verify, "rep bigint, root bigint, links bigint")
 
 
-def common_counts(column: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+def common_counts(column: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 2048) -> np.ndarray:
     """Sizes of the intersections of all left sets with all right ones, from numbered elements."""
     n_columns = int(column.max()) + 1 if len(column) else 0
     owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
@@ -292,6 +292,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id, or have none, count as one document.
     """
-    kept = join(docs).where("doc_id is null or doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = common.staged(kept, "ngram-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = common.staged(join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct(), "ngram-kept")
+    # the join's partitions serve the removal of repeated ids too, so that texts are shuffled once
+    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()).limit(1))
