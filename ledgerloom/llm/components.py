@@ -20,6 +20,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # large star: each node's larger neighbours are linked to its least neighbour
         both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy("lo").agg(F.min("hi").alias("m")).select("lo", F.least("lo", "m").alias("m"))
+        least = common.staged(least, "components-least")  # a table, so that the join can split the links of a much linked node
         large = both.join(least, "lo").where(F.col("hi") > F.col("lo")).select(F.col("m").alias("lo"), "hi").distinct()
         # small star: each node's smaller neighbours, and it, are linked to the least of them
         small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
