@@ -157,8 +157,8 @@ class Network:
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, size: int = 64, rate: float = 0.01) -> Network:
         rng = np.random.default_rng(66)
-        m, v, t = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2)), None, 0
-        m, v = m
+        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
+        t = 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for a in range(0, len(x), size):
