@@ -1,7 +1,7 @@
 """N-gram Jaccard join (operator 3): MinHash banding, then verification on full n-gram sets.
 
 N-grams are runs of ``n`` words (split at white space, lower case); a shorter text is one n-gram.  Texts with the same
-set of n-grams are one *set*, represented by its least doc_id.  ``BANDS`` bands of ``ROWS`` MinHash values follow from the
+set of n-grams are one *set*, for which one row is verified.  ``BANDS`` bands of ``ROWS`` MinHash values follow from the
 threshold and the target recall (``choose_bands``); sets that agree on a band's hash meet in its bucket.
 
 Buckets compare one-byte MinHash sketches of all their pairs, a large bucket in blocks, and pass on a spanning forest of
@@ -15,8 +15,8 @@ Result, one row for each row of the input: ``class_id`` (least doc_id of the cla
 rows whose n-gram set has a Jaccard similarity of at least the threshold).
 
 Defined results: null and empty texts, or texts of white space alone, have the empty n-gram set and are alike; repeated
-rows are linked like other copies; a null doc_id counts as a document of its own class, if alone; an empty table gives
-no rows; other columns pass through, and those called ``class_id`` or ``n_links`` are replaced.
+rows are linked like other copies; a row without doc_id is linked like any other and names no class, so that the class_id
+is null where all rows of a class have none; an empty table gives no rows; other columns pass through, and those called ``class_id`` or ``n_links`` are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import common
@@ -98,15 +98,16 @@ def minhashes(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = "row_id bigint, sig_a bigint, sig_b bigint, bands array<bigint>, sketch binary"
+_KEYS = ["doc_id", "key_a", "key_b"]
+_SIGNED = "doc_id bigint, key_a bigint, key_b bigint, sig_a bigint, sig_b bigint, bands array<bigint>, sketch binary"
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """Of each ``row_id, text``: a 128-bit signature of its n-gram set, its band hashes and its one-byte sketch."""
+    """Of each ``doc_id, key_a, key_b, text``: a 128-bit signature of its n-gram set, its band hashes and its one-byte sketch."""
 
     def sign(batches):
         for batch in batches:
-            ids = common.column_of(batch, "row_id")
+            keys = [common.column_of(batch, c) for c in _KEYS]
             data, at = common.utf8(common.column_of(batch, "text"))
             for first, last in common.steps(at):
                 grams, begin = ngrams(data[at[first] : at[last]], at[first : last + 1] - at[first])
@@ -124,8 +125,8 @@ def signatures(rows: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(docs + 1, dtype=np.int32) * BANDS), pa.array(band.ravel().view(np.int64)))
                 sketch = (m & 0xFF).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, docs), pa.array(sig_a.view(np.int64)), pa.array(sig_b.view(np.int64)), lists, pa.array([r.tobytes() for r in sketch], pa.binary())],
-                    names=["row_id", "sig_a", "sig_b", "bands", "sketch"],
+                    [*(c.slice(first, docs) for c in keys), pa.array(sig_a.view(np.int64)), pa.array(sig_b.view(np.int64)), lists, pa.array([r.tobytes() for r in sketch], pa.binary())],
+                    names=[*_KEYS, "sig_a", "sig_b", "bands", "sketch"],
                 )
 
     return rows.mapInArrow(sign, _SIGNED)
@@ -259,32 +260,44 @@ def common_counts(column: np.ndarray, begin: np.ndarray, left: np.ndarray, right
     return np.rint(out).astype(np.int64)
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links`` of every row."""
-    keyed = docs.select("doc_id", common.text_or_empty().alias("text")).withColumn("row_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
-    signed = common.staged(signatures(keyed.select("row_id", "text")), "ngram-signatures")
-    sets = signed.groupBy("sig_a", "sig_b").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"))
+def row_keys() -> tuple[Column, Column]:
+    """A 128-bit key of a row's doc_id and text: rows share it only if they repeat both."""
+    parts = (F.col("doc_id").isNull(), F.col("doc_id").cast("long"), common.text_or_empty())
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+
+
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows (``doc_id, key_a, key_b, sig_a, sig_b``), and each set's ``sig_a, sig_b, class, class_id, n_links``."""
+    key_a, key_b = row_keys()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"), key_a.alias("key_a"), key_b.alias("key_b"))
+    signed = common.staged(signatures(keyed.select(*_KEYS, "text")), "ngram-signatures")
+    sets = signed.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies"), F.min(F.struct("key_a", "key_b")).alias("key"))
     sets = common.staged(sets, "ngram-sets")
     # a doc_id may stand in several rows with different texts: a set's number is that of its own signature
     reps = common.staged(signed.dropDuplicates(["sig_a", "sig_b"]).select(F.xxhash64("sig_a", "sig_b").alias("rep"), "bands", "sketch"), "ngram-reps")
-    of_set = sets.select(F.xxhash64("sig_a", "sig_b").alias("set"), "sig_a", "sig_b", F.col("rep").alias("least_doc"), "copies")
+    of_set = sets.select(F.xxhash64("sig_a", "sig_b").alias("set"), "sig_a", "sig_b", "least_doc", "copies", "key")
 
     candidates = components(candidate_forest(reps))
     candidates = common.staged(candidates, "ngram-candidates")
     blocks = candidates.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = candidates.join(blocks, "label").select(F.col("node").alias("set"), "label", "blocks").join(of_set, "set")
-    with_text = members.select(F.col("set").alias("rep"), "label", "blocks", "copies", F.col("least_doc").alias("row_id"), "sig_a", "sig_b")
-    # the text of a set: that of any of its documents with the least id
-    texts = keyed.select("row_id", "text").join(with_text, "row_id")
+    with_text = members.select(F.col("set").alias("rep"), "label", "blocks", "copies", "key.key_a", "key.key_b")
+    # the text of a set: that of the row with its least key, once if that row is repeated
+    texts = keyed.select("key_a", "key_b", "text").join(with_text, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
     links = common.staged(verified(texts.select("label", "rep", "copies", "blocks", "text")), "ngram-links")
 
     classes = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
     named = of_set.join(classes.select(F.col("node").alias("set"), "label"), "set", "left").join(linked.withColumnRenamed("rep", "set"), "set", "left")
     least = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("least_doc").alias("class_id"))
-    named = named.join(least, "label", "left").select("sig_a", "sig_b", F.coalesce("class_id", "least_doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    ids = signed.select(F.when(F.col("row_id") != -1, F.col("row_id")).alias("doc_id"), "sig_a", "sig_b")
-    return ids.join(named, ["sig_a", "sig_b"]).select("doc_id", "class_id", "n_links")
+    named = named.join(least, "label", "left").select("sig_a", "sig_b", F.coalesce("label", "set").alias("class"), F.coalesce("class_id", "least_doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.select(*_KEYS, "sig_a", "sig_b"), named
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_links`` of every row."""
+    rows, named = classified(docs)
+    return rows.select("doc_id", "sig_a", "sig_b").join(named, ["sig_a", "sig_b"]).select("doc_id", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

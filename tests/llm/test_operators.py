@@ -137,6 +137,17 @@ def test_ngram_join_of_odd_rows(odd, empty):
     assert len(kept) == len(set(kept)) and {5, 8, 9, 10, 11, None} <= set(kept) and not {6, 7, 12, 13} & set(kept)
 
 
+def test_ngram_join_of_repeated_rows_with_a_near_text(spark):
+    base = [f"w{k}" for k in range(200)]
+    text, near, other = " ".join(base), " ".join(base[:100] + ["x"] + base[101:]), " ".join(f"y{k}" for k in range(50))
+    rows = [(1, text), (1, text), (2, near), (None, other), (None, other + " z"), (None, "alone"), (-1, "minus one"), (7, other)]
+    rows += [(None, f"{k} {text}") for k in range(3)]
+    links = brute_links(rows)
+    got = collections.Counter((x["doc_id"], x["class_id"], x["n_links"]) for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    classes = [1, 1, 1, 7, 7, None, -1, 7, 1, 1, 1]
+    assert got == collections.Counter((d, c, len(n)) for (d, _), c, n in zip(rows, classes, links, strict=True))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {x["node"]: x["label"] for x in components.components(links).collect()}
