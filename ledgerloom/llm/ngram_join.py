@@ -301,11 +301,19 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least doc_id, with all its columns.
+    """One document of each class, with all its columns: the one with the least doc_id, one without only if no other has any.
 
-    Rows that repeat a doc_id, or have none, count as one document.
+    Rows that repeat a doc_id count as one document, which one of them stands for; each row without doc_id is its own.
     """
-    kept = common.staged(join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct(), "ngram-kept")
-    # the join's partitions serve the removal of repeated ids too, so that texts are shuffled once
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()).limit(1))
+    rows, named = classified(docs)
+    rows = rows.join(named.select("sig_a", "sig_b", "class"), ["sig_a", "sig_b"]).select("doc_id", "class", F.struct("key_a", "key_b").alias("key"))
+    # a document's row is chosen before its class is asked, so that no other class goes with the rows that aren't
+    one = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("key", "class")).alias("row")).select("doc_id", "row.class", "row.key")
+    one = one.unionByName(rows.where(F.col("doc_id").isNull()))
+    least = one.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row"))
+    new = "_" * (1 + max(len(c) for c in docs.columns))  # names that no column has
+    key = [f"{new}a", f"{new}b"]
+    kept = common.staged(least.select(F.col("row.key.key_a").alias(key[0]), F.col("row.key.key_b").alias(key[1])), "ngram-kept")
+    # the join's partitions serve the removal of repeated rows too, so that texts are shuffled once
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(row_keys(), key, strict=True)))
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)

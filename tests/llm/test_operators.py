@@ -148,6 +148,20 @@ def test_ngram_join_of_repeated_rows_with_a_near_text(spark):
     assert got == collections.Counter((d, c, len(n)) for (d, _), c, n in zip(rows, classes, links, strict=True))
 
 
+def test_one_document_of_each_class_stays(spark):
+    r = random.Random(8)
+    texts = [[f"t{k}_{j}" for j in range(60)] for k in range(12)]
+    near = lambda k: " ".join([*texts[k][:-1], "z"])
+    full = [" ".join(t) for t in texts]
+    rows = [(None, full[k]) for k in range(6)] + [(None, full[0]), (20, full[1]), (21, near(2)), (None, near(3))]
+    rows += [(30, full[6]), (30, full[7]), (31, near(6)), (32, near(7)), (40, full[8]), (40, full[8]), (41, near(8)), (-1, full[9]), (50, full[10])]
+    r.shuffle(rows)
+    kept = [(x["doc_id"], x["text"]) for x in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(int(t.split("_")[0][1:]) for _, t in kept) == list(range(11))
+    ids = {int(t.split("_")[0][1:]): d for d, t in kept}
+    assert [ids[k] for k in (0, 1, 2, 3, 4, 5, 8, 9, 10)] == [None, 20, 21, None, None, None, 40, -1, 50]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {x["node"]: x["label"] for x in components.components(links).collect()}
