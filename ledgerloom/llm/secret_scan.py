@@ -1,16 +1,16 @@
 """Secret scans (operator 6): base patterns, and a character convolutional network over every candidate.
 
-Candidates are the matches of three base patterns (assignments, access keys, long hex strings) and every other run of
-``LEAST`` or more token characters that mixes letters and digits.  The network reads each candidate with its surrounding
-context as characters: an embedding, one convolution, the maximum over the candidate and over what stands before it, and
+Matches of three base patterns (assignments, access keys, long hex strings) are always findings, and not scored.
+Candidates are every run of ``LEAST`` or more token characters that has a letter, or what base matches leave of it on
+either side.  The network reads each candidate with its surrounding context as characters, a longer one in windows of
+``INSIDE`` characters, ``STRIDE`` apart, of which the highest score counts: an embedding, one convolution, the maximum over the candidate and over what stands before it, and
 a linear layer, all in numpy.  It is trained on labelled findings: made by rule from fixed seeds, secrets of many shapes
 in secret contexts and look-alikes (numbers, addresses, links, long words, digests of files) in plain ones.  A held-out
 part calibrates its scores (a line through the log-odds) and sets the threshold: the highest that keeps
-``RECALL`` of the held-out secrets.  Base matches are always findings; candidates at or over the threshold are added as
-spans of kind ``net``.
+``RECALL`` of the held-out secrets.  Candidates at or over the threshold are added as spans of kind ``net``.
 
-Positions are code points, ends are exclusive.  Per kind, matches are leftmost and don't overlap; a candidate that
-touches a base match is not added.  Spans are ordered by start, then assign, access, hex, net.
+Positions are code points, ends are exclusive.  Per kind, matches are leftmost and don't overlap; candidates
+don't overlap base matches.  Spans are ordered by start, then assign, access, hex, net.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned alike; an empty table gives no rows;
 extra columns are ignored by ``scan`` and kept by ``redact``.
@@ -47,12 +47,14 @@ RECALL = 0.98
 #: Labelled findings of either kind.
 FINDINGS = 1500
 BEFORE, INSIDE, AFTER = 32, 48, 8
+#: Any secret of up to INSIDE - STRIDE + 1 characters is in one window as a whole.
+STRIDE = 8
 WIDTH = BEFORE + INSIDE + AFTER
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -64,17 +66,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def other_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of token characters with letters and digits that touch no base match."""
+    """Runs of token characters with a letter, less the base matches in them."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(a < m.end() and m.start() < b for a, _, b in base):
-            out.append((m.start(), m.end()))
+        start = m.start()
+        for a, _, b in [*base, (m.end(), 0, m.end())]:
+            if b <= start or a > m.end():
+                continue
+            if a > start and any(c.isalpha() for c in text[start:a]):
+                out.append((start, a))
+            start = max(start, b)
     return out
 
 
 def suspects(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Documents that may hold a candidate, from their bytes alone: a keyword, or a run of token characters with a digit."""
+    """Documents that may hold a candidate, from their bytes alone: a keyword, or a run of token characters with a letter."""
     hit = np.zeros(len(at) - 1, bool)
     low = data.tobytes().lower()
     for word in _KEYWORDS:
@@ -88,10 +94,10 @@ def suspects(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     start, end = edges[::2], edges[1::2]
     long = np.flatnonzero(end - start >= LEAST)
     if len(long):
-        digits = np.r_[0, np.cumsum(_DIGIT[data])]
+        letters = np.r_[0, np.cumsum(_LETTER[data])]
         s, e = start[long], end[long]
-        letters_too = digits[e] > digits[s]
-        letters_too |= e - s >= 32  # hex of letters alone
+        letters_too = letters[e] > letters[s]
+        letters_too |= e - s >= 32  # hex of digits alone
         s, e = s[letters_too], e[letters_too]
         first, last = np.searchsorted(at, s, "right") - 1, np.searchsorted(at, e - 1, "right") - 1
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
@@ -115,6 +121,12 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return np.array([0 if c == "\0" else _NUMBER.get(c, _LETTERS - 1) for c in left + inside + right], np.int64)
 
 
+def windows(text: str, start: int, end: int) -> list[np.ndarray]:
+    """Windows over the whole length of a candidate."""
+    last = max(start, end - INSIDE)
+    return [window(text, k, min(end, k + INSIDE)) for k in [*range(start, last, STRIDE), last]]
+
+
 class Network:
     """Embedding, convolution, two maxima and a linear layer; trained by adaptive moments."""
 
@@ -236,13 +248,36 @@ def labelled_findings(n: int = FINDINGS, seed: int = 2024) -> list[tuple[str, in
     return out
 
 
+def long_windows(n: int = FINDINGS // 3, seed: int = 4048) -> tuple[np.ndarray, np.ndarray]:
+    """Windows inside long runs, and their labels: of ``n`` paths and slugs, and of as many secrets behind a path and behind an access key."""
+    r = random.Random(seed)
+    secrets = [t[a:b] for t, a, b, k in labelled_findings(n, seed) if k]
+    x, y = [], []
+    for value in secrets:
+        sep = r.choice("//-_")
+        words = ["".join(r.choice("bcdfghlmnprstvwy") + r.choice("aeiou") + r.choice(["", "", "n", "r", "s", "ck", "t"]) for _ in range(r.randint(1, 4))) + (str(r.randint(1, 99)) if r.random() < 0.2 else "") for _ in range(r.randint(6, 14))]
+        run = sep.join(words)
+        plain = windows(f"see {run} here", 4, 4 + len(run))
+        x += [w for k, w in enumerate(plain) if k in (0, len(plain) - 1) or r.random() < 0.3]
+        y += [0.0] * (len(x) - len(y))
+        head = f"see {run}{sep}"
+        start = max(4, len(head) - r.randrange(STRIDE))
+        x.append(window(f"{head}{value} here", start, min(start + INSIDE, len(head) + len(value))))
+        head = "key AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+        rest = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(16, 40)))
+        x.append(window(f"{head}{rest} here", len(head), len(head) + len(rest)))
+        y += [1.0, 1.0]
+    return np.array(x), np.array(y)
+
+
 @functools.cache
 def trained() -> Network:
-    """The network, trained on two thirds of the labelled findings and calibrated on the rest."""
+    """The network, trained on windows inside long runs and two thirds of the labelled findings, calibrated on the rest."""
     found = labelled_findings()
     x, y = np.array([window(t, a, b) for t, a, b, _ in found]), np.array([float(k) for *_, k in found])
     held = np.arange(len(x)) // 2 % 3 == 2
-    return Network().fit(x[~held], y[~held]).calibrate(x[held], y[held])
+    more, label = long_windows()
+    return Network().fit(np.concatenate([x[~held], more]), np.concatenate([y[~held], label])).calibrate(x[held], y[held])
 
 
 def find_spans(text: str, network: Network) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -251,7 +286,9 @@ def find_spans(text: str, network: Network) -> tuple[list[tuple[int, int, int]],
     more = other_candidates(text, base)
     if not more:
         return base, base
-    score = network.score(np.array([window(text, a, b) for a, b in more]))
+    read = [windows(text, a, b) for a, b in more]
+    first = np.cumsum([0, *map(len, read[:-1])])
+    score = np.maximum.reduceat(network.score(np.array([x for w in read for x in w])), first)
     return base, sorted(base + [(a, 3, b) for (a, b), s in zip(more, score.tolist(), strict=True) if s >= network.threshold])
 
 

@@ -304,6 +304,21 @@ def test_base_spans_follow_the_patterns(spark):
         assert set(listed.split(",")) <= set(x["spans"].split(",")) or not listed
 
 
+def test_secrets_in_any_part_of_a_run(spark):
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    path = "com/v1/accounts/production/webhooks/callback/"
+    long = [path + "ghp_" + pick(letters + "0123456789", 36) for _ in range(20)]
+    rest = [pick(letters[:26] + "0123456789", 24) for _ in range(20)]
+    plain = [pick(letters, 20) for _ in range(20)]
+    texts = [f"see {x} here" for x in long] + [f"key AKIA{pick(letters[26:], 16)}{x} here" for x in rest] + [f"auth key {x} here" for x in plain] + [f"see {path * 3} here"]
+    rows = [(k, t, len(t)) for k, t in enumerate(texts)]
+    out = {x["doc_id"]: x["text"] for x in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    gone = [x not in out[k] for k, x in enumerate(long + rest + plain)]
+    assert all(sum(gone[k : k + 20]) >= 18 for k in (0, 20, 40)) and out[60] == texts[60]
+
+
 def test_secrets_of_odd_rows(odd, empty):
     out = secret_scan.scan(odd).collect()
     assert len(out) == ODD_ROWS and secret_scan.scan(empty).count() == 0
