@@ -75,7 +75,7 @@ def res02_date_confidence(v: Views) -> DataFrame:
 def enr01_date_votes(v: Views) -> DataFrame:
     """The date that most evidence of each deal agrees on."""
     rows = v.articles.where("published_date IS NOT NULL").select("deal_id", F.col("article_id").alias("seq"), F.col("published_date").alias("date"), ((F.col("article_id") % 7) / 10.0).alias("confidence"))
-    return merge.date_votes(rows.where("deal_id < 300"))
+    return merge.date_votes(rows)
 
 
 @query()

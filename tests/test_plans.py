@@ -47,3 +47,11 @@ def test_query_agrees_with_sql(spark, duck, name):
 def test_no_nested_loops(spark, name):
     plan = plans.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_date_votes_of_every_deal(spark, duck):
+    from ledgerloom.plans.views import with_views
+
+    deals = duck.execute(with_views("SELECT DISTINCT deal_id FROM articles WHERE published_date IS NOT NULL")).fetchall()
+    assert {r["deal_id"] for r in plans.QUERIES["enr01_date_votes"](spark, FOLDER).collect()} == {d for d, in deals}
+    assert max(d for d, in deals) >= 300
