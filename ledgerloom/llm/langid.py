@@ -1,7 +1,7 @@
 """Language identification (operator 1): multinomial naive Bayes over hashed character n-grams.
 
-Training counts 1-, 2- and 3-grams of code points (lower case, white space as one blank, a blank on either side of the
-text) into ``BUCKETS`` hash buckets per language, in Spark tasks, and sums the counts by (language, bucket).  The matrix
+Training counts 1-, 2- and 3-grams of code points (lower case, white space as one blank, a blank before the text and
+blanks after it) into ``BUCKETS`` hash buckets per language, in Spark tasks, and sums the counts by (language, bucket).  The matrix
 of log probabilities, languages x buckets, is broadcast; its size is fixed by the number of languages and buckets.
 Scoring takes whole batches: all n-grams of a batch of texts are hashed at once, and each language's log probabilities
 are gathered and summed by document.
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm import common
 
 BUCKETS = 1 << 16
-#: About so many documents of each language are learned from, chosen by a hash of their doc_id; fewer if there are fewer.
+#: About so many documents of each language are learned from, chosen by a hash of doc_id and text; fewer if there are fewer.
 DOCS_PER_LANGUAGE = 4000
 UNKNOWN = "und"
 
@@ -50,8 +50,11 @@ def gram_buckets(texts: pa.Array):
         h = padded * _MULTIPLIERS[0]
         out = [h]
         for k in (1, 2):
-            h = h.copy()
-            h[:-k] += padded[k:] * _MULTIPLIERS[k]
+            ahead = np.full(len(padded), 32, np.uint32)
+            ahead[:-k] = padded[k:]
+            for j in range(k):  # what follows a document is blank, whatever stands next in the batch
+                ahead[start[1:] - 1 - j] = 32
+            h = h + ahead * _MULTIPLIERS[k]
             out.append(h)
         kinds = []
         for k, h in enumerate(out):
@@ -68,7 +71,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, docs_per_language: int =
     if not languages:
         return [], np.zeros((0, buckets), np.float32)
     rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / sizes[k]))])
-    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
+    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.where(chance < rate[F.col("lang")]).select("text", "lang")
     number = {k: i for i, k in enumerate(languages)}
 
