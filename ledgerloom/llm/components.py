@@ -25,7 +25,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: each node's smaller neighbours, and it, are linked to the least of them
         small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(small_least, "hi").select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).where(F.col("lo") != F.col("hi")).distinct()
-        edges = common.staged(small, "components")
+        before, edges = edges, common.staged(small, "components")
+        common.discard(before)
+        common.discard(least)
         state = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s")).collect()[0]
         if (state["n"], state["s"]) == previous:
             break

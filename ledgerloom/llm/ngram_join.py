@@ -16,7 +16,8 @@ rows whose n-gram set has a Jaccard similarity of at least the threshold).
 
 Defined results: null and empty texts, or texts of white space alone, have the empty n-gram set and are alike; repeated
 rows are linked like other copies; a row without doc_id is linked like any other and names no class, so that the class_id
-is null where all rows of a class have none; an empty table gives no rows; other columns pass through, and those called ``class_id`` or ``n_links`` are replaced.
+is null where all rows of a class have none; an empty table gives no rows; ``join`` ignores other columns, ``one_of_each``
+keeps them.
 """
 
 from __future__ import annotations
@@ -271,13 +272,14 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key_a, key_b = row_keys()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"), key_a.alias("key_a"), key_b.alias("key_b"))
     signed = common.staged(signatures(keyed.select(*_KEYS, "text")), "ngram-signatures")
-    sets = signed.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("copies"), F.min(F.struct("key_a", "key_b")).alias("key"))
-    sets = common.staged(sets, "ngram-sets")
-    # a doc_id may stand in several rows with different texts: a set's number is that of its own signature
-    reps = common.staged(signed.dropDuplicates(["sig_a", "sig_b"]).select(F.xxhash64("sig_a", "sig_b").alias("rep"), "bands", "sketch"), "ngram-reps")
-    of_set = sets.select(F.xxhash64("sig_a", "sig_b").alias("set"), "sig_a", "sig_b", "least_doc", "copies", "key")
-
-    candidates = components(candidate_forest(reps))
+    sets = signed.groupBy("sig_a", "sig_b").agg(
+        F.min("doc_id").alias("least_doc"), F.count("*").alias("copies"), F.min(F.struct("key_a", "key_b")).alias("key"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+    )
+    # numbered once and written, so that the number of a set is its own and stays
+    sets = common.staged(sets.withColumn("set", F.monotonically_increasing_id()), "ngram-sets")
+    of_set = sets.drop("bands", "sketch")
+
+    candidates = components(candidate_forest(sets.select(F.col("set").alias("rep"), "bands", "sketch")))
     candidates = common.staged(candidates, "ngram-candidates")
     blocks = candidates.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = candidates.join(blocks, "label").select(F.col("node").alias("set"), "label", "blocks").join(of_set, "set")
@@ -301,16 +303,13 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all its columns: the one with the least doc_id, one without only if no other has any.
+    """One row of each class, with all its columns: the one with the least doc_id, one without only if no other has any.
 
-    Rows that repeat a doc_id count as one document, which one of them stands for; each row without doc_id is its own.
+    Rows that share a doc_id and not their text stand each for themselves; of rows that repeat both, any one.
     """
     rows, named = classified(docs)
-    rows = rows.join(named.select("sig_a", "sig_b", "class"), ["sig_a", "sig_b"]).select("doc_id", "class", F.struct("key_a", "key_b").alias("key"))
-    # a document's row is chosen before its class is asked, so that no other class goes with the rows that aren't
-    one = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("key", "class")).alias("row")).select("doc_id", "row.class", "row.key")
-    one = one.unionByName(rows.where(F.col("doc_id").isNull()))
-    least = one.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("row"))
+    rows = rows.join(named.select("sig_a", "sig_b", "class"), ["sig_a", "sig_b"])
+    least = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.struct("key_a", "key_b").alias("key"))).alias("row"))
     new = "_" * (1 + max(len(c) for c in docs.columns))  # names that no column has
     key = [f"{new}a", f"{new}b"]
     kept = common.staged(least.select(F.col("row.key.key_a").alias(key[0]), F.col("row.key.key_b").alias(key[1])), "ngram-kept")

@@ -28,10 +28,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset (local runs)."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, a temporary one, on a local master alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = tempfile.mkdtemp(prefix="spark-")
@@ -53,7 +55,9 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Free the files of a staged table that nothing reads any more."""
-    path = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
-    if path:
-        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+    """Delete the files of a staged table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
