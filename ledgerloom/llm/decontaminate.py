@@ -5,7 +5,8 @@ of n bytes within ``k = budget * n`` edits of a stretch of text shares at least
 all on diagonals (text position less item position) at most k apart.  So the shared q-grams of a document and an item are
 counted in diagonal bands of 2k + 1, each overlapping its neighbour by half, and a band is kept only if its count meets
 that bound.  What is left is verified by a banded alignment of the item against the stretch: the edit distance of the
-whole item to the best-matching part of the stretch.
+whole item to the best-matching part of the stretch.  Items too short for the bound to hold with ``q`` get shorter
+q-grams, ``n // (k + 1)``, with which it does; the edit budget is the same for all.
 
 The q-grams of the items are broadcast while they are under ``BROADCAST_BYTES``; a larger benchmark is dealt by a hash of
 the item into as many slices as that takes, one scan of the documents for each.
@@ -13,8 +14,8 @@ the item into as many slices as that takes, one scan of the documents for each.
 Result: one row for each document and item found: ``doc_id, item_id, start, stop, edits`` (positions in the compared
 form of the text).
 
-Defined results: null and empty texts hold no item; items of fewer than ``q`` compared bytes, null ones too, are never
-found; an item that occurs several times in a document is reported at its best, then leftmost place; rows that repeat
+Defined results: null and empty texts hold no item; items of fewer than ``LEAST`` compared bytes, null ones too, name
+nothing in particular and are never found; an item that occurs several times in a document is reported at its best, then leftmost place; rows that repeat
 are each reported; items that are equal are each reported; empty tables give no rows; extra columns are ignored.
 """
 
@@ -31,10 +32,14 @@ from pyspark.sql import types as T
 from ledgerloom.llm import common
 
 Q = 8
+#: Compared bytes of an item, at least.
+LEAST = 8
 #: Edits allowed, as a part of the item's length.
 BUDGET = 0.1
 #: Of item text in a slice that is broadcast at once.
 BROADCAST_BYTES = 4 << 20
+#: Shared q-grams that are counted at once; the items are taken in turns where a stretch of documents has more.
+HITS = 1 << 22
 
 _PLAIN = np.full(256, 32, np.uint8)
 for _c in range(256):
@@ -55,55 +60,68 @@ def compared_form(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return plain[keep], moved[at]
 
 
-def thresholds(n: int, budget: float = BUDGET, q: int = Q) -> tuple[int, int]:
-    """Edits allowed and shared q-grams required for an item of ``n`` bytes."""
+def thresholds(n: int, budget: float = BUDGET, q: int = Q) -> tuple[int, int, int]:
+    """Edits allowed, length of the q-grams and shared q-grams required for an item of ``n`` bytes."""
     k = int(budget * n)
-    while k and n + 1 - q * (k + 1) < 1:
-        k -= 1
-    return k, n + 1 - q * (k + 1)
+    q = min(q, n // (k + 1))
+    return k, q, n + 1 - q * (k + 1)
 
 
 class Items:
-    """Benchmark items in compared form, with their q-grams sorted by hash."""
-
-    def __init__(self, ids: list[int], texts: list[str], budget: float, q: int):
-        self.q, self.ids = q, []
-        self.text: list[np.ndarray] = []
-        grams, owner, place = [], [], []
-        for item, text in zip(ids, texts, strict=True):
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            data, _ = compared_form(data, np.array([0, len(data)]))
-            data = data[: len(data) - (len(data) > 0 and data[-1] == 32)]
-            if len(data) < q:
-                continue
-            h = common.window_hash(common.prefix_hash(data), q)
-            grams.append(h)
-            owner.append(np.full(len(h), len(self.ids)))
-            place.append(np.arange(len(h)))
-            self.ids.append(item)
-            self.text.append(data)
-        limits = [thresholds(len(t), budget, q) for t in self.text]
-        self.edits = np.array([k for k, _ in limits], np.int64)
-        self.needed = np.array([m for _, m in limits], np.int64)
-        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+    """Benchmark items of one q-gram length in compared form, with their q-grams sorted by hash."""
+
+    def __init__(self, q: int, ids: list[int], texts: list[np.ndarray], limits: list[tuple[int, int, int]]):
+        self.q, self.ids, self.text = q, ids, texts
+        grams = [common.window_hash(common.prefix_hash(t), q) for t in texts]
+        self.edits = np.array([k for k, _, _ in limits], np.int64)
+        self.needed = np.array([m for *_, m in limits], np.int64)
+        self.grams = np.concatenate(grams)
         order = np.argsort(self.grams, kind="stable")
         self.grams = self.grams[order]
-        self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(ids)), [len(g) for g in grams])[order]
+        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order]
         self.bits = max(16, int(len(self.grams) * 32).bit_length())
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self.grams >> np.uint64(64 - self.bits)] = True
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text position, item and item position of every shared q-gram."""
-        if len(data) < self.q or not len(self.grams):
-            return (np.zeros(0, np.int64),) * 3
+    def hits(self, data: np.ndarray):
+        """Text position, item and item position of every shared q-gram, the items in turns of at most about ``HITS``."""
+        if len(data) < self.q:
+            return
         h = common.window_hash(common.prefix_hash(data), self.q)
         at = np.flatnonzero(self.maybe[h >> np.uint64(64 - self.bits)])
         lo, hi = (np.searchsorted(self.grams, h[at], side) for side in ("left", "right"))
         n = hi - lo
-        k = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.repeat(at, n), self.owner[k], self.place[k]
+        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        turns = 1 + int(n.sum()) // HITS
+        for turn in range(turns):
+            parts = [(np.zeros(0, np.int64),) * 3]
+            for a in range(0, len(n), HITS):  # few positions can have many hits, many have few
+                some = n[a : a + HITS]
+                ends = np.cumsum(some)
+                cuts = np.searchsorted(ends, np.arange(1, int(ends[-1]) // HITS + 1) * HITS, "left") + 1 if turns > 1 else []
+                for b, c in zip([0, *cuts], [*cuts, len(some)], strict=True):
+                    if c > b:
+                        m = some[b:c]
+                        k = np.repeat(lo[a + b : a + c] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+                        place = np.repeat(at[a + b : a + c], m)
+                        mine = self.owner[k] % turns == turn
+                        parts.append((place[mine], self.owner[k][mine], self.place[k][mine]))
+            yield tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def item_sets(ids: list[int], texts: list[str], budget: float, q: int) -> list[Items]:
+    """The items in compared form, by the length of their q-grams."""
+    by_q: dict[int, tuple[list, list, list]] = {}
+    for item, text in zip(ids, texts, strict=True):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        data, _ = compared_form(data, np.array([0, len(data)]))
+        data = data[: len(data) - (len(data) > 0 and data[-1] == 32)]
+        if len(data) >= LEAST:
+            limits = thresholds(len(data), budget, q)
+            for column, value in zip(by_q.setdefault(limits[1], ([], [], [])), (item, data, limits), strict=True):
+                column.append(value)
+    return [Items(k, *columns) for k, columns in sorted(by_q.items())]
 
 
 def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
@@ -168,25 +186,31 @@ def verify(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int
     return (0, exact, exact + len(item)) if exact >= 0 else align(item, text, most)
 
 
-def found_in(items: Items, data: np.ndarray, at: np.ndarray):
+def found_in(sets: list[Items], data: np.ndarray, at: np.ndarray):
     """Document, item, start, stop and edits of each item found in some documents."""
     for first, last in common.steps(at):
         part, begin = compared_form(data[at[first] : at[last]], at[first : last + 1] - at[first])
-        place, item, item_place = items.hits(part)
-        doc = np.searchsorted(begin, place, "right") - 1
-        inside = place + items.q <= begin[doc + 1]
-        place, item, item_place, doc = place[inside], item[inside], item_place[inside], doc[inside]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, diagonal in _bands(items, place - begin[doc], doc, item, item_place):
-            if best.get((d, i), (1,))[0] == 0:
-                continue
-            k, n = int(items.edits[i]), len(items.text[i])
-            a, b = max(0, diagonal - k), min(int(begin[d + 1] - begin[d]), diagonal + 2 * (k + 1) + n + k)
-            got = verify(items.text[i], part[begin[d] + a : begin[d] + b], k)
-            if got and (got[0], a + got[1], a + got[2]) < best.get((d, i), (1 << 30,)):
-                best[d, i] = (got[0], a + got[1], a + got[2])
-        for (d, i), (edits, start, stop) in best.items():
-            yield first + d, items.ids[i], start, stop, edits
+        for items in sets:
+            for place, item, item_place in items.hits(part):
+                doc = np.searchsorted(begin, place, "right") - 1
+                inside = place + items.q <= begin[doc + 1]
+                place, item, item_place, doc = place[inside], item[inside], item_place[inside], doc[inside]
+                for (d, i), (edits, start, stop) in _best(items, part, begin, place, doc, item, item_place).items():
+                    yield first + d, items.ids[i], start, stop, edits
+
+
+def _best(items: Items, part: np.ndarray, begin: np.ndarray, place: np.ndarray, doc: np.ndarray, item: np.ndarray, item_place: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Of each document and item with a band that verifies: the least edits, and the leftmost place that needs them."""
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for d, i, diagonal in _bands(items, place - begin[doc], doc, item, item_place):
+        if best.get((d, i), (1,))[0] == 0:
+            continue
+        k, n = int(items.edits[i]), len(items.text[i])
+        a, b = max(0, diagonal - k), min(int(begin[d + 1] - begin[d]), diagonal + 2 * (k + 1) + n + k)
+        got = verify(items.text[i], part[begin[d] + a : begin[d] + b], k)
+        if got and (got[0], a + got[1], a + got[2]) < best.get((d, i), (1 << 30,)):
+            best[d, i] = (got[0], a + got[1], a + got[2])
+    return best
 
 
 def _slices(benchmark: DataFrame, budget: float, q: int):
@@ -205,7 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, q: int =
 
     def scan(shared):
         def work(batches):
-            items = Items(*shared.value)
+            items = item_sets(*shared.value)
             for batch in batches:
                 out = list(found_in(items, *common.utf8(common.column_of(batch, "text"))))
                 cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
@@ -224,7 +248,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, q: int
         def hit(text: pa.Array) -> pa.Array:
             if shared not in _built:
                 _built.clear()
-                _built[shared] = Items(*shared.value)
+                _built[shared] = item_sets(*shared.value)
             out = np.zeros(len(text), bool)
             out[[d for d, *_ in found_in(_built[shared], *common.utf8(text))]] = True
             return pa.array(out)
