@@ -1,13 +1,14 @@
 """Secret scans (operator 6): base patterns, and a character convolutional network over every candidate.
 
-Matches of three base patterns (assignments, access keys, long hex strings) are always findings, and not scored.
-Candidates are every run of ``LEAST`` or more token characters that has a letter, or what base matches leave of it on
+Candidates are the matches of three base patterns (assignments, of which the value is read, access keys, long hex
+strings), and every run of ``LEAST`` or more token characters that has a letter, or what base matches leave of it on
 either side.  The network reads each candidate with its surrounding context as characters, a longer one in windows of
 ``INSIDE`` characters, ``STRIDE`` apart, of which the highest score counts: an embedding, one convolution, the maximum over the candidate and over what stands before it, and
 a linear layer, all in numpy.  It is trained on labelled findings: made by rule from fixed seeds, secrets of many shapes
 in secret contexts and look-alikes (numbers, addresses, links, long words, digests of files) in plain ones.  A held-out
 part calibrates its scores (a line through the log-odds) and sets the threshold: the highest that keeps
-``RECALL`` of the held-out secrets.  Candidates at or over the threshold are added as spans of kind ``net``.
+``RECALL`` of the held-out secrets.  Base matches are findings whatever their score; other candidates at or over the
+threshold are added as spans of kind ``net``.
 
 Positions are code points, ends are exclusive.  Per kind, matches are leftmost and don't overlap; candidates
 don't overlap base matches.  Spans are ordered by start, then assign, access, hex, net.
@@ -57,20 +58,20 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """Start, kind and end of the base matches."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
-    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+def base_spans(text: str) -> list[tuple[int, int, int, int]]:
+    """Start, kind and end of the base matches, and where the value begins."""
+    found = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
+    found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
+    found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
-def other_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def other_candidates(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
     """Runs of token characters with a letter, less the base matches in them."""
     out = []
     for m in _CANDIDATE.finditer(text):
         start = m.start()
-        for a, _, b in [*base, (m.end(), 0, m.end())]:
+        for a, _, b, _ in [*base, (m.end(), 0, m.end(), 0)]:
             if b <= start or a > m.end():
                 continue
             if a > start and any(c.isalpha() for c in text[start:a]):
@@ -102,8 +103,11 @@ def suspects(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         first, last = np.searchsorted(at, s, "right") - 1, np.searchsorted(at, e - 1, "right") - 1
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
             hit[a : b + 1] = True
-    for k in re.finditer(rb"AKIA[A-Z0-9]{12}", data.tobytes()):
-        hit[int(np.searchsorted(at, k.start(), "right")) - 1] = True
+    every = data.tobytes()
+    k = every.find(b"AKIA")
+    while k >= 0:  # each start, as one that reaches over a document's end may hide the next document's
+        hit[int(np.searchsorted(at, k, "right")) - 1] = True
+        k = every.find(b"AKIA", k + 1)
     return hit
 
 
@@ -280,28 +284,30 @@ def trained() -> Network:
     return Network().fit(np.concatenate([x[~held], more]), np.concatenate([y[~held], label])).calibrate(x[held], y[held])
 
 
-def find_spans(text: str, network: Network) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans, of a text."""
+def find_spans(text: str, network: Network) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, float]]]:
+    """Base spans, and all spans with their scores, of a text."""
     base = base_spans(text)
     more = other_candidates(text, base)
-    if not more:
-        return base, base
-    read = [windows(text, a, b) for a, b in more]
+    if not base and not more:
+        return [], []
+    read = [windows(text, a, b) for _, _, b, a in base] + [windows(text, a, b) for a, b in more]
     first = np.cumsum([0, *map(len, read[:-1])])
-    score = np.maximum.reduceat(network.score(np.array([x for w in read for x in w])), first)
-    return base, sorted(base + [(a, 3, b) for (a, b), s in zip(more, score.tolist(), strict=True) if s >= network.threshold])
+    score = np.maximum.reduceat(network.score(np.array([x for w in read for x in w])), first).tolist()
+    every = [(a, k, b, s) for (a, k, b, _), s in zip(base, score, strict=False)]
+    every += [(a, 3, b, s) for (a, b), s in zip(more, score[len(base) :], strict=True) if s >= network.threshold]
+    return base, sorted(every)
 
 
-def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+def joined(spans: list[tuple]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
 
 
-_SPANS = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+_SPANS = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, scores string"
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Counts of base matches, the digest of their list, and all spans, of every document."""
+    """Counts of base matches, the digest of their list, and all spans with their scores, of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def work(batches):
@@ -310,15 +316,16 @@ def scan(docs: DataFrame) -> DataFrame:
             texts = common.column_of(batch, "text")
             data, at = common.utf8(texts)
             n = batch.num_rows
-            counts, digest, spans = np.zeros((3, n), np.int64), [_NOTHING] * n, [""] * n
+            counts, digest, spans, scores = np.zeros((3, n), np.int64), [_NOTHING] * n, [""] * n, [""] * n
             for first, last in common.steps(at, 8 * common.STEP_BYTES):
                 for k in np.flatnonzero(suspects(data[at[first] : at[last]], at[first : last + 1] - at[first])).tolist():
                     base, every = find_spans(texts[first + k].as_py(), network)
-                    for _, kind, _ in base:
+                    for _, kind, *_ in base:
                         counts[kind, first + k] += 1
                     digest[first + k] = hashlib.sha256(joined(base).encode()).hexdigest()
                     spans[first + k] = joined(every)
-            yield pa.RecordBatch.from_arrays([common.column_of(batch, "doc_id"), *(pa.array(c) for c in counts), pa.array(digest), pa.array(spans)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                    scores[first + k] = ",".join(f"{s:.3f}" for *_, s in every)
+            yield pa.RecordBatch.from_arrays([common.column_of(batch, "doc_id"), *(pa.array(c) for c in counts), pa.array(digest), pa.array(spans), pa.array(scores)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores"])
 
     return docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(work, _SPANS)
 
@@ -335,7 +342,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             for k in np.flatnonzero(suspects(data[at[first] : at[last]], at[first : last + 1] - at[first])).tolist():
                 old = text[first + k].as_py()
                 new, end = [], 0
-                for a, _, b in find_spans(old, shared.value)[1]:
+                for a, _, b, _ in find_spans(old, shared.value)[1]:
                     if a >= end:
                         new += [old[end:a], mark]
                     end = max(end, b)
