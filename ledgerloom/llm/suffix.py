@@ -15,7 +15,7 @@ Judgement.  A region that occurs twice is repeated in whole.  Where only the key
 passage), ``PROBES`` shorter strings around the anchor, one of which lies in any string of ``width`` bytes, tell whether
 a repeat is possible.  If so, the region's strings are compared one by one: their hashes meet by key, those of very
 frequent keys dealt further by hash, so that no group is large.  Last, each document drops the bytes that repeated
-strings cover.
+strings cover; ``text`` is what is left of it, without the parts of characters that a removed run cuts through.
 
 Defined results: a null text is empty; texts under ``width`` bytes stay whole; rows that repeat in full remove each
 other's text; matches don't cross documents; an empty table gives no rows; other columns are ignored.
@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import common
@@ -129,8 +129,14 @@ class IndexFamily:
         for _, level in self.levels:
             merged = merged.unionByName(level.withColumn("new", F.lit(False)))
         by_region = merged.repartition("key").groupBy("key", "region").agg(F.sum("n").alias("n"), F.min("speaker").alias("speaker"), F.max("new").alias("new"))
-        by_key = by_region.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("regions"), F.max("new").alias("new"), F.collect_list(F.when((F.col("n") > 1) & F.col("new"), F.struct("region", "speaker"))).alias("whole"))
-        self.repeated.append(common.staged(by_key.where((F.col("n") > 1) & F.col("new")).select("key", "regions", "whole"), "suffix-repeated"))
+        of_key = Window.partitionBy("key")
+        seen = by_region.select(
+            "key", "region", F.when((F.col("n") > 1) & F.col("new"), F.col("speaker")).alias("speaker"),
+            F.count("*").over(of_key).alias("regions"), F.sum("n").over(of_key).alias("entries"), F.max("new").over(of_key).alias("fresh"), F.min("region").over(of_key).alias("least"),
+        )
+        # a row for each region that occurs twice, and one for the key
+        repeated = seen.where((F.col("entries") > 1) & F.col("fresh") & (F.col("speaker").isNotNull() | (F.col("region") == F.col("least"))))
+        self.repeated.append(common.staged(repeated.select("key", "regions", "region", "speaker"), "suffix-repeated"))
         self.levels.append((1, batch))
 
     def found(self) -> tuple[DataFrame, DataFrame]:
@@ -139,27 +145,29 @@ class IndexFamily:
         for more in self.repeated[1:]:
             every = every.unionByName(more)
         keys = every.groupBy("key").agg(F.max("regions").alias("regions"))
-        regions = every.select("key", F.explode("whole").alias("x")).groupBy("key", "x.region").agg(F.min("x.speaker").alias("speaker"))
+        regions = every.where("speaker is not null").groupBy("key", "region").agg(F.min("speaker").alias("speaker"))
         # as tables, so that a join with them can split the rows of a frequent key
         return common.staged(keys, "suffix-keys"), common.staged(regions, "suffix-regions")
 
 
-_DONE = "doc_id bigint, row_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+_DONE = "doc_id bigint, row_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string"
+_OUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
 _MARKS = "array<struct<start:int,n:int,key:bigint,regions:int>>"
 
 
-def _cut(data: np.ndarray, start: np.ndarray, n: np.ndarray, width: int) -> tuple[int, int, str]:
-    """Bytes removed, runs removed and the digest of the rest, for strings that start in [start, start + n)."""
+def _cut(data: np.ndarray, start: np.ndarray, n: np.ndarray, width: int) -> tuple[int, int, str, str]:
+    """Bytes removed, runs removed, the digest of the rest and its whole characters, for strings that start in [start, start + n)."""
     change = np.zeros(len(data) + 1, np.int32)
     np.add.at(change, start, 1)
     np.add.at(change, start + n - 1 + width, -1)
     gone = np.cumsum(change[:-1]) > 0
     runs = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-    return int(gone.sum()), runs, hashlib.sha256(data[~gone].tobytes()).hexdigest()
+    rest = data[~gone].tobytes()
+    return int(gone.sum()), runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None, batches: int = 2) -> DataFrame:
-    """Per document: its bytes, bytes and runs that repeated strings of ``width`` bytes cover, and the digest of the rest."""
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None, batches: int = 4) -> DataFrame:
+    """Per document: its bytes, bytes and runs that repeated strings of ``width`` bytes cover, the digest of the rest, and the rest as text."""
     gram = gram or width * 3 // 10
     keyed = _keyed(docs)
     found = common.staged(anchor_table(keyed, width, gram).withColumn("batch", F.pmod("row_key", F.lit(batches)).cast("int")), "suffix-anchors")
@@ -191,36 +199,34 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None,
             out = [[], [], [], [], [], []]
             for text, own in zip(texts.to_pylist(), all_marks.to_pylist(), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
-                open_ = any(m["regions"] for m in own or ())
-                if open_:
-                    result = (len(data), None, None, None)
+                if any(m["regions"] for m in own or ()):
+                    result = (len(data), None, None, None, text, own)
                 else:
                     sure = np.array([(m["start"], m["n"]) for m in own or ()], np.int64).reshape(-1, 2)
-                    result = (len(data), *_cut(data, sure[:, 0], sure[:, 1], width))
-                for column, value in zip(out, (*result, text if open_ else None, own if open_ else None), strict=True):
+                    result = (len(data), *_cut(data, sure[:, 0], sure[:, 1], width), None)
+                for column, value in zip(out, result, strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), all_marks.type)
             yield pa.RecordBatch.from_arrays([ids, row_keys, *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "marks"])
 
-    halfway = common.staged(keyed.join(marks, "row_key", "left").select("doc_id", "row_key", "text", "marks").mapInArrow(first_cut, f"{_DONE}, text string, marks {_MARKS}"), "suffix-halfway")
-    open_ = halfway.where(F.col("text").isNotNull()).select("doc_id", "row_key", "text", "marks")
+    halfway = common.staged(keyed.join(marks, "row_key", "left").select("doc_id", "row_key", "text", "marks").mapInArrow(first_cut, f"{_DONE}, marks {_MARKS}"), "suffix-halfway")
+    open_ = halfway.where(F.col("marks").isNotNull()).select("doc_id", "row_key", "text", "marks")
     spans = _partial(open_.select("row_key", "text", "marks"), width).groupBy("row_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def last_cut(rows):
         for batch in rows:
             ids, row_keys, texts, all_marks, found = (common.column_of(batch, c) for c in ("doc_id", "row_key", "text", "marks", "spans"))
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for text, own, more in zip(texts.to_pylist(), all_marks.to_pylist(), found.to_pylist(), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 pairs = [(m["start"], m["n"]) for m in own if m["regions"] <= 0] + [(m["start"], m["n"]) for m in more or ()]
                 pairs = np.array(pairs, np.int64).reshape(-1, 2)
                 for column, value in zip(out, (len(data), *_cut(data, pairs[:, 0], pairs[:, 1], width)), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([ids, row_keys, *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([ids, row_keys, *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "row_key", *_OUT[1:]])
 
     rest = open_.join(spans, "row_key", "left").select("doc_id", "row_key", "text", "marks", "spans").mapInArrow(last_cut, _DONE)
-    done = halfway.where(F.col("text").isNull()).select("doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return done.unionByName(rest).drop("row_key")
+    return halfway.where(F.col("marks").isNull()).select(*_OUT).unionByName(rest.select(*_OUT))
 
 
 def _partial(open_: DataFrame, width: int) -> DataFrame:
