@@ -1,9 +1,8 @@
 """Quality classifier (operator 8): a weak-label model, and a hashed linear scorer trained on its posteriors.
 
 Labellers are simple rules, each of one aspect of a text: signs, capitals, repeats or tone; each votes good, bad
-or neither, and those of an aspect overlap.  Tone has a list of insults and, where labelled rows are given, a lexicon of
-words that toxic rows have far more often than others, learned from a bounded sample of them (``LABELLED`` of either
-kind).  Votes of all documents are counted by pattern, a table of a size that depends on the number of labellers alone.
+or neither, and those of an aspect overlap.  Tone has a lexicon of words that rows labelled toxic have far more often
+than others, learned from a bounded sample of them (``LABELLED`` of either kind); without labels it has no vote.  Votes of all documents are counted by pattern, a table of a size that depends on the number of labellers alone.
 Per aspect, expectation-maximisation on these counts estimates how each labeller votes on good and on bad texts, and the
 posterior of each pattern; a text is good if no aspect says it is bad.  A linear scorer over hashed words and binned
 measurements is then fitted by logistic regression on a bounded sample of documents with their posterior labels
@@ -25,16 +24,13 @@ from pyspark.sql import types as T
 from ledgerloom.llm import common
 
 BUCKETS = 1 << 16
-#: Documents of each class that the scorer learns from, at most about.
+#: Texts of each class that the scorer learns from, at most about.
 SAMPLE = 3000
 #: Labelled rows of each kind that the lexicon is learned from, at most about.
 LABELLED = 4000
 #: Score from which a document is rejected.
 REJECT = 0.5
 
-# Insults.
-INSULTS = "trash pathetic idiot worthless disgusting stupid clown scum loser moron dumb imbecile idiote idiota stupide estúpido basura asqueroso dégoûtant nul crétin trottel dumm abschaum widerlich idioten idiots losers morons clowns".split()
-
 _SIGNS = np.zeros(256, bool)
 _SIGNS[[ord(c) for c in "#$%&*|~^<>{}[]\\_!"]] = True
 _TAIL = np.zeros(256, bool)
@@ -77,15 +73,10 @@ class Measured:
         self.repeats = np.maximum(per_doc(again, self.first) - 1, 0) / n
         self.cells = per_doc((e - s == 1) & _SIGNS[low[s]], self.first) / n if len(s) else np.zeros(len(at) - 1)
         self.tails = per_doc(_SIGNS[low[e - 1]], self.first) / n if len(s) else np.zeros(len(at) - 1)
-        insult = np.isin(self.hash, _INSULTS)
-        self.insults = per_doc(insult, self.first)
-        self.insult_rate = self.insults / n
         self.learned = per_doc(np.isin(self.hash, lexicon), self.first)
         self.learned_rate = self.learned / n
 
 
-_INSULTS = _hashes(INSULTS)
-
 #: Labellers: name, aspect, measurement, good up to, bad from (or the other way round where good is above bad).
 LABELLERS = [
     ("signs", "signs", "signs", 0.01, 0.03),
@@ -95,8 +86,6 @@ LABELLERS = [
     ("many capitals", "capitals", "capitals", 0.3, 0.6),
     ("repeats", "repeats", "repeats", 0.02, 0.06),
     ("many repeats", "repeats", "repeats", 0.06, 0.25),
-    ("insults", "tone", "insults", 0, 1),
-    ("insult rate", "tone", "insult_rate", 0.0, 0.0015),
     ("learned", "tone", "learned", 1, 3),
     ("learned rate", "tone", "learned_rate", 0.002, 0.006),
 ]
@@ -143,9 +132,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
 
 
 def features(m: Measured, k: int) -> np.ndarray:
-    """Hashed features of document ``k``: its distinct words and its binned measurements."""
+    """Hashed features of document ``k``: its distinct words, and last its binned measurements, one for each labeller."""
     own = (m.hash[m.first[k] : m.first[k + 1]] >> np.uint64(48)).astype(np.int64)
-    return np.unique(np.r_[own, _bins(m)[k]])
+    return np.r_[np.unique(own), _bins(m)[k]]
 
 
 def _bins(m: Measured) -> np.ndarray:
@@ -161,15 +150,16 @@ def _bins(m: Measured) -> np.ndarray:
 
 
 def patterns(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
-    """``doc_id, pattern`` of every row: its votes as one number."""
+    """``h, pattern`` of every row: a hash of its text, and its votes as one number."""
 
     def vote(batches):
         for batch in batches:
             data, at = common.utf8(common.column_of(batch, "text"))
             out = [votes(Measured(data[at[a] : at[b]], at[a : b + 1] - at[a], lexicon)) @ _PLACES for a, b in common.steps(at)]
-            yield pa.RecordBatch.from_arrays([common.column_of(batch, "doc_id"), pa.array(np.concatenate(out) if out else np.zeros(0), pa.int32())], names=["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays([common.column_of(batch, "h"), pa.array(np.concatenate(out) if out else np.zeros(0), pa.int32())], names=["h", "pattern"])
 
-    return docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(vote, "doc_id bigint, pattern int")
+    text = common.text_or_empty()
+    return docs.select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(vote, "h bigint, pattern int")
 
 
 def _features(lexicon):
@@ -195,8 +185,12 @@ def _distinct_words(text: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = LABELLED, least_docs: int = 6, least_ratio: float = 20.0, most_words: int = 5000) -> np.ndarray:
-    """Hashes of the words that rows labelled toxic have ``least_ratio`` times as often as others."""
+def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = LABELLED, least_docs: int = 6, least_share: float = 0.02, least_ratio: float = 20.0, most_words: int = 5000) -> np.ndarray:
+    """Hashes of the words that texts labelled toxic have ``least_ratio`` times as often as others.
+
+    Near copies, which share their least word hash, count as one text; a word needs ``least_docs`` toxic texts and
+    ``least_share`` of them, so that the words of one much copied text aren't taken for signs of tone.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).where("toxic in (0, 1)").collect()}
     if not n.get(1) or not n.get(0):
@@ -204,12 +198,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = LABELLED, le
     rate = F.when(F.col("toxic") == 1, min(1.0, sample / n[1])).when(F.col("toxic") == 0, min(1.0, sample / n[0]))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
     taken = known.where(chance < rate)  # about 2 * sample rows
-    texts = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(taken), "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"])
-    words = texts.select("toxic", _distinct_words("text").alias("w")).cache()
+    texts = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(taken), "doc_id").withColumn("h", F.xxhash64("text"))
+    # of the rows with one doc_id, one text
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("h", "text", "toxic")).alias("row")).select("row.*").dropDuplicates(["h"])
+    words = texts.select("toxic", _distinct_words("text").alias("w"))
+    words = words.withColumn("least", F.array_min(F.transform("w", lambda x: F.xxhash64(x)))).dropDuplicates(["toxic", "least"]).select("toxic", "w").cache()
     size = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     ratio = ((F.col("t") + 0.1) / (size.get(1, 0) + 1)) / ((F.col("o") + 0.5) / (size.get(0, 0) + 1))
     by_word = words.select("toxic", F.explode("w").alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    found = by_word.where((F.col("t") >= least_docs) & (ratio >= least_ratio)).orderBy(ratio.desc(), "w").limit(most_words).select("w").toArrow()["w"].to_numpy()
+    found = by_word.where((F.col("t") >= max(least_docs, least_share * size.get(1, 0))) & (ratio >= least_ratio)).orderBy(ratio.desc(), "w").limit(most_words).select("w").toArrow()["w"].to_numpy()
     words.unpersist()
     return np.sort(found.view(np.uint64))
 
@@ -249,9 +246,10 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
         return Model(lexicon, posterior, None)
     table = docs.sparkSession.createDataFrame(pa.table({"pattern": pa.array(list(posterior), pa.int32()), "p": pa.array(list(posterior.values()), pa.float64())}))
     rate = F.when(F.col("p") >= 0.5, F.lit(min(1.0, sample / n_bad))).otherwise(F.lit(min(1.0, sample / n_good)))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = coded.join(F.broadcast(table), "pattern").where(chance < rate).groupBy("doc_id").agg(F.max("p").alias("p"))  # about 2 * sample rows
-    texts = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    chance = F.pmod(F.xxhash64("h", F.lit(8)), F.lit(1 << 20)) / float(1 << 20)
+    # at most about 2 * sample rows: a text is drawn once, however many rows repeat it
+    chosen = coded.join(F.broadcast(table), "pattern").where(chance < rate).groupBy("h").agg(F.max("p").alias("p"))
+    texts = docs.select(common.text_or_empty().alias("text")).withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), "h").dropDuplicates(["h"])
     taken = texts.select("p", _features(lexicon)("text").alias("x")).toArrow()
     y = taken["p"].to_numpy()
     x = [np.array(v, np.int64) for v in taken["x"].to_pylist()]
@@ -261,14 +259,17 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
 
 
 def logistic(x: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.2, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on sets of features, by adaptive gradient steps in a fixed random order."""
+    """Logistic regression on features, by adaptive gradient steps in a fixed random order; all words together weigh as one."""
     rng = np.random.default_rng(8)
     weights, seen, bias, bias_seen = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2), 0.0, 1e-2
     for _ in range(epochs):
         for k in rng.permutation(len(y)):
             f = x[k]
-            g = 1 / (1 + np.exp(-np.clip(weights[f].sum() + bias, -30, 30))) - y[k]
-            step = g / np.sqrt(max(len(f), 1))
+            words = len(f) - len(LABELLERS)
+            value = np.ones(len(f))
+            value[:words] /= np.sqrt(max(words, 1))
+            g = 1 / (1 + np.exp(-np.clip(weights[f] @ value + bias, -30, 30))) - y[k]
+            step = g * value
             seen[f] += step * step
             weights[f] -= rate * (step / np.sqrt(seen[f]) + decay * weights[f])
             bias_seen += g * g
@@ -286,9 +287,10 @@ def scores(model, texts: pa.Array) -> np.ndarray:
         if weights is None:
             out.append(np.array([posterior.get(c, 0.0) for c in (votes(m) @ _PLACES).tolist()]))
             continue
-        owner = np.r_[np.repeat(np.arange(b - a), m.words), np.repeat(np.arange(b - a), len(LABELLERS))]
-        key = np.unique(owner * BUCKETS + np.r_[(m.hash >> np.uint64(48)).astype(np.int64), _bins(m).ravel()])
-        total = np.bincount(key // BUCKETS, weights[key % BUCKETS], b - a)
+        key = np.unique(np.repeat(np.arange(b - a), m.words) * BUCKETS + (m.hash >> np.uint64(48)).astype(np.int64))
+        owner = key // BUCKETS
+        total = np.bincount(owner, weights[key % BUCKETS], b - a) / np.sqrt(np.maximum(np.bincount(owner, minlength=b - a), 1))
+        total += weights[_bins(m)].sum(1)
         out.append(1 / (1 + np.exp(-np.clip(total + bias, -30, 30))))
     return np.concatenate(out)
 
