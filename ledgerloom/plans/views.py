@@ -54,13 +54,22 @@ VIEWS = {
     "tracker": "SELECT o_orderkey AS item_id, CASE o_orderstatus WHEN 'F' THEN 'watching' WHEN 'O' THEN 'contacted' ELSE 'passed' END AS status, o_custkey AS sort_key, 'Company ' || CAST(o_custkey % 300 AS STRING) AS company_name FROM {orders} WHERE o_orderkey % 10 = 0",
     "snapshots": "SELECT p_brand AS fund_slug, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'prev' ELSE 'cur' END AS side FROM {part}",
     "aircraft": "SELECT event_id, user_id AS icao, ts AS seen_at, value AS altitude, event_type AS category, event_id % 6 = 0 AS on_ground, CAST(event_id % 180 AS DOUBLE) - 90 AS lat, CAST(event_id % 360 AS DOUBLE) - 180 AS lon FROM {events}",
+    "landed_filings": "SELECT c_custkey AS filing_id, CASE c_custkey % 5 WHEN 0 THEN 'Nova ' || CAST(c_custkey AS STRING) || ' Labs Inc' WHEN 1 THEN 'Perplexity SPV-' || CAST(c_custkey AS STRING) WHEN 2 THEN 'Orbit ' || CAST(c_custkey AS STRING) "
+    "WHEN 3 THEN 'Beta Fund II' ELSE 'Company ' || CAST(c_custkey AS STRING) END AS company_name, CAST(c_custkey * 7 % 1009 AS STRING) AS cik, DATE '2001-07-31' - CAST(c_custkey % 40 AS INT) AS filing_date, "
+    "CASE WHEN c_custkey % 4 = 0 THEN 'D/A' ELSE 'D' END AS form_type, CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '$' || CAST(c_custkey % 900 + 1 AS STRING) || ',500,000' WHEN 3 THEN '$0' WHEN 4 THEN '$450,000' ELSE 'Indefinite' END AS amount_raised, "
+    "CASE c_custkey % 7 WHEN 0 THEN '$2,000,000' WHEN 1 THEN '$90,000' END AS total_offering, " + _case("c_custkey", ["Technology", "Other Health Care", "Pooled Investment Fund", "Restaurants", ""]) + " AS industry, " + _case("c_custkey", ["DE", "CA", "", "NY"]) + " AS state, "
+    "c_custkey % 4 <> 0 AS is_first_sale, CASE c_custkey % 3 WHEN 0 THEN 'Jane Doe|John Roe' WHEN 1 THEN 'Ann ' || CAST(c_custkey AS STRING) ELSE '' END AS persons, 'https://www.sec.gov/Archives/edgar/data/' || CAST(c_custkey AS STRING) AS url, "
+    "CASE WHEN c_custkey % 6 = 1 THEN 'accel' END AS fund FROM {customer}",
+    "landed_rows": "SELECT doc_id AS id, " + _case("doc_id", _TITLES) + " AS title, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'https://site' || CAST(doc_id % 50 AS STRING) || '.com/p' END AS link, doc_id * 37 % 400 AS score, doc_id * 11 % 130 AS comments, "
+    "source AS author, substr(text, 1, CAST(doc_id % 300 AS INT)) AS body, lang, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE DATE '2001-05-01' + CAST(doc_id % 90 AS INT) END AS day, CASE doc_id % 5 WHEN 0 THEN 'accel' WHEN 1 THEN 'usv' WHEN 2 THEN '' END AS fund FROM {documents}",
+    "landed_parts": "SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS kind, CAST(p_size AS BIGINT) AS size, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'https://host' || CAST(p_partkey AS STRING) || '.io' END AS url, DATE '2001-01-01' + CAST(p_partkey % 200 AS INT) AS day FROM {part}",
 }
 
 
 def with_views(sql: str) -> str:
     """SQL with the views that it names in front of it."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
-    tables = {t: t for t in ("customer", "orders", "lineitem", "supplier", "documents", "events", "part")}
+    tables = {t: t for t in ("customer", "orders", "lineitem", "supplier", "documents", "events", "part", "pages", "nation")}
     ctes = ", ".join(f"{n} AS ({VIEWS[n].format(**tables)})" for n in used)
     if not used:
         return sql
