@@ -74,3 +74,13 @@ def over_round_limit(usd: Column, round_type: Column) -> Column:
 def token_cost(inputs: Column, outputs: Column, reads: Column, writes: Column) -> Column:
     """Dollars for so many tokens."""
     return F.round(sum((c * p for c, p in zip((inputs, outputs, reads, writes), fixed.TOKEN_PRICES, strict=True)), F.lit(0.0)) / 1_000_000, 6)
+
+
+def extracted(amount: Column) -> Column:
+    """Whole dollars of an extractor's amount: the first number anywhere, in billions or millions; without a unit under 1000 in millions."""
+    s = F.trim(F.regexp_replace(F.lower(amount), r"approximately|around|about|up to|over|[~$]", ""))
+    pattern = r"([\d,.]+)\s*(billion|b|million|m|mn)?"
+    number = F.replace(F.regexp_extract(s, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
+    unit = F.regexp_extract(s, pattern, 2)
+    value = F.when(unit.isin("billion", "b"), number * 1_000_000_000).when((unit != "") | (number < 1000), number * 1_000_000).otherwise(number)
+    return value.cast("long")

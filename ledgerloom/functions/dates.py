@@ -62,3 +62,11 @@ def article_relative(text: Column, day: Column) -> Column:
 def of_url(url: Column) -> Column:
     """The month in an address with /YYYY/MM/."""
     return F.try_to_date(F.concat_ws("-", F.regexp_extract(url, r"/(\d{4})/(\d{2})/", 1), F.regexp_extract(url, r"/(\d{4})/(\d{2})/", 2), F.lit("01")), "yyyy-MM-dd")
+
+
+def of_snippet(text: Column, as_of: datetime.date) -> Column:
+    """The first date in a snippet, by kind of notation, that lies in the year before a day."""
+    month = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?"
+    kinds = (month + r"\s+\d{1,2},?\s+\d{4}", r"\d{1,2}\s+" + month + r"\s+\d{4}", r"\d{4}-\d{2}-\d{2}", r"\d{1,2}[/-]\d{1,2}[/-]\d{4}")
+    found = [absolute(F.replace(F.regexp_extract(text, "(?i)" + k, 0), F.lit("-"), F.lit("/")) if "/" in k else F.regexp_extract(text, "(?i)" + k, 0)) for k in kinds]
+    return F.coalesce(*[F.when(d.between(F.date_sub(F.lit(as_of), 365), F.lit(as_of)), d) for d in found])

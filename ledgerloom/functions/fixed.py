@@ -456,3 +456,20 @@ COMMON_WORDS = [
     "works", "network", "networks", "media", "services", "consulting", "research", "enterprise", "automation", "robotics", "autonomous", "machine", "learning", "neural", "cognitive", "smart", "advanced",
     "next", "future", "first",
 ]
+
+# Parts of long articles that are kept, the characters kept in all, and the share of them from the beginning.
+KEPT_PARTS = [r"\$[\d,]+\s*(?:million|billion|M|B)?", r"(?:raised|raises|securing|secures)\s+\$[\d,]+", r"series\s+[a-z]", r"(?:led|co-led)\s+by", r"seed\s+(?:round|funding)", r"pre-seed"]
+KEPT_CHARACTERS = 4000
+KEPT_HEAD = 0.7
+
+# Amounts in headlines, companies in titles, registry names in search results.
+HEADLINE_AMOUNTS = [r"[\$€£][\d,]+(?:\.\d+)?[MBmb](?:illion)?", r"[\$€£][\d,]+(?:\.\d+)?\s*(?:million|billion)", r"[\d,]+(?:\.\d+)?[MBmb]\s*(?:round|funding|raise)"]
+SIGNAL_TITLES = [
+    r"^(?:GitHub Trending: )?([A-Za-z0-9_-]+/[A-Za-z0-9_-]+)", r"^(?:YC [A-Z]\d+: )?(.+?)(?:\s*[-–—:]\s*.+)?$", r"^(?:Delaware Filing: )?(.+?)(?:\s*[-–—:]\s*.+)?$",
+    r"^(?:Stealth Signal: )?(.+?)(?:\s*[-–—:]\s*.+)?$", r"^(.+?)(?:\s*[-–—:]\s*.+)?$",
+]
+REGISTRY_NAMES = [
+    r'"([^"]+(?:Inc\.?|LLC|Corp\.?|Technologies|Labs|AI))"', r"([A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+)*(?:\s+(?:Inc\.?|LLC|Corp\.?|Technologies|Labs|AI)))", r"startup\s+([A-Z][a-zA-Z0-9]+)",
+    r"company\s+([A-Z][a-zA-Z0-9]+)",
+]
+REGISTRY_TITLE_END = r"(?i)\s*[-|]\s*(Delaware|Corporation|Corp|Inc|LLC|Filing|Incorporation|State|Division).*$"

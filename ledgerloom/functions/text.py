@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,3 +59,37 @@ def likely_funding_content(text: Column) -> Column:
     low = lowered(text)
     strong, amount = count_matches(low, fixed.STRONG_FUNDING), count_matches(low, fixed.AMOUNT_WORDS)
     return ((strong > 0) & (amount > 0)) | (strong + amount >= 3)
+
+
+@F.pandas_udf("string")
+def shortened(text: pd.Series) -> pd.Series:
+    """The beginning of long articles and, as far as there is room, what stands around signs of funding in the rest."""
+    from ledgerloom.functions import fixed
+
+    signs = [re.compile(p, re.IGNORECASE) for p in fixed.KEPT_PARTS]
+
+    def one(t: str | None) -> str | None:
+        if t is None or len(t) <= fixed.KEPT_CHARACTERS:
+            return t
+        head = int(fixed.KEPT_CHARACTERS * fixed.KEPT_HEAD)
+        out, rest, known = [t[:head]], t[head:], set()
+        room = fixed.KEPT_CHARACTERS - head
+        for sign in signs:
+            for m in sign.finditer(rest):
+                around = rest[max(0, m.start() - 100) : m.end() + 100].strip()
+                if around[:50] in known:
+                    continue
+                if len(around) + 10 > room:
+                    break
+                known.add(around[:50])
+                out.append("\n...\n" + around)
+                room -= len(out[-1])
+        whole = "".join(out)
+        return whole + "\n[TRUNCATED]" if len(t) > len(whole) else whole
+
+    return text.map(one)
+
+
+def cache_key(kind: Column, freshness: Column, count: Column, query: Column) -> Column:
+    """The key of a search in the cache of its results."""
+    return F.md5(F.concat_ws(":", kind, freshness, count.cast("string"), query))
