@@ -73,7 +73,10 @@ def with_views(sql: str) -> str:
     ctes = ", ".join(f"{n} AS ({VIEWS[n].format(**tables)})" for n in used)
     if not used:
         return sql
-    return f"WITH {ctes}, {sql.strip()[5:]}" if sql.strip().upper().startswith("WITH ") else f"WITH {ctes} {sql}"
+    rest = sql.strip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {rest[15:]}"
+    return f"WITH {ctes}, {rest[5:]}" if rest.upper().startswith("WITH ") else f"WITH {ctes} {sql}"
 
 
 class Views:
