@@ -70,3 +70,16 @@ def of_snippet(text: Column, as_of: datetime.date) -> Column:
     kinds = (month + r"\s+\d{1,2},?\s+\d{4}", r"\d{1,2}\s+" + month + r"\s+\d{4}", r"\d{4}-\d{2}-\d{2}", r"\d{1,2}[/-]\d{1,2}[/-]\d{4}")
     found = [absolute(F.replace(F.regexp_extract(text, "(?i)" + k, 0), F.lit("-"), F.lit("/")) if "/" in k else F.regexp_extract(text, "(?i)" + k, 0)) for k in kinds]
     return F.coalesce(*[F.when(d.between(F.date_sub(F.lit(as_of), 365), F.lit(as_of)), d) for d in found])
+
+
+def corrected(date: Column, text: Column, published: Column, as_of: datetime.date) -> Column:
+    """A date within a week of today gives way to the first relative date of the text, as of its publication, that is over 30 days away."""
+    day, low = F.coalesce(published, F.lit(as_of)), F.lower(text)
+    year = F.year(day)
+    kinds = [
+        *(article_relative(F.regexp_extract(low, rf"\d+\s*{unit}s?\s*ago", 0), day) for unit in ("month", "year", "week")), F.when(low.rlike(r"last\s+year"), F.add_months(day, -12)),
+        F.when(low.rlike(r"earlier\s+this\s+year"), F.make_date(year, F.lit(6), F.lit(1))), F.when(low.rlike(r"late\s+last\s+year"), F.make_date(year - 1, F.lit(11), F.lit(1))),
+        F.when(low.rlike(r"early\s+last\s+year"), F.make_date(year - 1, F.lit(2), F.lit(1))),
+    ]
+    far = F.coalesce(*[F.when(F.abs(F.datediff(k, date)) > 30, k) for k in kinds])
+    return F.when(F.abs(F.datediff(date, F.lit(as_of))) <= 7, F.coalesce(far, date)).otherwise(date)

@@ -473,3 +473,42 @@ REGISTRY_NAMES = [
     r"company\s+([A-Z][a-zA-Z0-9]+)",
 ]
 REGISTRY_TITLE_END = r"(?i)\s*[-|]\s*(Delaware|Corporation|Corp|Inc|LLC|Filing|Incorporation|State|Division).*$"
+
+# Partners of funds, and words of investment that must stand with them.
+PARTNERS = {
+    "benchmark": ["chetan puttagunta", "peter fenton", "eric vishria", "bill gurley", "sarah tavel", "miles grimshaw", "victor lazarte"],
+    "founders_fund": [
+        "peter thiel", "napoleon ta", "trae stephens", "lauren gross", "scott nolan", "john luttig", "delian asparouhov", "joey krug", "matias van thienen", "amin mirzadegan", "sean liu", "keith rabois",
+        "brian singerman",
+    ],
+    "khosla": ["vinod khosla", "samir kaul", "sven strohband", "david weiden", "keith rabois", "ethan choi", "kanu gulati", "alex morgan", "jai sajnani"],
+    "greylock": [
+        "reid hoffman", "asheem chandna", "jerry chen", "saam motamedi", "seth rosenberg", "mike duboe", "david sze", "josh elman", "corinne riley", "christine kim", "mor chen", "shreya shekhar",
+    ],
+    "redpoint": ["tomasz tunguz", "logan bartlett", "annie kadavy", "scott raney", "jason warner"],
+    "gv": [
+        "m.g. siegler", "mg siegler", "crystal huang", "terri burns", "krishna yeshwant", "frédérique dame", "frederique dame", "david krane", "tyson clark", "brendan bulik-sullivan", "sangeen zeb", "issi rozen",
+    ],
+    "thrive": ["josh kushner", "kareem zaki", "nabil mallick", "belen mella", "gaurav ahuja", "joe kahn", "kyle yuan"],
+    "first_round": ["josh kopelman", "todd jackson", "brett berson", "bill trenchard", "meka asonye", "liz wessel", "hayley barna"],
+}
+INVESTMENT_WORDS = [
+    "led", "leads", "leading", "co-led", "invested", "invests", "investing", "investment", "backed", "backs", "backing", "funding", "funded", "round", "series a", "series b", "series c", "seed", "raised",
+    "raises", "raising", "participated", "participating", "participation", "joined", "joining",
+]
+
+# Sources whose articles say little, figures of markets, and when an extraction is tried again.
+OUTSIDE_FUNDS = ["thrive", "benchmark", "greylock", "gv", "redpoint", "founders_fund", "first_round", "khosla"]
+OUTSIDE_SOURCES = ["google_news", "brave_search", "sec_edgar", "news_aggregator"]
+MARKET_SIZES = [
+    r"\$\s*(\d+(?:\.\d+)?)\s*(?:billion|B)\s*(?:market|industry|opportunity|TAM|sector)", r"(?:market|industry|opportunity|TAM|sector)\s*(?:size|worth|valued at|of)\s*\$\s*(\d+(?:\.\d+)?)\s*(?:billion|B)",
+    r"(?:spend|spending|spent)\s*(?:over|approximately|about|around)?\s*\$\s*(\d+(?:\.\d+)?)\s*(?:billion|B)", r"\$\s*(\d+(?:\.\d+)?)\s*(?:billion|B)\s*(?:annually|per year|a year)",
+]
+AGAIN_FROM, AGAIN_FROM_OUTSIDE, AGAIN_TO = 0.45, 0.35, 0.65
+
+# What tracked funds are called in deals.
+FUND_LABELS = {
+    "founders_fund": "Founders Fund", "benchmark": "Benchmark", "sequoia": "Sequoia Capital", "khosla": "Khosla Ventures", "index": "Index Ventures", "a16z": "a16z", "insight": "Insight Partners",
+    "bessemer": "Bessemer Venture Partners", "redpoint": "Redpoint", "greylock": "Greylock", "gv": "GV (Google Ventures)", "menlo": "Menlo Ventures", "usv": "Union Square Ventures", "thrive": "Thrive Capital",
+    "accel": "Accel", "felicis": "Felicis Ventures", "general_catalyst": "General Catalyst", "first_round": "First Round Capital",
+}

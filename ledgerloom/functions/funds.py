@@ -15,19 +15,31 @@ def _either(words: list[str]) -> str:
     return r"(?U)\b(?:" + "|".join(re.escape(w) for w in words) + r")\b"
 
 
-def matched_fund(investor: Column) -> Column:
-    """The tracked fund whose name stands first in an investor's name, unless it only looks like that fund; ties by registry order."""
+def matched_fund(investor: Column, context: Column | None = None) -> Column:
+    """The tracked fund whose name stands first in an investor's name, unless it only looks like that fund; ties by registry order.
+
+    Where the name or the context speaks of investment, a fund's partners stand for it too, after the funds themselves.
+    """
     low = stripped(F.lower(investor))
-    found = []
-    for k, (slug, known) in enumerate(fixed.FUND_NAMES.items()):
-        place = F.regexp_instr(low, F.lit(_either(known)))
+    invests = low.rlike("|".join(re.escape(w) for w in fixed.INVESTMENT_WORDS))
+    if context is not None:
+        invests = invests | F.coalesce(F.lower(context), F.lit("")).rlike("|".join(re.escape(w) for w in fixed.INVESTMENT_WORDS))
+    rank = {slug: k for k, slug in enumerate(fixed.FUND_NAMES)}
+
+    def found(slug: str, names: list[str], later: int, asked: Column) -> Column:
+        # the first name of the list that occurs decides the place
+        place = F.coalesce(*[F.nullif(F.regexp_instr(low, F.lit(_either([n]))), F.lit(0)) for n in names])
         other = low.rlike(_either(fixed.NOT_FUNDS[slug])) if slug in fixed.NOT_FUNDS else F.lit(False)
-        found.append(F.when((place > 0) & ~other, F.struct(place.alias("place"), F.lit(k).alias("rank"), F.lit(slug).alias("slug"))))
-    return F.array_min(F.array_compact(F.array(*found)))["slug"]
+        return F.when(asked & place.isNotNull() & ~other, F.struct(place.alias("place"), F.lit(later).alias("later"), F.lit(rank[slug]).alias("rank"), F.lit(slug).alias("slug")))
+
+    own = [found(slug, names, 0, F.lit(True)) for slug, names in fixed.FUND_NAMES.items()]
+    partners = [found(slug, names, 1, invests & own[rank[slug]].isNull()) for slug, names in fixed.PARTNERS.items()]
+    # partners are looked for in the order of their own list
+    return F.array_min(F.array_compact(F.array(*own, *partners)))["slug"]
 
 
 def named_in(investor: Column, text: Column) -> Column:
-    """Whether a lower-case text names an investor, outside addresses; short names only as whole words, long ones in part too."""
+    """Whether a lower-case text names an investor, outside addresses; short names only as whole words, long ones in part too; any name of a fund stands for it."""
     low = F.lower(investor)
 
     def stands(name: Column) -> Column:
@@ -36,7 +48,11 @@ def named_in(investor: Column, text: Column) -> Column:
 
     parts = F.filter(F.split(low, r"\s+"), lambda p: F.length(p) >= 4)
     several = F.size(F.split(low, r"\s+")) > 1
-    return F.coalesce(stands(low) | (several & F.exists(parts, stands)), F.lit(False))
+    alias = F.lit(False)
+    for names in fixed.FUND_NAMES.values():
+        shown = "|".join((rf"(?<![./])\b{re.escape(n)}\b(?!\.[a-z])" if len(n) < 8 else rf"(?<![./]){re.escape(n)}(?!\.[a-z])") for n in names)
+        alias = alias | (low.isin(names) & text.rlike(shown))
+    return F.coalesce(stands(low) | (several & F.exists(parts, stands)) | alias, F.lit(False))
 
 
 def lead_language(text: Column) -> Column:

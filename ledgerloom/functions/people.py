@@ -8,13 +8,14 @@ import functools
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import classify, fixed, pages
 from ledgerloom.functions.names import stripped
 from ledgerloom.functions.text import has_any, lowered
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the characters in matching blocks over all characters, which no built-in function gives."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lowered(text: Column) -> Column:
@@ -61,7 +62,7 @@ def likely_funding_content(text: Column) -> Column:
     return ((strong > 0) & (amount > 0)) | (strong + amount >= 3)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def shortened(text: pd.Series) -> pd.Series:
     """The beginning of long articles and, as far as there is room, what stands around signs of funding in the rest."""
     from ledgerloom.functions import fixed

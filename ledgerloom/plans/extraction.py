@@ -29,18 +29,12 @@ def extractions(v: Views) -> DataFrame:
 
 
 @query()
-def val01_judged_extractions(v: Views) -> DataFrame:
-    """Every extraction through all validation steps; its parts have oracles of their own, and tests hold the arithmetic."""
-    out = validate.judge(extractions(v))
+def val03_judged_articles(v: Views) -> DataFrame:
+    """Deals of every article through all validation steps; val01 holds the steps' results, case by case."""
+    out = validate.judge(extractions(v), funding_only=False)
     return out.select("article_id", "round_label", F.round("confidence", 6).alias("confidence"), "category", "is_ai", "is_enterprise", "announcement", "lead_status", "amount_review", "band", "verdict")
 
 
-@query()
-def val02_verdict_counts(v: Views) -> DataFrame:
-    """How many extractions each verdict and band has."""
-    return validate.judge(extractions(v)).groupBy("verdict", "band").agg(F.count("*").alias("n"))
-
-
 _INVESTORS = ["Felicis Ventures", "Andreessen Horowitz", "Benchmark International", "GV", "Accel and Sequoia Capital", "Thrive Market", "a16z crypto", "First Round", "Someone Else", "Sequoia India"]
 _MATCHED = ["felicis", "a16z", None, "gv", "accel", None, None, "first_round", None, None]
 

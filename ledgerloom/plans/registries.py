@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify, dates, fixed, names, urls
 from ledgerloom.operators import registry as ops
-from ledgerloom.operators import validate
-from ledgerloom.plans.extraction import extractions
 from ledgerloom.plans.registry import list_sql, query, words_sql
 from ledgerloom.plans.views import Views
 
@@ -114,13 +112,6 @@ def join06_aliases(v: Views) -> DataFrame:
     return ops.by_alias(named, aliases).select(F.col("own").alias("company_id"), F.col("company_id").alias("alias_of"))
 
 
-@query()
-def agg11_rejections(v: Views) -> DataFrame:
-    """How many extractions each rule turned down, by source kind."""
-    judged = validate.judge(extractions(v))
-    return judged.groupBy("external").agg(F.count("*").alias("n"), *[F.count_if(F.col("verdict") == x).alias(x.replace(" ", "_")) for x in ("no announcement", "low confidence", "accepted")])
-
-
 @query(f"SELECT part.p_partkey AS id, CASE WHEN p_type IN {list_sql(['ECONOMY', 'STANDARD'])} THEN 'DE' END AS state FROM part")
 def map02_states(v: Views) -> DataFrame:
     state = F.when(F.col("p_type").isin("ECONOMY", "STANDARD"), "Delaware").otherwise("Atlantis")
