@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates
+from ledgerloom.functions.people import likeness
 
 
 def date_confidence(article: Column, extracted: Column, as_of: datetime.date) -> Column:
@@ -39,46 +39,44 @@ def merged_amount(old: Column, old_source: Column, new: Column, new_source: Colu
 
 
 def date_votes(evidence: DataFrame) -> DataFrame:
-    """``deal_id, date, sure, sources`` from ``deal_id, seq, date, confidence``: clusters of a day around their first date.
+    """``deal_id, date, sure, sources`` from ``deal_id, seq, date, confidence``: clusters of a day around their first date, folded in order of ``seq``."""
+    cluster = "array<struct<date:date,sure:double,n:bigint>>"
 
-    A deal's evidence is a handful of rows; the clusters depend on their order, so each deal is folded on its own.
-    """
+    def put(clusters: Column, x: Column) -> Column:
+        near = lambda c: F.abs(F.datediff(x["date"], c["date"])) <= 1
+        place = F.array_position(F.transform(clusters, near), True)
+        grown = F.transform(clusters, lambda c, i: F.when(i + 1 == place, F.struct(c["date"].alias("date"), (c["sure"] + x["confidence"]).alias("sure"), (c["n"] + 1).alias("n"))).otherwise(c))
+        return F.when(place > 0, grown).otherwise(F.concat(clusters, F.array(F.struct(x["date"].alias("date"), x["confidence"].alias("sure"), F.lit(1).cast("long").alias("n")))))
 
-    def vote(rows: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list] = []
-        for _, r in rows.sort_values("seq").iterrows():
-            near = next((c for c in clusters if abs((r["date"] - c[0]).days) <= 1), None)
-            if near:
-                near[1] += r["confidence"]
-                near[2] += 1
-            else:
-                clusters.append([r["date"], r["confidence"], 1])
-        best = None
-        for c in clusters:
-            sure = min(1.0, c[1] + (0.1 if c[2] >= 2 else 0.0))
-            if best is None or sure > best[1]:
-                best = (c[0], sure, c[2])
-        return pd.DataFrame([(rows["deal_id"].iloc[0], *best)], columns=["deal_id", "date", "sure", "sources"])
-
-    return evidence.groupBy("deal_id").applyInPandas(vote, "deal_id long, date date, sure double, sources long")
-
-
-def best_filing(deals: DataFrame, filings: DataFrame) -> DataFrame:
-    """The likeliest filing of each deal: likeness of names, nearness in days, form; candidates share a word of the name.
-
-    ``deals``: deal_id, name, date; ``filings``: filing_id, company, filed, form.
-    """
-    import difflib
+    runs = evidence.groupBy("deal_id").agg(F.sort_array(F.collect_list(F.struct("seq", "date", "confidence"))).alias("run"))
+    folded = runs.select("deal_id", F.aggregate("run", F.array().cast(cluster), put).alias("clusters"))
+    sure = lambda c: F.least(F.lit(1.0), c["sure"] + F.when(c["n"] >= 2, 0.1).otherwise(0.0))
+    best = F.array_max(F.transform("clusters", lambda c, i: F.struct(sure(c).alias("sure"), (-i).alias("rank"), c["date"].alias("date"), c["n"].alias("sources"))))
+    return folded.select("deal_id", best.alias("b")).select("deal_id", "b.date", "b.sure", "b.sources")
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda w: F.length(w) >= 3)))
-    met = deals.withColumn("word", words("name")).join(filings.withColumn("word", words("company")), "word").select("deal_id", "name", "date", "filing_id", "company", "filed", "form").distinct()
+def best_filing(deals: DataFrame, filings: DataFrame, rarest: int = 2) -> DataFrame:
+    """The likeliest filing of each deal: likeness of names, nearness in days, form.
+
+    ``deals``: deal_id, name, date; ``filings``: filing_id, company, filed, form.  Names are compared once for each pair of
+    different ones that share one of the ``rarest`` words of either, so that a word that all names have joins nothing.
+    """
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda w: F.length(w) >= 1))
+    one = deals.select(F.lower("name").alias("name")).distinct().withColumn("word", F.explode(split("name")))
+    two = filings.select(F.lower("company").alias("company")).distinct().withColumn("word", F.explode(split("company")))
+    often = one.select("word").unionByName(two.select("word")).groupBy("word").agg(F.count("*").alias("often"))
+
+    def keyed(words: DataFrame, name: str) -> DataFrame:
+        rank = F.sort_array(F.collect_list(F.struct("often", "word")))
+        return words.join(often, "word").groupBy(name).agg(F.slice(rank, 1, rarest).alias("w")).select(name, F.explode("w.word").alias("word"))
+
+    a, b = keyed(one, "name"), keyed(two, "company")
+    met = a.join(two, "word").select("name", "company").unionByName(one.join(b, "word").select("name", "company")).distinct()
+    alike = met.withColumn("ratio", likeness("name", "company"))
+    scored = deals.withColumn("_name", F.lower("name")).join(alike.withColumnRenamed("name", "_name"), "_name").join(filings.withColumn("_company", F.lower("company")).drop("company"), F.col("company") == F.col("_company"))
     gap = F.abs(F.datediff("filed", "date"))
     near = F.when(gap <= 7, 0.3).when(gap <= 30, 0.2).when(gap <= 90, 0.1).otherwise(0.0)
-    scored = met.withColumn("ratio", ratio(F.lower("name"), F.lower("company"))).withColumn("score", F.col("ratio") + near + F.when(F.col("form") == "D", 0.1).otherwise(0.0)).withColumn("gap", gap)
+    scored = scored.withColumn("score", F.col("ratio") + near + F.when(F.col("form") == "D", 0.1).otherwise(0.0)).withColumn("gap", gap)
     best = scored.groupBy("deal_id").agg(F.max_by(F.struct("filing_id", "ratio", "gap", "score"), F.struct("score", -F.col("filing_id"))).alias("b"))
     return best.select("deal_id", "b.filing_id", F.round("b.score", 6).alias("score"), ((F.col("b.ratio") > 0.8) & F.coalesce(F.col("b.gap") <= 30, F.lit(False))).alias("confident"))
 

@@ -11,17 +11,39 @@ from ledgerloom.functions.names import stripped
 def match_entities(filings: DataFrame, entities: DataFrame) -> DataFrame:
     """``filing_id, entity_id``: the first entity whose name holds the filing's, or is held, or shares two words (all of fewer).
 
-    ``filings``: filing_id, company; ``entities``: entity_id, entity.  Candidates share a word, which each kind of match at word
-    borders implies; names that hold each other inside a word aren't candidates.
+    ``filings``: filing_id, company; ``entities``: entity_id, entity.  Different names meet once: a name that holds another holds its
+    rarest three letters, and names that share two words share one that isn't the most frequent of the filing's.
     """
     bare = F.trim(F.regexp_replace(F.col("company"), r"(?i)\s*(Inc\.?|LLC|Corp\.?|Corporation|Ltd\.?)$", ""))
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    f = filings.select("filing_id", F.lower(bare).alias("a"), words(bare).alias("a_words"))
-    e = entities.select("entity_id", F.lower("entity").alias("b"), F.col("entity"))
-    met = f.withColumn("word", F.explode("a_words")).join(e.withColumn("word", F.explode(words("entity"))), "word")
-    counted = met.groupBy("filing_id", "entity_id").agg(F.count("*").alias("shared"), F.first("a").alias("a"), F.first("b").alias("b"), F.first(F.size("a_words")).alias("n"))
-    held = F.col("b").contains(F.col("a")) | F.col("a").contains(F.col("b"))
-    return counted.where(held | (F.col("shared") >= F.least(F.lit(2), F.col("n")))).groupBy("filing_id").agg(F.min("entity_id").alias("entity_id"))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    f = filings.select("filing_id", F.lower(bare).alias("a"))
+    e = entities.select("entity_id", F.lower("entity").alias("b"))
+    one, two = f.select("a").distinct(), e.select("b").distinct()
+
+    def grams(c: str):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+        return F.array_distinct(F.flatten(F.array(*[F.filter(F.transform(starts, lambda k: F.substring(F.col(c), k, F.lit(n))), lambda g: F.length(g) == n) for n in (1, 2, 3)])))
+
+    def rarest(names: DataFrame, c: str, every: DataFrame) -> DataFrame:
+        """Each name's gram of three letters (a shorter name itself) that fewest others have."""
+        often = every.groupBy("g").agg(F.count("*").alias("often"))
+        own = names.select(c, F.explode(grams(c)).alias("g")).where(F.length("g") == F.least(F.lit(3), F.length(c)))
+        return own.join(often, "g").groupBy(c).agg(F.min_by("g", F.struct("often", "g")).alias("g"))
+
+    in_a, in_b = one.select("a", F.explode(grams("a")).alias("g")), two.select("b", F.explode(grams("b")).alias("g"))
+    held = rarest(one, "a", in_b).join(in_b, "g").select("a", "b").unionByName(rarest(two, "b", in_a).join(in_a, "g").select("a", "b")).distinct()
+    held = held.where(F.col("b").contains(F.col("a")) | F.col("a").contains(F.col("b")))
+
+    of_b = two.select("b", F.explode(words(F.col("b"))).alias("w"))
+    often = of_b.groupBy("w").agg(F.count("*").alias("often"))
+    of_a = one.select("a", F.size(words(F.col("a"))).alias("n"), F.explode(words(F.col("a"))).alias("w")).join(often, "w", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    last = of_a.groupBy("a").agg(F.max(F.struct("often", "w")).alias("last"))
+    rare = of_a.join(last, "a").where((F.col("n") == 1) | (F.struct("often", "w") != F.col("last"))).select("a", "w")
+    met = rare.join(of_b, "w").select("a", "b").distinct()
+    shares = F.size(F.array_intersect(words(F.col("a")), words(F.col("b")))) >= F.least(F.lit(2), F.size(words(F.col("a"))))
+    pairs = held.unionByName(met.where(shares)).distinct()
+    first = pairs.join(e, "b").groupBy("a").agg(F.min("entity_id").alias("entity_id"))
+    return f.join(first, "a").select("filing_id", "entity_id")
 
 
 def tripped(runs: DataFrame, most: int) -> DataFrame:

@@ -15,6 +15,20 @@ def duplicate_groups(deals: DataFrame, key: str) -> DataFrame:
     return deals.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("deal_id")).alias("deal_ids")).where("n > 1").withColumn("kept", F.element_at("deal_ids", 1))
 
 
+def matching_names(companies: DataFrame) -> DataFrame:
+    """``kind, a_id, b_id``: every company with the first one of its normal form (``same``), and first ones whose forms differ by a suffix.
+
+    Classes of equal forms aren't expanded into pairs; names without a normal form are their own lower case.
+    """
+    norm = names.normal_form(F.col("name"))
+    keyed = companies.select("company_id", F.when(norm == "", F.concat(F.lit("="), names.stripped(F.lower("name")))).otherwise(norm).alias("norm"))
+    reps = keyed.groupBy("norm").agg(F.min("company_id").alias("rep"))
+    same = keyed.join(reps, "norm").where("company_id != rep").select(F.lit("same").alias("kind"), F.col("company_id").alias("a_id"), F.col("rep").alias("b_id"))
+    longer = reps.withColumn("block", F.explode(names.block_keys(F.col("norm")))).where("block != norm").select("block", F.col("rep").alias("b_id"))
+    suffix = reps.where(F.length("norm") >= 3).join(longer, F.col("norm") == F.col("block")).select(F.lit("suffix").alias("kind"), F.col("rep").alias("a_id"), "b_id")
+    return same.unionByName(suffix)
+
+
 def _ratio_ok(n: Column, other: Column) -> Column:
     """Amounts not too far apart, unless one looks like the valuation of the other; unknown amounts never are."""
     larger, smaller = F.greatest(n, other), F.least(n, other)
@@ -62,7 +76,7 @@ def match_tiers(incoming: DataFrame, stored: DataFrame, as_of: datetime.date) ->
     )
     by_name = met.select(F.col("i_deal_id").alias("in_id"), "deal_id", tier.alias("tier")).where("tier IS NOT NULL")
 
-    dated = i.where(known & d.isNotNull() & (F.length("i_norm") >= 3)).join(s.where(F.length("norm") >= 3), (d == sd) & round_too)
+    dated = i.where(known & d.isNotNull() & (F.length("i_norm") >= 3)).join(s.where(F.length("norm") >= 3), (d == sd) & round_too & (F.substring("i_norm", 1, 4) == F.substring("norm", 1, 4)))
     start = F.greatest(F.lit(4), F.floor(0.6 * F.least(F.length("i_norm"), F.length("norm"))).cast("int"))
     alike = sn.between(F.floor(n * 0.95), F.floor(n * 1.05)) & (F.substring(F.col("i_norm"), F.lit(1), start) == F.substring(F.col("norm"), F.lit(1), start))
     by_start = dated.where(alike).select(F.col("i_deal_id").alias("in_id"), "deal_id", F.lit(2).alias("tier"))

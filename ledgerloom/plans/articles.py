@@ -28,9 +28,9 @@ def pre02_normal_urls(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", urls.normalised(F.col("url")).alias("normal_url"))
 
 
-@query("SELECT article_id, source FROM (SELECT article_id, source, row_number() OVER (PARTITION BY source ORDER BY article_id) AS n FROM articles) WHERE n <= 20")
+@query("SELECT article_id, source FROM (SELECT article_id, source, row_number() OVER (PARTITION BY source ORDER BY article_id) AS n FROM articles) WHERE n <= 100")
 def pre01_cap_per_source(v: Views) -> DataFrame:
-    return prefilter.cap_per_source(v.articles, 20).select("article_id", "source")
+    return prefilter.cap_per_source(v.articles, 100).select("article_id", "source")
 
 
 @query(f"SELECT {_NORMAL_URL} AS normal_url, min(article_id) AS article_id FROM articles GROUP BY 1")
@@ -44,10 +44,22 @@ def pre04_unseen_urls(v: Views) -> DataFrame:
     return prefilter.unseen(v.articles, stored).select("article_id")
 
 
-@query(f"""SELECT article_id, CASE WHEN contains({_T}, 'show hn:') AND contains(lower(source), 'hackernews') THEN 'source: hn show' WHEN {words_sql(_T, fixed.NO_ANNOUNCEMENT)} THEN 'title'
+_PAGES = [
+    ("news", "https://www.crunchbase.com/lists/x", "Acme raises $5M", "source: crunchbase page"), ("crunchbase", "https://x.y/reviews/z", "Acme raises $5M", "source: crunchbase page"), ("crunchbase", "https://x.y/news", "Acme raises $5M", "keep"),
+    ("ycombinator", "https://x.y/library/z", "Seed round", "source: yc page"), ("news", "https://ycombinator.com/companies/a", "How to apply", "source: yc title"), ("hackernews", "https://x.y", "Show HN: a database", "source: hn show"),
+    ("hackernews", "https://x.y", "Show HN: we raise funding", "not funding"), ("news", "https://linkedin.com/learning/x", "Series A", "source: linkedin page"), ("news", "https://x.y", "2025 recap of series a", "title"),
+    ("news", "https://x.y", "Big round for investor", "keep"), ("news", "https://x.y", "Funding", "not funding"), ("news", "https://x.y", None, "keep"),
+]
+
+
+@query(f"""SELECT article_id, CASE WHEN article_id % 2 = 1 THEN CASE article_id // 2 % {len(_PAGES)} {' '.join(f"WHEN {k} THEN '{p[-1]}'" for k, p in enumerate(_PAGES))} END WHEN {words_sql(_T, fixed.NO_ANNOUNCEMENT)} THEN 'title'
 WHEN NOT ({words_sql(_T, fixed.STRONG_TITLE)} OR {count_sql(_T, fixed.WEAK_TITLE)} >= 2) THEN 'not funding' ELSE 'keep' END AS verdict FROM articles""")
 def pre07_verdicts(v: Views) -> DataFrame:
-    return prefilter.judged(v.articles).select("article_id", "verdict")
+    """Every other article is one of the pages that the rules of sources are about."""
+    pick = lambda j: F.element_at(F.array(*[F.lit(p[j]) for p in _PAGES]), (F.floor(F.col("article_id") / 2) % len(_PAGES) + 1).cast("int"))
+    odd = F.col("article_id") % 2 == 1
+    rows = v.articles.withColumns({c: F.when(odd, pick(j)).otherwise(F.col(c)) for j, c in enumerate(("source", "url", "title"))})
+    return prefilter.judged(rows).select("article_id", "verdict")
 
 
 @query(f"SELECT doc_id, {_PRINT} AS fingerprint FROM documents")
@@ -132,9 +144,9 @@ def cls05_title_as_name(v: Views) -> DataFrame:
 _AREA = "CASE WHEN length(text) < 1000 THEN greatest(200, CAST(floor(length(text) * 0.4) AS BIGINT)) WHEN instr(text, chr(10)) = 0 THEN 500 ELSE greatest(instr(text, chr(10)) - 1, 500) END"
 
 
-@query(f"SELECT article_id, length(text) >= 500 AND NOT contains(left({_X}, {_AREA}), 'acme') AND NOT contains(left({_X}, {_AREA}), 'acme') AS background FROM articles WHERE article_id % 3 = 0")
+@query(f"SELECT article_id, length(text) >= 500 AND NOT contains(left({_X}, {_AREA}), 'acme') AND NOT contains(left({_X}, {_AREA}), 'acme') AS background FROM articles")
 def cls06_background(v: Views) -> DataFrame:
-    return v.articles.where("article_id % 3 = 0").select("article_id", classify.background_mention(F.lit("Acme"), F.col("text"), F.lit(False)).alias("background"))
+    return v.articles.select("article_id", classify.background_mention(F.lit("Acme"), F.col("text"), F.lit(False)).alias("background"))
 
 
 _AI_COUNT, _ENT, _FUND = count_sql(_B, fixed.AI_WORDS), words_sql(_B, fixed.ENTERPRISE_WORDS), words_sql(_B, fixed.FUNDING_WORDS)
@@ -175,9 +187,9 @@ _TECH = "(^|[^\\pL\\pN_])(" + fixed.TECH_NAME.replace(r"\b(", "").replace(r")\b"
 
 
 @query(f"""SELECT article_id, CAST(least(100, CASE WHEN {words_sql(_X, fixed.SIGNAL_AGENTS)} THEN 35 ELSE 0 END + CASE WHEN regexp_matches({_B}, '{_TECH}') THEN 25 ELSE 0 END + CASE WHEN contains({_X}, 'formation date') AND {words_sql(_X, fixed.RECENT_WORDS)} THEN 15 ELSE 0 END
-+ CASE WHEN {words_sql(_T, fixed.AI_NAME_WORDS)} THEN 15 ELSE 0 END) AS INTEGER) AS score FROM articles WHERE article_id % 4 IN (2, 3)""")
++ CASE WHEN {words_sql(_T, fixed.AI_NAME_WORDS)} THEN 15 ELSE 0 END) AS INTEGER) AS score FROM articles""")
 def sco05_registry_filings(v: Views) -> DataFrame:
-    return v.articles.where("article_id % 4 IN (2, 3)").select("article_id", scoring.registry_filing(F.col("title"), F.col("text"), F.lit(None).cast("array<string>")).alias("score"))
+    return v.articles.select("article_id", scoring.registry_filing(F.col("title"), F.col("text"), F.lit(None).cast("array<string>")).alias("score"))
 
 
 @query(f"""SELECT company_id, CAST(CASE WHEN regexp_matches(lower(name), '{_TECH}') THEN 3 ELSE 0 END + CASE WHEN company_id % 5 = 0 THEN 5 ELSE 0 END + CASE WHEN company_id % 200 <= 30 THEN 2 WHEN company_id % 200 <= 90 THEN 1 ELSE 0 END + CASE WHEN contains(lower(name), 'ai') THEN 2 ELSE 0 END AS INTEGER) AS score FROM companies""")

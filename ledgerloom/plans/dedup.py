@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, fixed, keys, names
-from ledgerloom.operators.resolve import duplicate_groups, match_tiers
+from ledgerloom.operators.resolve import duplicate_groups, match_tiers, matching_names
 from ledgerloom.plans.registry import list_sql, query
 from ledgerloom.plans.views import AS_OF, Views
 
@@ -55,16 +55,18 @@ def str01_normal_form(v: Views) -> DataFrame:
     return v.companies.select("company_id", names.normal_form(F.col("name")).alias("norm"))
 
 
-@query(f"""WITH n AS (SELECT company_id, name, {norm_sql('name')} AS norm FROM companies WHERE company_id % 7 = 0)
-SELECT a.company_id AS a_id, b.company_id AS b_id FROM n a JOIN n b ON a.company_id < b.company_id AND (a.norm = b.norm OR
-(length(a.norm) >= 3 AND starts_with(b.norm, a.norm) AND substr(b.norm, length(a.norm) + 1) IN {list_sql(fixed.MATCH_SUFFIXES)}) OR (length(b.norm) >= 3 AND starts_with(a.norm, b.norm) AND substr(a.norm, length(b.norm) + 1) IN {list_sql(fixed.MATCH_SUFFIXES)}))""")
+_VARIANT = "CASE company_id % 5 WHEN 0 THEN 'Nova' || CAST(company_id // 10 AS VARCHAR) WHEN 1 THEN 'nova' || CAST(company_id // 10 AS VARCHAR) || 'labs' WHEN 2 THEN 'The Nova' || CAST(company_id // 10 AS VARCHAR) || ', Inc.' WHEN 3 THEN 'Nova' || CAST(company_id // 10 AS VARCHAR) || 'go' ELSE name END"
+
+
+@query(f"""WITH n AS (SELECT company_id, {norm_sql(_VARIANT)} AS norm FROM companies), r AS (SELECT norm, min(company_id) AS rep FROM n GROUP BY norm)
+SELECT 'same' AS kind, n.company_id AS a_id, r.rep AS b_id FROM n JOIN r USING (norm) WHERE n.company_id <> r.rep UNION ALL
+SELECT 'suffix', a.rep, b.rep FROM r a JOIN r b ON length(a.norm) >= 3 AND a.norm <> b.norm AND starts_with(b.norm, a.norm) AND substr(b.norm, length(a.norm) + 1) IN {list_sql(fixed.MATCH_SUFFIXES)}""")
 def str02_matching_names(v: Views) -> DataFrame:
-    """Pairs of companies whose names match: an equi-join on block keys, then the exact test."""
-    n = v.companies.where("company_id % 7 = 0").select("company_id", "name", names.normal_form(F.col("name")).alias("norm")).withColumn("block", F.explode(names.block_keys(F.col("norm"))))
-    a, b = n.alias("a"), n.alias("b")
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.company_id") < F.col("b.company_id")))
-    met = met.where(names.names_match(F.col("a.name"), F.col("b.name"), F.col("a.norm"), F.col("b.norm")))
-    return met.select(F.col("a.company_id").alias("a_id"), F.col("b.company_id").alias("b_id")).distinct()
+    """Companies with the first one of their normal form, and pairs of normal forms that match by a suffix: an equi-join on block keys, then the exact test."""
+    k = F.col("company_id")
+    stem = F.concat(F.lit("Nova"), F.floor(k / 10).cast("string"))
+    named = v.companies.select("company_id", F.when(k % 5 == 0, stem).when(k % 5 == 1, F.concat(F.lower(stem), F.lit("labs"))).when(k % 5 == 2, F.concat(F.lit("The "), stem, F.lit(", Inc."))).when(k % 5 == 3, F.concat(stem, F.lit("go"))).otherwise(F.col("name")).alias("name"))
+    return matching_names(named)
 
 
 @query(f"SELECT deal_id, CAST({_BUCKET} AS BIGINT) AS bucket FROM deals")
@@ -77,10 +79,10 @@ def key01_deal_keys(v: Views) -> DataFrame:
     return keyed(v).select("deal_id", "dedup_key", "amount_key")
 
 
-@query(f"""WITH b AS (SELECT deal_id, {norm_sql('name')} AS norm, round_type, coalesce(CAST((announced_date - DATE '1970-01-01') // 3 AS BIGINT), {_UNDATED}) AS b, CASE WHEN announced_date IS NULL THEN 'nodate_' ELSE '' END AS p FROM deals JOIN companies USING (company_id) WHERE deal_id % 10 = 0)
+@query(f"""WITH b AS (SELECT deal_id, {norm_sql('name')} AS norm, round_type, coalesce(CAST((announced_date - DATE '1970-01-01') // 3 AS BIGINT), {_UNDATED}) AS b, CASE WHEN announced_date IS NULL THEN 'nodate_' ELSE '' END AS p FROM deals JOIN companies USING (company_id))
 SELECT deal_id, md5(norm || '|' || round_type || '|' || p || CAST(b - 1 AS VARCHAR)) AS before, md5(norm || '|' || round_type || '|' || p || CAST(b + 1 AS VARCHAR)) AS after FROM b""")
 def key03_adjacent_keys(v: Views) -> DataFrame:
-    rows = v.deals.where("deal_id % 10 = 0").join(v.companies, "company_id")
+    rows = v.deals.join(v.companies, "company_id")
     both = keys.adjacent_keys(F.col("name"), F.col("round_type"), F.col("announced_date"), AS_OF)
     return rows.select("deal_id", both[0].alias("before"), both[1].alias("after"))
 

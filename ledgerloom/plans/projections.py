@@ -214,11 +214,11 @@ def prj15_scan_sources(v: Views) -> DataFrame:
 
 
 @query("""SELECT d.deal_id, c.name AS company_name, d.round_type, d.amount_usd, p.partner AS lead_investor, c.website FROM deals d JOIN companies c USING (company_id) LEFT JOIN (SELECT deal_id, 'Partner ' || CAST(min(fund_id) AS VARCHAR) AS partner FROM deal_investors WHERE is_lead GROUP BY deal_id) p USING (deal_id)
-WHERE d.deal_id NOT IN (SELECT item_id FROM tracker)""")
+WHERE d.deal_id NOT IN (SELECT item_id FROM tracker WHERE status = 'watching')""")
 def prj16_tracker_items(v: Views) -> DataFrame:
     """Deals as tracker items, unless they are tracked already; the lead's partner stands for the lead."""
     partner = v.deal_investors.where("is_lead").groupBy("deal_id").agg(F.concat(F.lit("Partner "), F.min("fund_id").cast("string")).alias("lead_investor"))
-    fresh = v.deals.join(v.tracker.select(F.col("item_id").alias("deal_id")), "deal_id", "left_anti")
+    fresh = v.deals.join(v.tracker.where("status = 'watching'").select(F.col("item_id").alias("deal_id")), "deal_id", "left_anti")
     return fresh.join(v.companies, "company_id").join(partner, "deal_id", "left").select("deal_id", F.col("name").alias("company_name"), "round_type", "amount_usd", "lead_investor", "website")
 
 

@@ -89,13 +89,17 @@ def url_parts(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", dates.of_url(dated).alias("month"), F.when(target != "", target).alias("target"))
 
 
-@query("""WITH f AS (SELECT company_id AS filing_id, trim(regexp_replace(name, '\\s*(Inc[.]?|LLC|Corp[.]?|Corporation|Ltd[.]?)$', '', 'i')) AS a FROM companies WHERE company_id % 50 = 0), e AS (SELECT company_id AS entity_id, name AS b FROM companies WHERE company_id % 50 = 7),
-m AS (SELECT filing_id, entity_id, lower(a) AS a, lower(b) AS b, list_distinct(string_split_regex(lower(a), '\\s+')) AS x, list_distinct(string_split_regex(lower(b), '\\s+')) AS y FROM f, e)
-SELECT filing_id, min(entity_id) AS entity_id FROM m WHERE len(list_intersect(x, y)) > 0 AND (contains(a, b) OR contains(b, a) OR len(list_intersect(x, y)) >= least(2, len(x))) GROUP BY filing_id""")
+_ENTITY = "CASE company_id % 4 WHEN 0 THEN 'x' || name || 'y' WHEN 1 THEN split_part(name, ' ', 2) || ' Labs of Company' ELSE 'Entity ' || CAST(company_id * 31 % 977 AS VARCHAR) END"
+
+
+@query(f"""WITH f AS (SELECT company_id AS filing_id, lower(trim(regexp_replace(name, '\\s*(Inc[.]?|LLC|Corp[.]?|Corporation|Ltd[.]?)$', '', 'i'))) AS a FROM companies), e AS (SELECT company_id AS entity_id, lower({_ENTITY}) AS b FROM companies),
+m AS (SELECT filing_id, entity_id, a, b, list_distinct(string_split_regex(a, '\\s+')) AS x, list_distinct(string_split_regex(b, '\\s+')) AS y FROM f, e)
+SELECT filing_id, min(entity_id) AS entity_id FROM m WHERE contains(a, b) OR contains(b, a) OR len(list_intersect(x, y)) >= least(2, len(x)) GROUP BY filing_id""")
 def join08_registry_matches(v: Views) -> DataFrame:
-    filings = v.companies.where("company_id % 50 = 0").select(F.col("company_id").alias("filing_id"), F.col("name").alias("company"))
-    entities = v.companies.where("company_id % 50 = 7").select(F.col("company_id").alias("entity_id"), F.col("name").alias("entity"))
-    return ops.match_entities(filings, entities)
+    filings = v.companies.select(F.col("company_id").alias("filing_id"), F.col("name").alias("company"))
+    k, number = F.col("company_id"), F.element_at(F.split("name", " "), 2)
+    entity = F.when(k % 4 == 0, F.concat(F.lit("x"), "name", F.lit("y"))).when(k % 4 == 1, F.concat(number, F.lit(" Labs of Company"))).otherwise(F.concat(F.lit("Entity "), (k * 31 % 977).cast("string")))
+    return ops.match_entities(filings, v.companies.select(k.alias("entity_id"), entity.alias("entity")))
 
 
 @query("""WITH r AS (SELECT trigger_name AS source, scan_id AS seq, status = 'failed' AS failed FROM scans), g AS (SELECT *, coalesce(sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS good FROM r),
@@ -105,10 +109,10 @@ def sco11_tripped_runs(v: Views) -> DataFrame:
     return ops.tripped(runs, 2).select("source", "seq")
 
 
-@query("SELECT c.company_id, a.company_id AS alias_of FROM companies c LEFT JOIN (SELECT lower(trim(name)) AS k, min(company_id) AS company_id FROM companies WHERE company_id % 3 = 0 GROUP BY 1) a ON lower(trim(c.name)) = a.k WHERE c.company_id % 5 = 0")
+@query("SELECT c.company_id, a.company_id AS alias_of FROM companies c LEFT JOIN (SELECT lower(trim(name)) AS k, min(company_id) AS company_id FROM companies WHERE company_id % 3 = 0 GROUP BY 1) a ON lower(trim(c.name)) = a.k")
 def join06_aliases(v: Views) -> DataFrame:
     aliases = v.companies.where("company_id % 3 = 0").select(F.col("name").alias("alias_name"), F.col("company_id"))
-    named = v.companies.where("company_id % 5 = 0").select(F.col("company_id").alias("own"), F.upper("name").alias("name"))
+    named = v.companies.select(F.col("company_id").alias("own"), F.upper("name").alias("name"))
     return ops.by_alias(named, aliases).select(F.col("own").alias("company_id"), F.col("company_id").alias("alias_of"))
 
 

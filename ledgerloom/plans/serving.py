@@ -119,10 +119,10 @@ def agg01_token_usage(v: Views) -> DataFrame:
     )
 
 
-@query(f"SELECT source_name, round(sum({_COST}), 3) AS cost FROM usage WHERE event_id % 10 = 0 GROUP BY source_name")
+@query(f"SELECT source_name, round(sum({_COST}), 3) AS cost FROM usage GROUP BY source_name")
 def cst01_token_cost(v: Views) -> DataFrame:
     cost = amounts.token_cost(*(F.col(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")))
-    return v.usage.where("event_id % 10 = 0").groupBy("source_name").agg(F.round(F.sum(cost), 3).alias("cost"))
+    return v.usage.groupBy("source_name").agg(F.round(F.sum(cost), 3).alias("cost"))
 
 
 @query("SELECT scan_job_id, count(*) AS deals, count(*) FILTER (WHERE is_enterprise_ai) AS enterprise, count(*) FILTER (WHERE is_lead_confirmed) AS led FROM deals GROUP BY scan_job_id")
@@ -169,10 +169,10 @@ def agg08_page_ratios(v: Views) -> DataFrame:
     return page(v.deals, 0, 100).agg(share("is_enterprise_ai").alias("enterprise_pct"), share("is_lead_confirmed").alias("verified_pct"))
 
 
-@query("""SELECT c.company_id, d.deal_id, i.fund_id FROM deals d JOIN companies c USING (company_id) LEFT JOIN (SELECT deal_id, fund_id FROM deal_investors WHERE is_lead) i USING (deal_id) WHERE coalesce(c.website, '') = '' AND d.deal_id % 10 = 0""")
+@query("""SELECT c.company_id, d.deal_id, i.fund_id FROM deals d JOIN companies c USING (company_id) LEFT JOIN (SELECT deal_id, fund_id FROM deal_investors WHERE is_lead) i USING (deal_id) WHERE coalesce(c.website, '') = ''""")
 def join05_missing_website(v: Views) -> DataFrame:
     leads = v.deal_investors.where("is_lead").select("deal_id", "fund_id")
-    rows = v.deals.where("deal_id % 10 = 0").join(v.companies.where("coalesce(website, '') = ''"), "company_id").join(leads, "deal_id", "left")
+    rows = v.deals.join(v.companies.where("coalesce(website, '') = ''"), "company_id").join(leads, "deal_id", "left")
     return rows.select("company_id", "deal_id", "fund_id")
 
 
@@ -264,11 +264,11 @@ def agg12_failure_alarm(v: Views) -> DataFrame:
     return v.usage.groupBy("day").agg((F.avg(failed) > 0.1).alias("alarm"), F.count("*").alias("n"))
 
 
-@query("SELECT event_id, CASE WHEN altitude < 10 THEN 'low' WHEN altitude < 50 THEN 'middle' WHEN altitude < 100 THEN 'high' ELSE 'cruise' END AS band, CAST(round(altitude * 3.28084) AS BIGINT) AS feet FROM aircraft WHERE event_id % 20 = 0")
+@query("SELECT event_id, CASE WHEN altitude < 10 THEN 'low' WHEN altitude < 50 THEN 'middle' WHEN altitude < 100 THEN 'high' ELSE 'cruise' END AS band, CAST(round(altitude * 3.28084) AS BIGINT) AS feet FROM aircraft")
 def geo02_altitude_bands(v: Views) -> DataFrame:
     a = F.col("altitude")
     band = F.when(a < 10, "low").when(a < 50, "middle").when(a < 100, "high").otherwise("cruise")
-    return v.aircraft.where("event_id % 20 = 0").select("event_id", band.alias("band"), F.round(a * 3.28084).cast("long").alias("feet"))
+    return v.aircraft.select("event_id", band.alias("band"), F.round(a * 3.28084).cast("long").alias("feet"))
 
 
 @query("SELECT event_id, source_name FROM usage WHERE source_name = 'error' ORDER BY day DESC, event_id DESC LIMIT 30")

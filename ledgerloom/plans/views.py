@@ -51,9 +51,9 @@ VIEWS = {
     "CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS last_heartbeat, CAST(event_id % 5 AS BIGINT) AS deals_saved, event_type AS trigger_name FROM {events}",
     "signals": "SELECT event_id AS signal_id, 'Company ' || CAST(user_id AS STRING) AS company_name, event_type AS source, CAST(floor(value) AS BIGINT) % 101 AS score, CAST(ts AS DATE) AS spotted_at, "
     "event_id % 10 = 0 AS dismissed, CASE WHEN event_id % 8 = 0 THEN event_id END AS converted_deal_id FROM {events}",
-    "tracker": "SELECT o_orderkey AS item_id, CASE o_orderstatus WHEN 'F' THEN 'watching' WHEN 'O' THEN 'contacted' ELSE 'passed' END AS status, o_custkey AS sort_key, 'Company ' || CAST(o_custkey % 300 AS STRING) AS company_name FROM {orders} WHERE o_orderkey % 10 = 0",
+    "tracker": "SELECT o_orderkey AS item_id, CASE o_orderstatus WHEN 'F' THEN 'watching' WHEN 'O' THEN 'contacted' ELSE 'passed' END AS status, o_custkey AS sort_key, 'Company ' || CAST(o_custkey % 300 AS STRING) AS company_name FROM {orders}",
     "snapshots": "SELECT p_brand AS fund_slug, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'prev' ELSE 'cur' END AS side FROM {part}",
-    "aircraft": "SELECT event_id, user_id AS icao, ts AS seen_at, value AS altitude, event_type AS category, event_id % 6 = 0 AS on_ground, CAST(event_id % 180 AS DOUBLE) - 90 AS lat, CAST(event_id % 360 AS DOUBLE) - 180 AS lon FROM {events}",
+    "aircraft": "SELECT event_id, user_id AS icao, ts AS seen_at, value AS altitude, event_type AS category, event_id % 6 = 0 AS on_ground, CAST(event_id % 180 AS DOUBLE) - 90 AS lat, CAST(event_id * 7 % 360 AS DOUBLE) - 180 AS lon FROM {events}",
     "landed_filings": "SELECT c_custkey AS filing_id, CASE c_custkey % 5 WHEN 0 THEN 'Nova ' || CAST(c_custkey AS STRING) || ' Labs Inc' WHEN 1 THEN 'Perplexity SPV-' || CAST(c_custkey AS STRING) WHEN 2 THEN 'Orbit ' || CAST(c_custkey AS STRING) "
     "WHEN 3 THEN 'Beta Fund II' ELSE 'Company ' || CAST(c_custkey AS STRING) END AS company_name, CAST(c_custkey * 7 % 1009 AS STRING) AS cik, DATE '2001-07-31' - CAST(c_custkey % 40 AS INT) AS filing_date, "
     "CASE WHEN c_custkey % 4 = 0 THEN 'D/A' ELSE 'D' END AS form_type, CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '$' || CAST(c_custkey % 900 + 1 AS STRING) || ',500,000' WHEN 3 THEN '$0' WHEN 4 THEN '$450,000' ELSE 'Indefinite' END AS amount_raised, "
