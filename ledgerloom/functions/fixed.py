@@ -512,3 +512,24 @@ FUND_LABELS = {
     "bessemer": "Bessemer Venture Partners", "redpoint": "Redpoint", "greylock": "Greylock", "gv": "GV (Google Ventures)", "menlo": "Menlo Ventures", "usv": "Union Square Ventures", "thrive": "Thrive Capital",
     "accel": "Accel", "felicis": "Felicis Ventures", "general_catalyst": "General Catalyst", "first_round": "First Round Capital",
 }
+
+# List pages of funds: where their relative links lead, and what holds an item, in order.
+FUND_PAGES = {
+    "a16z": ("https://a16z.com", ["article", ".post-card", ".news-item", "[class*='PostCard']", "[class*='NewsCard']", "[class*='article-card']", "[class*='card']", "[class*='Card']", "a[href*='/announcement']"]),
+    "accel": ("https://accel.com", ["article", ".news-item", ".post-card", "[class*='news']", "[class*='article']", ".card"]),
+    "bessemer": ("https://bvp.com", ["article", ".news-item", ".news-card", ".post", "[class*='news']", "[class*='article']", ".card"]),
+    "felicis": ("https://felicis.com", ["article", ".insight", ".insight-card", ".post-card", "[class*='insight']", "[class*='post']", ".card"]),
+    "general_catalyst": ("https://www.generalcatalyst.com", ["article", ".news-item", ".post-card", "[class*='news']", "[class*='article']", ".card"]),
+    "gv": ("https://gv.com", ["article", ".news-item", ".post", "[class*='news']", "[class*='article']", ".card"]),
+    "index": ("https://indexventures.com", ["article", ".perspective-card", ".post-card", "[class*='article']", "[class*='card']", ".insight"]),
+    "insight": ("https://insightpartners.com", ["article", ".media-item", ".news-item", ".press-release", "[class*='media']", "[class*='news']", ".card"]),
+    "menlo": ("https://menlovc.com", ["article", ".news-item", ".post-card", "[class*='news']", "[class*='post']", ".card"]),
+    "redpoint": ("https://www.redpoint.com", ["[class*='card-module']", "[class*='Card']", "article", ".content-item"]),
+    "sequoia": ("https://sequoiacap.com", ["article", ".story-card", "[class*='story']", "[class*='Story']", "[class*='post']", "[class*='Post']", "[class*='Card']", "[class*='card']", "a[href*='/article/']"]),
+    "usv": ("https://usv.com", ["article", ".blog-post", ".post", "[class*='blog']", "[class*='post']", ".card"]),
+}
+OWN_DOMAIN_PAGES = {"a16z": "a16z.com", "redpoint": "redpoint.com", "sequoia": "sequoiacap.com"}
+SILENT_PAGES = ["first_round", "khosla"]
+SIGNAL_SOURCES = {
+    "hackernews": "hackernews", "ycombinator": "ycombinator", "github_trending": "github", "github": "github", "linkedin_jobs": "linkedin", "linkedin": "linkedin", "delaware_corps": "delaware", "delaware": "delaware",
+}

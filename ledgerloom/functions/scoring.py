@@ -87,3 +87,10 @@ def filing_match(state: Column, first_sale: Column, tech: Column, usd: Column, f
 
 def filing_label(score: Column) -> Column:
     return F.when(score >= 10, "HIGH").when(score >= 7, "STRONG")
+
+
+def dispatched(source: Column, title: Column, text: Column, tags: Column) -> tuple[Column, Column]:
+    """The kind of a source, by any of its names, and the score that its kind gives; null for others."""
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in fixed.SIGNAL_SOURCES.items() for x in kv]), source)
+    score = F.when(kind == "hackernews", hacker_news(title, text, tags)).when(kind == "ycombinator", y_combinator(title, text)).when(kind == "github", github(title, text))
+    return kind, score.when(kind == "linkedin", job_posts(title, text, tags)).when(kind == "delaware", registry_filing(title, text, tags))
