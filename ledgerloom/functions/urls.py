@@ -57,9 +57,16 @@ def redirect_target(url: Column) -> Column:
     return F.when(target.rlike("^https?://"), F.try_url_decode(target))
 
 
+def _decoded(packed: Column) -> Column:
+    """Base 64 as text, one character for each byte; what is over at the end is left out."""
+    whole = F.substring(packed, F.lit(1), (F.length(packed) - F.when(F.length(packed) % 4 == 1, 1).otherwise(0)).cast("int"))
+    padded = F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), F.lit("="))
+    return F.decode(F.unbase64(padded), "ISO-8859-1")
+
+
 def decoded_news_target(url: Column) -> Column:
-    """The first address inside the base-64 part of a news redirect."""
-    packed = F.regexp_extract(url, r"/articles/([A-Za-z0-9_-]+)", 1)
-    padded = F.rpad(F.translate(packed, "-_", "+/"), (F.ceil(F.length(packed) / 4) * 4).cast("int"), F.lit("="))
-    text = F.decode(F.unbase64(padded), F.lit("ISO-8859-1"))
-    return F.nullif(F.regexp_extract(text, r"(https?://[\x21-\x7e]+)", 1), F.lit(""))
+    """The first address inside the base-64 part of a news redirect, or inside base 64 that stands in that."""
+    text = _decoded(F.translate(F.regexp_extract(url, r"/articles/([A-Za-z0-9_-]+)", 1), "-_", "+/"))
+    inner = _decoded(F.regexp_extract(text, r"([A-Za-z0-9+/]{20,})", 1))
+    address = lambda t: F.nullif(F.regexp_extract(t, r"(https?://[\x21-\x7e]+)", 1), F.lit(""))
+    return F.coalesce(address(text), address(inner))

@@ -55,7 +55,7 @@ def date_votes(evidence: DataFrame) -> DataFrame:
     return folded.select("deal_id", best.alias("b")).select("deal_id", "b.date", "b.sure", "b.sources")
 
 
-def best_filing(deals: DataFrame, filings: DataFrame, rarest: int = 2) -> DataFrame:
+def best_filing(deals: DataFrame, filings: DataFrame, rarest: int = 1) -> DataFrame:
     """The likeliest filing of each deal: likeness of names, nearness in days, form.
 
     ``deals``: deal_id, name, date; ``filings``: filing_id, company, filed, form.  Names are compared once for each pair of

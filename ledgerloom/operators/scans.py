@@ -37,3 +37,23 @@ def health(stats: DataFrame, expected_empty: list[str]) -> DataFrame:
 
 def band(confidence: Column) -> Column:
     return F.when(confidence < 0.35, "below 0.35").when(confidence < 0.50, "below 0.50").when(confidence < 0.65, "below 0.65").otherwise("0.65 and over")
+
+
+def finished(scans: DataFrame, updates: DataFrame) -> DataFrame:
+    """Scan jobs (``scan_id, status, started_at``) with their ends (``scan_id, ended_at, status, deals_saved, articles_found``): duration in seconds, totals 0 where unknown."""
+    u = updates.select("scan_id", "ended_at", F.col("status").alias("_status"), "deals_saved", "articles_found")
+    out = scans.select("scan_id", "status", "started_at").join(u, "scan_id", "left")
+    seconds = F.unix_timestamp("ended_at") - F.unix_timestamp("started_at")
+    return out.select("scan_id", F.coalesce("_status", "status").alias("status"), seconds.alias("duration_seconds"), F.coalesce("deals_saved", F.lit(0)).alias("deals_saved"), F.coalesce("articles_found", F.lit(0)).alias("articles_found"))
+
+
+def summary(results: DataFrame, funds: DataFrame) -> DataFrame:
+    """One row of alert text: sources with deals and how many (``source, deals``), funds with deals (``fund, deals``)."""
+    listed = lambda df, c, name: df.where("deals > 0").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col(c), F.lit(": "), F.col("deals").cast("string")))), ", ").alias(name))
+    totals = results.agg(F.coalesce(F.sum("deals"), F.lit(0)).alias("deals"))
+    return totals.crossJoin(F.broadcast(listed(results, "source", "sources"))).crossJoin(F.broadcast(listed(funds, "fund", "funds")))  # one row each
+
+
+def deals_in_order(batches: DataFrame) -> DataFrame:
+    """Deals of batch extractions (``article_id, deals array``): each with its place; an article whose extraction failed (null) keeps a row without a deal."""
+    return batches.select("article_id", F.posexplode_outer("deals").alias("place", "deal"))

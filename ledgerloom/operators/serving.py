@@ -127,3 +127,23 @@ def merged_by_priority(rows: DataFrame, key: str, rank: list[str]) -> DataFrame:
     order = F.struct(*rank)
     first = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("_r"))
     return first.select(key, "_r.*")
+
+
+# Fields of tracker items that may be changed; the status has a way of its own.
+TRACKER_FIELDS = ["company_name", "round_type", "amount", "lead_investor", "website", "notes", "last_contact_date", "next_step"]
+
+
+def updated_items(items: DataFrame, changes: DataFrame) -> DataFrame:
+    """Tracker items with the changes (``item_id, field, value``, the last by ``seq``) of the fields that may change."""
+    allowed = changes.where(F.col("field").isin([f for f in TRACKER_FIELDS if f in items.columns]))
+    last = allowed.groupBy("item_id").pivot("field", [f for f in TRACKER_FIELDS if f in items.columns]).agg(F.max_by(F.struct("value"), "seq"))
+    fields = [f for f in TRACKER_FIELDS if f in items.columns]
+    named = last.select("item_id", *[F.col(f).alias(f"_{f}") for f in fields])
+    out = items.join(named, "item_id", "left")
+    return out.withColumns({f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.value")).otherwise(F.col(f)) for f in fields}).select(*items.columns)
+
+
+def with_funds(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Funds (``slug, fund_name``) with those of ``wanted`` that weren't there, once each."""
+    new = wanted.join(stored, "slug", "left_anti").groupBy("slug").agg(F.min("fund_name").alias("fund_name"))
+    return stored.select("slug", "fund_name").unionByName(new)

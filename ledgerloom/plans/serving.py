@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import amounts
+from ledgerloom.functions import amounts, pages
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.views import AS_OF, Views
 
@@ -249,13 +249,13 @@ def set01_snapshot_changes(v: Views) -> DataFrame:
     return named.where("cur != prev").select("fund_slug", "name", F.when(F.col("cur"), "new").otherwise("removed").alias("change"))
 
 
-@query("""WITH n AS (SELECT fund_slug, lower(name) AS name, bool_or(side = 'cur') AS cur, bool_or(side = 'prev') AS prev FROM snapshots GROUP BY 1, 2),
+@query("""WITH n AS (SELECT fund_slug, replace(lower(name), 'small', 'stripe') AS name, bool_or(side = 'cur') AS cur, bool_or(side = 'prev') AS prev FROM snapshots GROUP BY 1, 2),
 g AS (SELECT fund_slug, count(*) FILTER (WHERE cur AND NOT prev) AS added, bool_or(prev) AS known FROM n GROUP BY 1)
-SELECT n.fund_slug, n.name FROM n JOIN g USING (fund_slug) WHERE n.cur AND NOT n.prev AND g.known AND g.added <= 10 AND NOT starts_with(n.name, 'small')""")
+SELECT n.fund_slug, n.name FROM n JOIN g USING (fund_slug) WHERE n.cur AND NOT n.prev AND g.known AND g.added <= 10 AND NOT starts_with(n.name, 'stripe')""")
 def set03_guarded_additions(v: Views) -> DataFrame:
-    named = v.snapshots.groupBy("fund_slug", F.lower("name").alias("name")).agg(F.max(F.col("side") == "cur").alias("cur"), F.max(F.col("side") == "prev").alias("prev"))
+    named = v.snapshots.groupBy("fund_slug", F.replace(F.lower("name"), F.lit("small"), F.lit("stripe")).alias("name")).agg(F.max(F.col("side") == "cur").alias("cur"), F.max(F.col("side") == "prev").alias("prev"))
     guard = named.groupBy("fund_slug").agg(F.count_if(F.col("cur") & ~F.col("prev")).alias("added"), F.max("prev").alias("known")).where("known AND added <= 10")
-    return named.where("cur AND NOT prev").join(guard, "fund_slug", "left_semi").where(~F.col("name").startswith("small")).select("fund_slug", "name")
+    return named.where("cur AND NOT prev").join(guard, "fund_slug", "left_semi").where(~pages.well_known(F.col("name"))).select("fund_slug", "name")
 
 
 @query("SELECT day, avg(CASE WHEN event_id % 9 = 0 THEN 1.0 ELSE 0.0 END) > 0.1 AS alarm, count(*) AS n FROM usage GROUP BY day")
@@ -264,11 +264,15 @@ def agg12_failure_alarm(v: Views) -> DataFrame:
     return v.usage.groupBy("day").agg((F.avg(failed) > 0.1).alias("alarm"), F.count("*").alias("n"))
 
 
-@query("SELECT event_id, CASE WHEN altitude < 10 THEN 'low' WHEN altitude < 50 THEN 'middle' WHEN altitude < 100 THEN 'high' ELSE 'cruise' END AS band, CAST(round(altitude * 3.28084) AS BIGINT) AS feet FROM aircraft")
+@query("""SELECT event_id, CASE WHEN on_ground THEN 'ground' WHEN m > 10000 THEN 'over 10000' WHEN m > 5000 THEN 'over 5000' WHEN m > 1000 THEN 'over 1000' ELSE 'low' END AS band, CASE WHEN m = 0 THEN 'Ground' ELSE format('{:,}', CAST(round(m * 3.28084) AS BIGINT)) || ' ft' END AS height,
+CASE WHEN event_id % 50 = 0 THEN '-' ELSE CAST(CAST(round(event_id % 50 * 1.94384) AS BIGINT) AS VARCHAR) || ' kts' END AS speed FROM (SELECT event_id, on_ground, floor(altitude) * 100 AS m FROM aircraft)""")
 def geo02_altitude_bands(v: Views) -> DataFrame:
-    a = F.col("altitude")
-    band = F.when(a < 10, "low").when(a < 50, "middle").when(a < 100, "high").otherwise("cruise")
-    return v.aircraft.select("event_id", band.alias("band"), F.round(a * 3.28084).cast("long").alias("feet"))
+    """Bands of altitude, feet and knots as a map shows them."""
+    metres, speed = F.floor("altitude") * 100, F.col("event_id") % 50
+    band = F.when(F.col("on_ground"), "ground").when(metres > 10_000, "over 10000").when(metres > 5_000, "over 5000").when(metres > 1_000, "over 1000").otherwise("low")
+    height = F.when(metres == 0, "Ground").otherwise(F.concat(F.format_number(F.round(metres * 3.28084), 0), F.lit(" ft")))
+    knots = F.when(speed == 0, "-").otherwise(F.concat(F.round(speed * 1.94384).cast("long").cast("string"), F.lit(" kts")))
+    return v.aircraft.select("event_id", band.alias("band"), height.alias("height"), knots.alias("speed"))
 
 
 @query("SELECT event_id, source_name FROM usage WHERE source_name = 'error' ORDER BY day DESC, event_id DESC LIMIT 30")
