@@ -21,7 +21,7 @@ _TODAY = _NOW.date()
 
 def per_row(values: list[str | None]):
     """One of several documents by id."""
-    return varied("id", values)[0]
+    return varied("id", values)[0]()
 
 
 def _by(n: int, *values: str) -> str:
@@ -176,7 +176,7 @@ _SCORED = ["hackernews", "ycombinator", "github_trending", "linkedin", "delaware
 @query(f"""WITH s AS (SELECT article_id, title, CASE article_id % 6 WHEN 0 THEN 'hackernews' WHEN 1 THEN 'ycombinator' WHEN 2 THEN 'github' WHEN 3 THEN 'linkedin' WHEN 4 THEN 'delaware' END AS kind FROM articles) SELECT kind, count(*) AS n FROM s WHERE kind IS NOT NULL GROUP BY kind""")
 def sco06_dispatched(v: Views) -> DataFrame:
     """Every source by its own score; unknown sources have none."""
-    source = varied("article_id", _SCORED)[0]
+    source = varied("article_id", _SCORED)[0]()
     kind, score = scoring.dispatched(source, F.col("title"), F.col("text"), F.lit(None).cast("array<string>"))
     return v.articles.select(kind.alias("kind"), score.alias("score")).where("score IS NOT NULL").groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -215,7 +215,7 @@ _FOUND = [("Acme raises", "no date", "3 days ago"), ("Acme raises", "on Dec 15,
 def enr05_announced(v: Views) -> DataFrame:
     """Dates of the first search result that names a company and has one; the second query has a date in every case."""
     deals = v.landed_rows.select(F.col("id").alias("deal_id"), F.lit("Acme Robotics").alias("name"))
-    one = v.landed_rows.select(F.col("id").alias("deal_id"), F.lit(0).alias("query"), F.lit(0).alias("rank"), *[varied("id", [f[j] for f in _FOUND])[0].alias(c) for j, c in enumerate(("title", "description", "page_age"))])
+    one = v.landed_rows.select(F.col("id").alias("deal_id"), F.lit(0).alias("query"), F.lit(0).alias("rank"), *[varied("id", [f[j] for f in _FOUND])[0]().alias(c) for j, c in enumerate(("title", "description", "page_age"))])
     two = v.landed_rows.select(F.col("id").alias("deal_id"), F.lit(1).alias("query"), F.lit(0).alias("rank"), F.lit("acme robotics").alias("title"), F.lit("2025-11-01").alias("description"), F.lit("").alias("page_age"))
     return enrich.announced(deals, one.unionByName(two), _TODAY)
 

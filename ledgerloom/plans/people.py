@@ -14,7 +14,7 @@ from ledgerloom.plans.views import Views
 
 
 def cases(*rows: tuple) -> tuple:
-    """Columns of inputs by id, and the SQL of the last element of each row, which is the result."""
+    """Functions that give columns of inputs by id, and the SQL of the last element of each row, which is the result."""
     inputs = [varied("id", [r[k] for r in rows])[0] for k in range(len(rows[0]) - 1)]
     shown = lambda x: "NULL" if x is None else f"DATE '{x}'" if isinstance(x, datetime.date) else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
     return *inputs, f"(CASE id % {len(rows)} " + " ".join(f"WHEN {k} THEN {shown(r[-1])}" for k, r in enumerate(rows)) + " END)"
@@ -28,7 +28,7 @@ _TITLE, _TITLE_SQL = cases(
 
 @query(f"SELECT id, {_TITLE_SQL} AS person FROM landed_rows")
 def str06_title_names(v: Views) -> DataFrame:
-    return v.landed_rows.select("id", people.name_of_title(_TITLE).alias("person"))
+    return v.landed_rows.select("id", people.name_of_title(_TITLE()).alias("person"))
 
 
 _PROFILE, _EXPECTED, _SAME_SQL = cases(
@@ -39,7 +39,7 @@ _PROFILE, _EXPECTED, _SAME_SQL = cases(
 
 @query(f"SELECT id, {_SAME_SQL} AS same FROM landed_rows")
 def str09_profile_companies(v: Views) -> DataFrame:
-    return v.landed_rows.select("id", people.same_company(_PROFILE, _EXPECTED).alias("same"))
+    return v.landed_rows.select("id", people.same_company(_PROFILE(), _EXPECTED()).alias("same"))
 
 
 _RESULT, _SNIPPET, _FIRM, _KNOWN, _VALID_SQL = cases(
@@ -51,8 +51,8 @@ _RESULT, _SNIPPET, _FIRM, _KNOWN, _VALID_SQL = cases(
 @query(f"SELECT id, {_VALID_SQL} AS valid FROM landed_rows")
 def enr10_valid_founders(v: Views) -> DataFrame:
     """Profiles that are those of a company's leaders (APX-19 parses them)."""
-    facts = people.profile_facts(_RESULT, _SNIPPET, _KNOWN)
-    return v.landed_rows.select("id", people.valid_founder(facts, _FIRM).alias("valid"))
+    facts = people.profile_facts(_RESULT(), _SNIPPET(), _KNOWN())
+    return v.landed_rows.select("id", people.valid_founder(facts, _FIRM()).alias("valid"))
 
 
 _LINKED, _LINK_SQL = cases(
@@ -66,7 +66,7 @@ _PAGED, _PAGED_SQL = cases(
 
 @query(f"SELECT id, {_LINK_SQL} AS profile, {_PAGED_SQL} AS page FROM landed_rows")
 def apx17_links(v: Views) -> DataFrame:
-    return v.landed_rows.select("id", people.profile_link(_LINKED).alias("profile"), people.company_link(_PAGED).alias("page"))
+    return v.landed_rows.select("id", people.profile_link(_LINKED()).alias("profile"), people.company_link(_PAGED()).alias("page"))
 
 
 _SITE, _OF, _SITE_SQL = cases(
@@ -78,7 +78,7 @@ _SITE, _OF, _SITE_SQL = cases(
 
 @query(f"SELECT id, {_SITE_SQL} AS site FROM landed_rows")
 def cls15_startup_sites(v: Views) -> DataFrame:
-    return v.landed_rows.select("id", people.startup_site(_SITE, _OF).alias("site"))
+    return v.landed_rows.select("id", people.startup_site(_SITE(), _OF()).alias("site"))
 
 
 _POST, _POST_SQL = cases(
@@ -90,7 +90,7 @@ _BODY, _BODY_SQL = cases(("in stealth mode", True), ("no longer stealth", False)
 
 @query(f"SELECT id, {_POST_SQL} AS company, {_BODY_SQL} AS stealth FROM landed_rows")
 def cls12_job_posts(v: Views) -> DataFrame:
-    return v.landed_rows.select("id", people.job_company(_POST).alias("company"), people.stealth_post(F.lit("Engineer"), _BODY).alias("stealth"))
+    return v.landed_rows.select("id", people.job_company(_POST()).alias("company"), people.stealth_post(F.lit("Engineer"), _BODY()).alias("stealth"))
 
 
 _RTITLE, _RTEXT, _REG_SQL = cases(
@@ -101,7 +101,7 @@ _RTITLE, _RTEXT, _REG_SQL = cases(
 
 @query(f"SELECT id, {_REG_SQL} AS entity_name, CASE WHEN {_REG_SQL} IS NOT NULL THEN contains(body, 'clerky') END AS agent FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'by clerky' ELSE '' END AS body FROM landed_rows)")
 def cls17_registry_results(v: Views) -> DataFrame:
-    found = people.registry_result(_RTITLE, F.concat(_RTEXT, F.when(F.col("id") % 2 == 0, " by Clerky").otherwise("")))
+    found = people.registry_result(_RTITLE(), F.concat(_RTEXT(), F.when(F.col("id") % 2 == 0, " by Clerky").otherwise("")))
     return v.landed_rows.select("id", found["entity_name"].alias("entity_name"), found["has_startup_agent"].alias("agent"))
 
 
@@ -110,7 +110,7 @@ _MTITLE, _MARK_SQL = cases(("NOVA AI - USPTO filing", "NOVA AI"), ("Trademark Ap
 
 @query(f"SELECT id, {_MARK_SQL} AS mark_text, CASE WHEN {_MARK_SQL} IS NOT NULL THEN lpad(CAST(id AS VARCHAR), 8, '7') END AS serial_number FROM landed_rows")
 def src17_trademark_results(v: Views) -> DataFrame:
-    found = people.trademark_result(F.concat(F.lit("https://uspto.gov/"), F.lpad(F.col("id").cast("string"), 8, "7")), _MTITLE, F.lit("class 99999999"))
+    found = people.trademark_result(F.concat(F.lit("https://uspto.gov/"), F.lpad(F.col("id").cast("string"), 8, "7")), _MTITLE(), F.lit("class 99999999"))
     return v.landed_rows.select("id", found["mark_text"].alias("mark_text"), found["serial_number"].alias("serial_number"))
 
 
@@ -119,7 +119,7 @@ _HEADLINE, _AMOUNT_SQL = cases(("Acme gets €50M today", "€50M"), ("Foo lands
 
 @query(f"SELECT id, {_AMOUNT_SQL} AS amount FROM (SELECT id FROM landed_rows WHERE id % 7 NOT IN (1, 6)) UNION ALL SELECT id, CASE id % 7 WHEN 1 THEN '$1.5 billion' ELSE '£2.5 Million' END FROM landed_rows WHERE id % 7 IN (1, 6)")
 def str12_headline_amounts(v: Views) -> DataFrame:
-    return v.landed_rows.select("id", people.headline_amount(_HEADLINE).alias("amount"))
+    return v.landed_rows.select("id", people.headline_amount(_HEADLINE()).alias("amount"))
 
 
 _SIGNAL, _SIGNAL_SQL = cases(
@@ -129,7 +129,7 @@ _SIGNAL, _SIGNAL_SQL = cases(
 
 @query(f"SELECT id, {_SIGNAL_SQL} AS company FROM landed_rows")
 def str13_signal_companies(v: Views) -> DataFrame:
-    return v.landed_rows.select("id", people.signal_company(_SIGNAL).alias("company"))
+    return v.landed_rows.select("id", people.signal_company(_SIGNAL()).alias("company"))
 
 
 _PAID, _PAID_SQL = cases(
@@ -139,7 +139,7 @@ _PAID, _PAID_SQL = cases(
 
 @query(f"SELECT id, CAST({_PAID_SQL} AS BIGINT) AS usd FROM landed_rows")
 def amt02_extracted_amounts(v: Views) -> DataFrame:
-    return v.landed_rows.select("id", amounts.extracted(_PAID).alias("usd"))
+    return v.landed_rows.select("id", amounts.extracted(_PAID()).alias("usd"))
 
 
 _NOW = datetime.date(2026, 1, 31)
@@ -151,7 +151,7 @@ _QUOTE, _QUOTE_SQL = cases(
 
 @query(f"SELECT id, {_QUOTE_SQL} AS day FROM landed_rows")
 def date04_snippet_dates(v: Views) -> DataFrame:
-    return v.landed_rows.select("id", dates.of_snippet(_QUOTE, _NOW).alias("day"))
+    return v.landed_rows.select("id", dates.of_snippet(_QUOTE(), _NOW).alias("day"))
 
 
 @query("SELECT id, md5('news:pw:' || CAST(20 + id % 2 AS VARCHAR) || ':' || title) AS cache_key FROM landed_rows WHERE id % 5 <> 0 OR score >= 200")

@@ -65,7 +65,7 @@ _HEAD, _HEAD_SQL = cases(("Sequoia Capital and Accel", "sequoia"), ("a round by
 @query(f"SELECT id, {_HEAD_SQL} AS fund FROM landed_rows")
 def apx15_funds_in_headlines(v: Views) -> DataFrame:
     """The fund that stands first in a headline; partners only where it speaks of investment."""
-    return v.landed_rows.select("id", matched_fund(_HEAD).alias("fund"))
+    return v.landed_rows.select("id", matched_fund(_HEAD()).alias("fund"))
 
 
 _THRIVE, _THRIVE_SQL = cases(
@@ -77,8 +77,8 @@ _FULL = ["thrive capital is in", "thrive global too", "no such fund"]
 @query(f"SELECT id, CASE WHEN id % 3 = 0 THEN 'thrive capital is in' ELSE '' END AS text FROM landed_rows WHERE {_THRIVE_SQL}")
 def apx03_feed_pages(v: Views) -> DataFrame:
     """Feeds as a fund's source: items that the fund's rules leave; a text that they don't leave is blank."""
-    kept = v.landed_rows.where(pages.page_verdict(F.lit("thrive"), _THRIVE, F.lit("")) == "kept")
-    full = varied("id", _FULL)[0]
+    kept = v.landed_rows.where(pages.page_verdict(F.lit("thrive"), _THRIVE(), F.lit("")) == "kept")
+    full = varied("id", _FULL)[0]()
     return kept.select("id", F.when(pages.page_verdict(F.lit("thrive"), F.lit(""), full) == "kept", full).otherwise("").alias("text"))
 
 
@@ -90,7 +90,7 @@ _JT, _JD, _JOB_SQL = cases(
 @query(f"SELECT id, {_JOB_SQL} AS company_name, id % 4 = 0 OR id % 4 = 3 AS is_stealth, CASE WHEN id % 4 = 0 THEN 'accel' END AS fund FROM landed_rows WHERE id % 4 IN (0, 3)")
 def src21_job_posts(v: Views) -> DataFrame:
     """Job posts of landed searches: of startups alone, with company, stealth and fund."""
-    rows = v.landed_rows.select("id", _JT.alias("title"), _JD.alias("description")).where(people.job_post(F.col("title"), F.col("description")))
+    rows = v.landed_rows.select("id", _JT().alias("title"), _JD().alias("description")).where(people.job_post(F.col("title"), F.col("description")))
     return rows.select("id", people.job_company(F.col("title")).alias("company_name"), people.stealth_post(F.col("title"), F.col("description")).alias("is_stealth"), matched_fund(F.concat_ws(" ", "title", "description")).alias("fund"))
 
 
@@ -116,7 +116,7 @@ _TWICE = "https://news.google.com/rss/articles/" + _packed(b"\x01\x02" + base64.
 @query("SELECT id, CASE id % 3 WHEN 0 THEN 'https://example.com/a/long/article-name' WHEN 1 THEN 'https://example.org/another/article' END AS target FROM landed_rows")
 def src22_news_targets(v: Views) -> DataFrame:
     """Addresses in news redirects, packed once or twice."""
-    return v.landed_rows.select("id", urls.decoded_news_target(varied("id", [_OLD, _TWICE, "https://news.google.com/home"])[0]).alias("target"))
+    return v.landed_rows.select("id", urls.decoded_news_target(varied("id", [_OLD, _TWICE, "https://news.google.com/home"])[0]()).alias("target"))
 
 
 
