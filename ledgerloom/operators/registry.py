@@ -12,7 +12,8 @@ def match_entities(filings: DataFrame, entities: DataFrame) -> DataFrame:
     """``filing_id, entity_id``: the first entity whose name holds the filing's, or is held, or shares two words (all of fewer).
 
     ``filings``: filing_id, company; ``entities``: entity_id, entity.  Different names meet once: a name that holds another holds its
-    rarest three letters, and names that share two words share one that isn't the most frequent of the filing's.
+    rarest three letters, and names that share two words share one that isn't the most frequent of the filing's.  A name that is
+nothing but a legal form matches none.
     """
     bare = F.trim(F.regexp_replace(F.col("company"), r"(?i)\s*(Inc\.?|LLC|Corp\.?|Corporation|Ltd\.?)$", ""))
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))

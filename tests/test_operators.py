@@ -1,6 +1,8 @@
 """Resolution, validation, merging, readers and streams on small tables."""
 
 import datetime
+import pathlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +170,80 @@ def test_stuck_scans(spark):
     rows = [(1, "running", ago(900), ago(299)), (2, "running", ago(900), ago(301)), (3, "running", ago(301), None), (4, "success", ago(900), ago(900))]
     scans = spark.createDataFrame(rows, "scan_id long, status string, started_at timestamp, last_heartbeat timestamp")
     assert sorted(r["scan_id"] for r in flows.stuck_scans(scans, now).collect()) == [2, 3]
+
+
+def test_registry_matches_are_those_of_all_pairs(spark):
+    import random
+
+    from ledgerloom.operators import registry
+
+    r = random.Random(1)
+    words = ["nova", "data", "labs", "ab", "x", "company", "novadata", "labsx", "inc"]
+    pick = lambda: " ".join(r.choice(words) for _ in range(r.randint(1, 4)))
+    filings, entities = [(k, pick().title()) for k in range(60)], [(k, pick()) for k in range(60)]
+    got = {x["filing_id"]: x["entity_id"] for x in registry.match_entities(spark.createDataFrame(filings, "filing_id long, company string"), spark.createDataFrame(entities, "entity_id long, entity string")).collect()}
+    expected = {}
+    for f, name in filings:
+        a = re.sub(r"\s*(inc\.?|llc|corp\.?|corporation|ltd\.?)$", "", name.lower()).strip()
+        for e, b in entities:
+            x, y = set(a.split()), set(b.split())
+            if a and (a in b or b in a or len(x & y) >= min(2, len(x))):
+                expected[f] = e
+                break
+    assert got == expected
+
+
+def test_matching_names_are_those_of_all_pairs(spark):
+    import random
+
+    from ledgerloom.functions import fixed
+    from ledgerloom.functions.names import normal_form
+
+    r = random.Random(2)
+    rows = [(k, r.choice(["Acme", "acme", "The Acme", "Zed", "Zedgo", "Acmelabs", "acme hq", "Acmely", "Ai", "???", "Foo"]) + r.choice(["", ", Inc.", "ai", "x"])) for k in range(80)]
+    companies = spark.createDataFrame(rows, "company_id long, name string")
+    norm = {x["company_id"]: (x["n"] or "=" + x["name"].lower().strip()) for x in companies.withColumn("n", normal_form(F.col("name"))).collect()}
+    first = {}
+    for k, n in sorted(norm.items()):
+        first.setdefault(n, k)
+    same = {("same", k, first[n]) for k, n in norm.items() if first[n] != k}
+    suffix = {("suffix", i, j) for a, i in first.items() for b, j in first.items() if len(a) >= 3 and b.startswith(a) and b[len(a) :] in fixed.MATCH_SUFFIXES}
+    assert {tuple(x) for x in resolve.matching_names(companies).collect()} == same | suffix and suffix
+
+
+def test_best_filing_shares_the_rarest_word(spark):
+    import difflib
+
+    deals = [(k, f"Firm{k} Data Company", D(2026, 1, 1 + k % 20)) for k in range(30)]
+    filings = [(100 + k, f"Firm{k} Data Company {'Inc' if k % 2 else 'Holdings Trust'}", D(2026, 1, 5), "D") for k in range(30)]
+    got = {x["deal_id"]: x["filing_id"] for x in merge.best_filing(spark.createDataFrame(deals, "deal_id long, name string, date date"), spark.createDataFrame(filings, "filing_id long, company string, filed date, form string")).collect()}
+    for d, name, day in deals:
+        near = lambda gap: 0.3 if gap <= 7 else 0.2 if gap <= 30 else 0.1 if gap <= 90 else 0.0
+        of_word = [f for f in filings if name.split()[0].lower() in f[1].lower().split()]
+        best = max(of_word, key=lambda f: (difflib.SequenceMatcher(None, name.lower(), f[1].lower()).ratio() + near(abs((f[2] - day).days)), -f[0]))  # noqa: B023
+        assert got[d] == best[0]
+
+
+def test_atom_reader(spark, tmp_path):
+    from ledgerloom.sources import landed
+
+    (tmp_path / "a.xml").write_text('<feed><entry><title>T</title><link href="http://a.b/c"/><updated>2025-12-18T10:00:00Z</updated><summary>&lt;b&gt;Hi&lt;/b&gt;</summary></entry><entry><title>none</title></entry></feed>')
+    got = landed.read_atom(spark, str(tmp_path / "a.xml"), "feed").collect()
+    assert [(x["source"], x["title"], x["url"], x["published_date"], x["text"]) for x in got] == [("feed", "T", "http://a.b/c", D(2025, 12, 18), "Hi")]
+
+
+def test_long_articles_keep_signs_of_funding(spark):
+    from ledgerloom.functions.text import shortened
+
+    body = "a" * 5000 + " raised $5 million in a Series A led by Foo " + "b" * 5000
+    out = spark.createDataFrame([(body,), ("short",), (None,)], "t string").select(shortened("t").alias("t")).collect()
+    assert out[1]["t"] == "short" and out[2]["t"] is None
+    assert out[0]["t"].startswith("a" * 2800) and "raised $5 million" in out[0]["t"] and out[0]["t"].endswith("[TRUNCATED]") and len(out[0]["t"]) <= 4012
+
+
+def test_plans_import_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 200 and set(o) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).resolve().parent.parent).returncode == 0
