@@ -42,10 +42,10 @@ def fresh_contents(articles: DataFrame, stored: DataFrame, as_of: datetime.date,
     ``stored`` has ``content_hash, content_length, expires_on``; expired rows don't count.  Articles without text stay.  Of
     articles of one batch with the same content the first stays, or all of them if ``one_of_twins`` is false.
     """
-    keyed = articles.withColumn("content_hash", text.content_fingerprint(F.col("text")))
+    # texts are read once, for their hash and length, and don't go through the joins
+    light = articles.select(order, text.content_fingerprint(F.col("text")).alias("content_hash"), F.length("text").alias("_length"))
     live = stored.where(F.col("expires_on") > F.lit(as_of)).groupBy("content_hash").agg(F.max("content_length").alias("stored_length"))
-    kept = keyed.join(live, "content_hash", "left").where((F.col("content_hash") == "") | F.col("stored_length").isNull() | (F.length("text") > F.greatest(F.lit(100), 2 * F.col("stored_length"))))
+    kept = light.join(live, "content_hash", "left").where((F.col("content_hash") == "") | F.col("stored_length").isNull() | (F.col("_length") > F.greatest(F.lit(100), 2 * F.col("stored_length"))))
     if one_of_twins:
-        first = kept.groupBy("content_hash").agg(F.min(order).alias("_first"))
-        kept = kept.join(first, "content_hash").where((F.col("content_hash") == "") | (F.col(order) == F.col("_first"))).drop("_first")
-    return kept.drop("stored_length")
+        kept = kept.groupBy("content_hash", F.when(F.col("content_hash") == "", F.col(order)).alias("_own")).agg(F.min(order).alias(order))
+    return articles.join(kept.select(order, "content_hash"), order)
