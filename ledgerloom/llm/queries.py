@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import common, decontaminate, fingerprint, langid, ngram_join, packing, quality, secret_scan, sharding, suffix, tokenfile
+from ledgerloom.llm import common, decontaminate, differencing, dual_tree, fingerprint, langid, ngram_join, oracles, packing, prefix_trie, quality, secret_scan, sharding, suffix, tokenfile
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,5 +47,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op3_ngram_join, op4_decontaminate, op5_fingerprint, op6_secrets, op7_suffix, op8_quality, op9_sharding, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return differencing.pack(common.documents(spark, sf_dir))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.short_batches(spark)
+    return dual_tree.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.short_batches(spark)
+    return prefix_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_tokenfile, op3_ngram_join, op4_decontaminate, op5_fingerprint, op6_secrets, op7_suffix, op8_quality, op9_sharding, op10_packing, op11_windows, op12_negatives, op13_trie)}
+ORACLE_SQL = {"op12_negatives": oracles.HARD_NEGATIVES, "op13_trie": oracles.PREFIX_TRIE}
