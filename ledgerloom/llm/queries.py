@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import common, decontaminate, differencing, dual_tree, fingerprint, langid, ngram_join, oracles, packing, prefix_trie, quality, secret_scan, sharding, suffix, tokenfile
+from ledgerloom.llm.scratch import short_batches
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +53,12 @@ def op11_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.short_batches(spark)
+    short_batches(spark)
     return dual_tree.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.short_batches(spark)
+    short_batches(spark)
     return prefix_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
