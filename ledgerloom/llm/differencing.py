@@ -67,10 +67,13 @@ def _with_pieces(one: Partial, sizes: np.ndarray, pieces: np.ndarray, following:
     """A partial partition and single pieces, none larger than any before: in empty windows, or one on the smallest sum."""
     if len(one.sums) < k:
         return Partial(np.r_[one.sums, sizes], np.r_[one.head, pieces], np.r_[one.tail, pieces], k)
-    total = one.sums[-1] + sizes[0]
+    total, head = one.sums[-1] + sizes[0], one.head[-1]
     following[one.tail[-1]] = pieces[0]
-    to = int(np.searchsorted(-one.sums[:-1], -total, "right"))
-    return Partial(np.insert(one.sums[:-1], to, total), np.insert(one.head[:-1], to, one.head[-1]), np.insert(one.tail[:-1], to, pieces[0]), k)
+    to = k - 1 - int(np.searchsorted(one.sums[-2::-1], total)) if k > 1 else 0
+    for column, value in ((one.sums, total), (one.head, head), (one.tail, pieces[0])):
+        column[to + 1 :] = column[to:-1]
+        column[to] = value
+    return Partial(one.sums, one.head, one.tail, k)
 
 
 def _against(one: Partial, other: Partial, following: np.ndarray, k: int) -> Partial:
@@ -97,7 +100,7 @@ def difference(sizes: np.ndarray, k: int) -> tuple[Partial, np.ndarray]:
     at = made = 0
     while True:
         if at < len(order) and (not held or lengths[at] > -held[0][0]):
-            first = Partial(lengths[at : at + 1], order[at : at + 1], order[at : at + 1], k)
+            first = Partial(lengths[at : at + 1].copy(), order[at : at + 1].copy(), order[at : at + 1].copy(), k)
             at += 1
         else:
             first = heapq.heappop(held)[2]
