@@ -27,6 +27,8 @@ from ledgerloom.llm import common, tokens
 
 #: Pieces of a group, on average.
 GROUP = 8192
+#: Words that a worker remembers, as in operator 2: some 370 MB.
+WORDS_KEPT = 2_000_000
 
 _FIELDS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64()}
 _PIECES = ", ".join(f"{name} bigint" for name in _FIELDS)
@@ -36,7 +38,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k
     """Whole windows of every document, and the rest of it in pieces of at most a quarter of a window."""
 
     def cut(batches):
-        enc = tokens.encoder(tokenizer)
+        enc = tokens.encoder(tokenizer, WORDS_KEPT)
         for batch in batches:
             ids = common.column_of(batch, "doc_id").to_pylist()
             out: list[tuple] = []
