@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates
-from ledgerloom.functions.people import likeness
 
 
 def date_confidence(article: Column, extracted: Column, as_of: datetime.date) -> Column:
@@ -55,32 +54,6 @@ def date_votes(evidence: DataFrame) -> DataFrame:
     return folded.select("deal_id", best.alias("b")).select("deal_id", "b.date", "b.sure", "b.sources")
 
 
-def best_filing(deals: DataFrame, filings: DataFrame, rarest: int = 1) -> DataFrame:
-    """The likeliest filing of each deal: likeness of names, nearness in days, form.
-
-    ``deals``: deal_id, name, date; ``filings``: filing_id, company, filed, form.  Names are compared once for each pair of
-    different ones that share one of the ``rarest`` words of either, so that a word that all names have joins nothing.
-    """
-    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda w: F.length(w) >= 1))
-    one = deals.select(F.lower("name").alias("name")).distinct().withColumn("word", F.explode(split("name")))
-    two = filings.select(F.lower("company").alias("company")).distinct().withColumn("word", F.explode(split("company")))
-    often = one.select("word").unionByName(two.select("word")).groupBy("word").agg(F.count("*").alias("often"))
-
-    def keyed(words: DataFrame, name: str) -> DataFrame:
-        rank = F.sort_array(F.collect_list(F.struct("often", "word")))
-        return words.join(often, "word").groupBy(name).agg(F.slice(rank, 1, rarest).alias("w")).select(name, F.explode("w.word").alias("word"))
-
-    a, b = keyed(one, "name"), keyed(two, "company")
-    met = a.join(two, "word").select("name", "company").unionByName(one.join(b, "word").select("name", "company")).distinct()
-    alike = met.withColumn("ratio", likeness("name", "company"))
-    scored = deals.withColumn("_name", F.lower("name")).join(alike.withColumnRenamed("name", "_name"), "_name").join(filings.withColumn("_company", F.lower("company")).drop("company"), F.col("company") == F.col("_company"))
-    gap = F.abs(F.datediff("filed", "date"))
-    near = F.when(gap <= 7, 0.3).when(gap <= 30, 0.2).when(gap <= 90, 0.1).otherwise(0.0)
-    scored = scored.withColumn("score", F.col("ratio") + near + F.when(F.col("form") == "D", 0.1).otherwise(0.0)).withColumn("gap", gap)
-    best = scored.groupBy("deal_id").agg(F.max_by(F.struct("filing_id", "ratio", "gap", "score"), F.struct("score", -F.col("filing_id"))).alias("b"))
-    return best.select("deal_id", "b.filing_id", F.round("b.score", 6).alias("score"), ((F.col("b.ratio") > 0.8) & F.coalesce(F.col("b.gap") <= 30, F.lit(False))).alias("confident"))
-
-
 def dense_positions(items: DataFrame, group: str, *order: str) -> DataFrame:
     """Positions 0, 1, 2, ... within each group."""
     return items.withColumn("position", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed, funds
-from ledgerloom.operators import merge, validate
+from ledgerloom.operators import likeness, merge, validate
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.views import AS_OF, Views
 from ledgerloom.sources import exports
@@ -78,10 +78,10 @@ def enr01_date_votes(v: Views) -> DataFrame:
 
 @query()
 def enr02_best_filings(v: Views) -> DataFrame:
-    """The likeliest filing of deals, by names that share a rare word; tests hold it against all pairs."""
+    """The likeliest filing of every deal over all filings; tests hold it against all pairs."""
     deals = v.deals.join(v.companies, "company_id").select("deal_id", "name", F.col("announced_date").alias("date"))
     filings = v.companies.select(F.col("company_id").alias("filing_id"), F.col("name").alias("company"), F.date_sub(F.lit(AS_OF), (F.col("company_id") % 2000).cast("int")).alias("filed"), F.lit("D").alias("form"))
-    return merge.best_filing(deals, filings)
+    return likeness.best_filing(deals, filings)
 
 
 @query("SELECT scan_id FROM scans WHERE status = 'running' AND coalesce(last_heartbeat, started_at) < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 300 SECOND")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import names
-from ledgerloom.operators import merge, prefilter, resolve, validate
+from ledgerloom.operators import likeness, merge, prefilter, resolve, validate
 from ledgerloom.sources import exports
 from ledgerloom.streaming import flows
 
@@ -105,8 +105,8 @@ def test_date_votes(spark):
 def test_best_filing(spark):
     deals = spark.createDataFrame([(1, "Acme Robotics", D(2026, 1, 10)), (2, "Nothing Like It", D(2026, 1, 10))], "deal_id long, name string, date date")
     filings = spark.createDataFrame([(1, "Acme Robotics Inc", D(2026, 1, 12), "D"), (2, "Acme Robotics", D(2024, 1, 1), "D/A"), (3, "Zeta", D(2026, 1, 10), "D")], "filing_id long, company string, filed date, form string")
-    got = merge.best_filing(deals, filings).collect()
-    assert [(r["deal_id"], r["filing_id"], r["confident"]) for r in got] == [(1, 1, True)]
+    got = likeness.best_filing(deals, filings).collect()
+    assert [(r["deal_id"], r["filing_id"], r["confident"]) for r in got] == [(1, 1, True), (2, 1, False)]  # the best of all, though no likely one
 
 
 def test_merges(spark):
@@ -211,17 +211,62 @@ def test_matching_names_are_those_of_all_pairs(spark):
     assert {tuple(x) for x in resolve.matching_names(companies).collect()} == same | suffix and suffix
 
 
-def test_best_filing_shares_the_rarest_word(spark):
+def best_of_all_pairs(deals, filings):
     import difflib
 
-    deals = [(k, f"Firm{k} Data Company", D(2026, 1, 1 + k % 20)) for k in range(30)]
-    filings = [(100 + k, f"Firm{k} Data Company {'Inc' if k % 2 else 'Holdings Trust'}", D(2026, 1, 5), "D") for k in range(30)]
-    got = {x["deal_id"]: x["filing_id"] for x in merge.best_filing(spark.createDataFrame(deals, "deal_id long, name string, date date"), spark.createDataFrame(filings, "filing_id long, company string, filed date, form string")).collect()}
-    for d, name, day in deals:
-        near = lambda gap: 0.3 if gap <= 7 else 0.2 if gap <= 30 else 0.1 if gap <= 90 else 0.0
-        of_word = [f for f in filings if name.split()[0].lower() in f[1].lower().split()]
-        best = max(of_word, key=lambda f: (difflib.SequenceMatcher(None, name.lower(), f[1].lower()).ratio() + near(abs((f[2] - day).days)), -f[0]))  # noqa: B023
-        assert got[d] == best[0]
+    out = {}
+    for deal, name, day in deals:
+        best = None
+        for filing, company, filed, form in filings:
+            if name is None or company is None:
+                continue
+            ratio = difflib.SequenceMatcher(None, name.lower(), company.lower()).ratio()
+            gap = abs((filed - day).days) if day and filed else None
+            near = 0.0 if gap is None else 0.3 if gap <= 7 else 0.2 if gap <= 30 else 0.1 if gap <= 90 else 0.0
+            score = (ratio + near) + (0.1 if form == "D" else 0.0)
+            if best is None or (score, -filing) > best[0]:
+                best = (score, -filing), (deal, filing, round(score, 6), ratio > 0.8 and gap is not None and gap <= 30)
+        if best:
+            out[deal] = best[1]
+    return out
+
+
+DEALS, FILINGS = "deal_id long, name string, date date", "filing_id long, company string, filed date, form string"
+
+
+def test_best_filing_is_that_of_all_pairs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(likeness, "BLOCK", 16)
+    r = random.Random(7)
+    words = ["nova", "acme", "robotics", "data", "labs", "health", "orbit", "zeta", "quantum", "ai", "Éclair", "日本"]
+
+    def name():
+        made = " ".join(r.choice(words) for _ in range(r.randint(1, 3))) + r.choice(["", "", " Inc", ", Inc.", " Company"])
+        k = r.randrange(len(made))
+        return made[:k] + made[k + 1 :] if r.random() < 0.3 else made.upper() if r.random() < 0.1 else made
+
+    day = lambda: None if r.random() < 0.15 else D(2024, 1, 1) + datetime.timedelta(r.randint(0, 900))
+    filings = [(100 + k, name(), day(), r.choice(["D", "D", "D/A", None])) for k in range(220)]
+    filings += [(k, "hot name", D(2025, 5, 5), "D/A") for k in range(400, 440)] + [(500, "", day(), "D"), (501, None, day(), "D"), (502, "x" * 400, None, "D/A")]
+    deals = [(k, name(), day()) for k in range(200)] + [(300 + k, "hot name", D(2025, 5, 7)) for k in range(40)]
+    deals += [(400, "", None), (401, None, D(2025, 1, 1)), (402, "Nova Rbotics", D(2024, 2, 2)), (403, "@@@@", None), (404, "x" * 390, None), (405, filings[3][1], D(1990, 1, 1))]
+    got = likeness.best_filing(spark.createDataFrame(deals, DEALS), spark.createDataFrame(filings, FILINGS)).collect()
+    assert {x["deal_id"]: tuple(x) for x in got} == best_of_all_pairs(deals, filings) and len(got) == len(deals) - 1
+    assert likeness.best_filing(spark.createDataFrame(deals, DEALS), spark.createDataFrame([], FILINGS)).count() == 0
+
+
+def test_best_filings_of_the_whole_tables(spark):
+    from ledgerloom import plans
+    from ledgerloom.plans import extraction, views
+
+    folder = "/root/testdata/sf0.001"
+    if not pathlib.Path(folder).exists():
+        pytest.skip("test tables are not here")
+    v = views.Views(spark, folder)
+    deals = [tuple(x) for x in v.deals.join(v.companies, "company_id").select("deal_id", "name", "announced_date").collect()]
+    filings = [(x["company_id"], x["name"], extraction.AS_OF - datetime.timedelta(x["company_id"] % 2000), "D") for x in v.companies.collect()]
+    assert {x["deal_id"]: tuple(x) for x in plans.QUERIES["enr02_best_filings"](spark, folder).collect()} == best_of_all_pairs(deals, filings)
 
 
 def test_atom_reader(spark, tmp_path):
@@ -247,3 +292,15 @@ def test_plans_import_without_a_session():
 
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 200 and set(o) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).resolve().parent.parent).returncode == 0
+
+
+def test_deep_and_open_pages():
+    from ledgerloom.sources import markup
+
+    deep = markup.tree("<div>" * 100_000 + "inside" + "</span>" * 1000)
+    assert deep.text() == "inside" and sum(1 for _ in deep.every()) == 100_000
+    page = markup.tree("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>" + "<p>x" * 50_000 + "<div>y</div><table><tr><td>1<td>2<tr><td>3</table>")
+    assert [e.text() for e in page.find("li")] == ["a", "bc", "c", "d"]
+    assert [e.text() for e in page.find("td")] == ["1", "2", "3"] and len(page.find("tr")) == 2
+    assert all(e.parent.tag == "" for e in page.find("p")) and page.find("div")[0].parent.tag == ""
+    assert [e.text() for e in markup.tree("<table><tr><td><p>a<table><tr><td>b</table>c</table>").find("td")] == ["abc", "b"]
