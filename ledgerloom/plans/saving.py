@@ -37,8 +37,8 @@ def _sql(x) -> str:
 
 
 def saved(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Every fifth row's company goes through the case of its id."""
-    who = v.landed_rows.where("id % 5 = 0").select("id", (F.col("id") / 5 % len(CASES)).cast("int").alias("k"))
+    """Each row's company goes through the case of its id."""
+    who = v.landed_rows.select("id", (F.col("id") % len(CASES)).cast("int").alias("k"))
     name = lambda suffix: F.concat(F.md5(F.col("id").cast("string")), F.lit(" Firm"), F.col(suffix))
     old = v.spark.createDataFrame([(k, *s) for k, (s, *_) in enumerate(CASES) if s], "k int, suffix string, round_type string, amount string, announced_date date, date_confidence double")
     stored = who.join(F.broadcast(old), "k").select((F.col("id") * 10).alias("deal_id"), name("suffix").alias("name"), "round_type", "amount", "announced_date", "date_confidence")
@@ -52,13 +52,13 @@ def saved(v: Views) -> tuple[DataFrame, DataFrame]:
     return save(stored, new, TODAY)
 
 
-@query(f"WITH c(k, j, outcome) AS (VALUES {', '.join(f'({r[0]}, {r[1]}, {_sql(r[-1])})' for r in _NEW)}) SELECT r.id * 10 + c.j AS seq, c.outcome FROM landed_rows r JOIN c ON r.id // 5 % {len(CASES)} = c.k WHERE r.id % 5 = 0")
+@query(f"WITH c(k, j, outcome) AS (VALUES {', '.join(f'({r[0]}, {r[1]}, {_sql(r[-1])})' for r in _NEW)}) SELECT r.id * 10 + c.j AS seq, c.outcome FROM landed_rows r JOIN c ON r.id % {len(CASES)} = c.k")
 def res02_save_outcomes(v: Views) -> DataFrame:
     """What becomes of new deals, saved in order of arrival within each company."""
     return saved(v)[1].select("seq", "outcome")
 
 
-@query(f"WITH c(k, amount, announced_date, date_confidence, date_source_count) AS (VALUES {', '.join('(' + ', '.join(map(_sql, (k, *end))) + ')' for k, (*_, end) in enumerate(CASES))}) SELECT r.id, c.amount, c.announced_date, CAST(c.date_confidence AS DOUBLE) AS date_confidence, c.date_source_count FROM landed_rows r JOIN c ON r.id // 5 % {len(CASES)} = c.k WHERE r.id % 5 = 0")
+@query(f"WITH c(k, amount, announced_date, date_confidence, date_source_count) AS (VALUES {', '.join('(' + ', '.join(map(_sql, (k, *end))) + ')' for k, (*_, end) in enumerate(CASES))}) SELECT r.id, c.amount, c.announced_date, CAST(c.date_confidence AS DOUBLE) AS date_confidence, c.date_source_count FROM landed_rows r JOIN c ON r.id % {len(CASES)} = c.k")
 def res02_saved_deals(v: Views) -> DataFrame:
     """The first deal of each company after saving."""
     deals = saved(v)[0].withColumn("id", F.floor(F.col("deal_id") / 10)).groupBy("id").agg(F.min_by(F.struct("amount", "announced_date", F.round("date_confidence", 6).alias("date_confidence"), "date_source_count"), "deal_id").alias("d"))

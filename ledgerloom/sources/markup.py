@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import re
 from html.parser import HTMLParser
 
@@ -10,6 +11,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements that end where one of these begins beside them, and elements that such an end doesn't reach beyond.
+_ENDED_BY = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
+    "p": {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "header", "footer", "nav", "main", "form", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "pre", "blockquote", "figure", "address", "fieldset"},
+}
+_CLOSED_WITH = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"button", "td", "th", "caption", "object", "template"}}
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:\.[\w-]+)*)((?:\[[^\]]*\])*)$")
 _ATTRIBUTE = re.compile(r"\[([\w-]+)(?:(\*?=)['\"]?([^'\"\]]*)['\"]?)?\]")
 
@@ -18,15 +25,24 @@ class Element:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
+    def below(self):
+        """Elements and texts below, in document order; a stack in place of recursion, as pages may be nested without end."""
+        left = [iter(self.children)]
+        while left:
+            for c in left[-1]:
+                yield c
+                if isinstance(c, Element):
+                    left.append(iter(c.children))
+                    break
+            else:
+                left.pop()
+
     def every(self):
         """All elements below, in document order."""
-        for c in self.children:
-            if isinstance(c, Element):
-                yield c
-                yield from c.every()
+        return (c for c in self.below() if isinstance(c, Element))
 
     def text(self) -> str:
-        return "".join(c.text() if isinstance(c, Element) else c.strip() for c in self.children)
+        return "".join(c.strip() for c in self.below() if not isinstance(c, Element))
 
     def is_a(self, selector: str) -> bool:
         """One simple selector: a tag, classes, attributes with an exact value or a part of it."""
@@ -47,19 +63,39 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("", {}, None)
+        self.open: collections.Counter[str] = collections.Counter()
+
+    def _end_implied(self, tag: str) -> None:
+        """Ends the open elements without an end tag of their own that ``tag`` ends."""
+        for ended, by in _ENDED_BY.items():
+            if tag in by and self.open[ended]:
+                e = self.at
+                while e.parent and e.tag != ended and e.tag not in _CLOSED_WITH[ended]:
+                    e = e.parent
+                if e.tag == ended:
+                    self._leave(e)
+
+    def _leave(self, e: Element) -> None:
+        while self.at is not e:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[e.tag] -= 1
+        self.at = e.parent
 
     def handle_starttag(self, tag, attrs):
+        self._end_implied(tag)
         e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(e)
         if tag not in _VOID:
             self.at = e
+            self.open[tag] += 1
 
     def handle_endtag(self, tag):
-        e = self.at
-        while e.parent and e.tag != tag:
-            e = e.parent
-        if e.parent:
-            self.at = e.parent
+        if self.open[tag]:  # else nothing of the kind is open, which a deep page would be searched for each time
+            e = self.at
+            while e.tag != tag:
+                e = e.parent
+            self._leave(e)
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -75,14 +111,21 @@ def tree(html: str | None) -> Element:
 _ITEMS = "array<struct<title:string,url:string,day:string,tags:array<string>>>"
 
 
-def listed(html: Column, selectors: list[str], site: str, own_domain: str | None = None) -> Column:
-    """Items of a fund's list page, by its selectors in order: a title of ten characters or more, the first address of each, a date, tags."""
+def listed(html: Column, fund: Column, funds: dict[str, tuple[str, list[str]]], own_domains: dict[str, str]) -> Column:
+    """Items of a list page, by its fund's selectors in order: a title of ten characters or more, the first address of each, a date, tags.
+
+    Each page is parsed once, for whichever fund it is of; pages of other funds give none.
+    """
 
     @F.pandas_udf(_ITEMS)
-    def parse(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: _items(tree(page), selectors, site, own_domain))
+    def parse(pages: pd.Series, of: pd.Series) -> pd.Series:
+        def one(page: str | None, fund: str | None) -> list[dict]:
+            site, selectors = funds.get(fund, ("", []))
+            return _items(tree(page), selectors, site, own_domains.get(fund)) if selectors else []
 
-    return parse(html)
+        return pd.Series([one(page, fund) for page, fund in zip(pages, of, strict=True)])
+
+    return parse(html, fund)
 
 
 def _items(page: Element, selectors: list[str], site: str, own_domain: str | None) -> list[dict]:
