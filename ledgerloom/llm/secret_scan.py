@@ -22,8 +22,10 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,8 @@ BEFORE, INSIDE, AFTER = 32, 48, 8
 #: Any secret of up to INSIDE - STRIDE + 1 characters is in one window as a whole.
 STRIDE = 8
 WIDTH = BEFORE + INSIDE + AFTER
+#: Windows that the network reads at once; a long text's aren't held together.
+AT_ONCE = 512
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
@@ -66,17 +70,31 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+def covered(base: list[tuple[int, int, int, int]]) -> list[list[int]]:
+    """The base matches as stretches in order, of which none meets another."""
+    out: list[list[int]] = []
+    for start, _, end, _ in base:
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def other_candidates(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of token characters with a letter, less the base matches in them."""
-    out = []
+    """Runs of token characters with a letter, less the base matches in them; both are walked along the text once."""
+    out, stretches, first = [], covered(base), 0
     for m in _CANDIDATE.finditer(text):
-        start = m.start()
-        for a, _, b, _ in [*base, (m.end(), 0, m.end(), 0)]:
-            if b <= start or a > m.end():
-                continue
+        start, end = m.span()
+        while first < len(stretches) and stretches[first][1] <= start:
+            first += 1
+        k = first
+        while start < end:
+            a, b = stretches[k] if k < len(stretches) and stretches[k][0] <= end else (end, end)
             if a > start and any(c.isalpha() for c in text[start:a]):
                 out.append((start, a))
             start = max(start, b)
+            k += 1
     return out
 
 
@@ -125,10 +143,10 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return np.array([0 if c == "\0" else _NUMBER.get(c, _LETTERS - 1) for c in left + inside + right], np.int64)
 
 
-def windows(text: str, start: int, end: int) -> list[np.ndarray]:
+def windows(text: str, start: int, end: int) -> Iterator[np.ndarray]:
     """Windows over the whole length of a candidate."""
     last = max(start, end - INSIDE)
-    return [window(text, k, min(end, k + INSIDE)) for k in [*range(start, last, STRIDE), last]]
+    return (window(text, k, min(end, k + INSIDE)) for k in itertools.chain(range(start, last, STRIDE), [last]))
 
 
 class Network:
@@ -261,7 +279,7 @@ def long_windows(n: int = FINDINGS // 3, seed: int = 4048) -> tuple[np.ndarray,
         sep = r.choice("//-_")
         words = ["".join(r.choice("bcdfghlmnprstvwy") + r.choice("aeiou") + r.choice(["", "", "n", "r", "s", "ck", "t"]) for _ in range(r.randint(1, 4))) + (str(r.randint(1, 99)) if r.random() < 0.2 else "") for _ in range(r.randint(6, 14))]
         run = sep.join(words)
-        plain = windows(f"see {run} here", 4, 4 + len(run))
+        plain = list(windows(f"see {run} here", 4, 4 + len(run)))
         x += [w for k, w in enumerate(plain) if k in (0, len(plain) - 1) or r.random() < 0.3]
         y += [0.0] * (len(x) - len(y))
         head = f"see {run}{sep}"
@@ -290,9 +308,11 @@ def find_spans(text: str, network: Network) -> tuple[list[tuple[int, int, int, i
     more = other_candidates(text, base)
     if not base and not more:
         return [], []
-    read = [windows(text, a, b) for _, _, b, a in base] + [windows(text, a, b) for a, b in more]
-    first = np.cumsum([0, *map(len, read[:-1])])
-    score = np.maximum.reduceat(network.score(np.array([x for w in read for x in w])), first).tolist()
+    score = [0.0] * (len(base) + len(more))
+    of = ((k, w) for k, (a, b) in enumerate([*((a, b) for _, _, b, a in base), *more]) for w in windows(text, a, b))
+    while some := list(itertools.islice(of, AT_ONCE)):
+        for (k, _), s in zip(some, network.score(np.array([w for _, w in some])).tolist(), strict=True):
+            score[k] = max(score[k], s)
     every = [(a, k, b, s) for (a, k, b, _), s in zip(base, score, strict=False)]
     every += [(a, 3, b, s) for (a, b), s in zip(more, score[len(base) :], strict=True) if s >= network.threshold]
     return base, sorted(every)
