@@ -1,4 +1,4 @@
-"""Tables that streams keep: upserts by key, appends that survive a failed write, versions of a poll, silent scans."""
+"""Tables and states that streams keep: upserts by key, appends that survive a failed write, versions of a poll, silent scans, seen contents."""
 
 from __future__ import annotations
 
@@ -121,3 +121,48 @@ def silent_scans(beats: DataFrame, silence: int = 300, late: str = "0 seconds")
 
     marked = beats.withWatermark("ts", late).groupBy("scan_id")
     return marked.applyInPandasWithState(follow, "scan_id bigint, since timestamp_ntz", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# ---- contents that were seen ----------------------------------------------------------------------------------------
+class ContentCache:
+    """Lengths of contents by hash, at most ``most``: where a new one finds it full, the oldest tenth by insertion goes."""
+
+    def __init__(self, most: int, entries: dict[str, int] | None = None):
+        self.most, self.entries = most, dict(entries or {})
+
+    def is_fresh(self, content_hash: str, length: int, longer: float) -> bool:
+        """Whether a content is new, or so many times longer than what is known; it is remembered then, in its old place if it has one."""
+        known = self.entries.get(content_hash)
+        if known is not None and length <= longer * known:
+            return False
+        if known is None and len(self.entries) >= self.most:
+            for old in list(self.entries)[: max(1, self.most // 10)]:
+                del self.entries[old]
+        self.entries[content_hash] = length
+        return True
+
+
+def fresh_contents(texts: DataFrame, most: int = 10_000, shards: int = 1, longer: float = 2.0, idle: str = "30 days") -> DataFrame:
+    """``seq, content_hash, n_chars`` of a stream's contents that weren't seen before, by a cache of bounded size.
+
+    ``texts``: seq, ts, content_hash, n_chars; those of a micro-batch are taken in order of ``seq``.  Contents are dealt over
+    ``shards`` caches of ``most / shards`` each, so that many tasks keep them; one shard evicts in the order of the whole stream.
+    A shard without texts for ``idle`` of event time is forgotten.
+    """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def sift(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        cache = ContentCache(max(1, most // shards), dict(zip(*state.get, strict=True)) if state.exists else None)
+        kept = [cache.is_fresh(h, int(n), longer) for h, n in zip(rows["content_hash"], rows["n_chars"], strict=True)]
+        state.update((list(cache.entries), list(cache.entries.values())))
+        last = int(rows["ts"].max().value // 1_000_000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
+        yield rows.loc[kept, ["seq", "content_hash", "n_chars"]]
+
+    shard = F.pmod(F.xxhash64("content_hash"), F.lit(shards)).alias("shard")
+    dealt = texts.select("seq", "ts", "content_hash", "n_chars", shard).withWatermark("ts", "0 seconds").groupBy("shard")
+    return dealt.applyInPandasWithState(sift, "seq bigint, content_hash string, n_chars bigint", "hashes array<string>, lengths array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -119,3 +119,36 @@ def test_silent_scans_are_told_once(spark, tmp_path):
     query.awaitTermination(200)
     got = sorted((r["scan_id"], r["since"]) for r in spark.table("silent").collect())
     assert got == [(1, at(0)), (1, at(720)), (2, at(200))]
+
+
+def plainly_fresh(rows, most, longer):
+    """By the letter of the rule, on one list."""
+    order, lengths, out = [], {}, []
+    for seq, _, content, n in rows:
+        if content in lengths and n <= longer * lengths[content]:
+            continue
+        if content not in lengths:
+            if len(lengths) >= most:
+                for _ in range(max(1, most // 10)):
+                    del lengths[order.pop(0)]
+            order.append(content)
+        lengths[content] = n
+        out.append((seq, content, n))
+    return out
+
+
+def test_cache_of_contents_is_bounded(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    rows = [(k, T(2026, 1, 1) + datetime.timedelta(seconds=k), f"h{int(r.triangular(0, 90, 0))}", r.choice([50, 60, 120, 400])) for k in range(600)]
+    schema = "seq long, ts timestamp, content_hash string, n_chars long"
+    stream = landed(spark, tmp_path, "texts", [rows[:250], rows[250:251], rows[251:]], schema)
+    for name, most in (("small", 20), ("large", 1000)):
+        query = stores.fresh_contents(stream, most=most).writeStream.format("memory").queryName(f"fresh_{name}").outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination(200)
+        got = sorted((x["seq"], x["content_hash"], x["n_chars"]) for x in spark.table(f"fresh_{name}").collect())
+        assert got == plainly_fresh(rows, most, 2.0)
+    query = stores.fresh_contents(stream, most=1000, shards=4).writeStream.format("memory").queryName("fresh_dealt").outputMode("append").option("checkpointLocation", str(tmp_path / "dealt")).trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    assert sorted(x["seq"] for x in spark.table("fresh_dealt").collect()) == [s for s, *_ in plainly_fresh(rows, 1000, 2.0)]
