@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.save import written
+from ledgerloom.operators.written import written
 
 #: Rows of a block, days of a block, and the step from one band of lengths to the next.
 BLOCK = 512

@@ -1,49 +1,36 @@
 """Saving extracted deals: each is merged into the stored deal that it repeats, or hits a key, or becomes a deal.
 
-Deals of one company are saved in order of arrival, as each changes what the next one meets.  Companies are independent, so
-a round saves the next deal of every company at once: a hash join with the stored deals, then the keys.  There are about as
-many rounds as the company with most new deals has, and later rounds hold fewer and fewer rows.
+Deals of one company are saved in order of arrival, as each changes what the next one meets.  Companies that may meet by the
+beginning of their names on one day (tier 2) are one block with all that they lead to; blocks are independent.  One shuffle
+brings the deals of a block together, sorted, and one pass folds them (``fold``); only deals that are new or changed are
+written, and stored deals of companies without new ones aren't even shuffled.
+
+Rows without a name match nothing and are told apart by their keys alone.  Names without Latin letters or digits have one
+normal form, so that they share keys and are one company, as what is stored of them is at most one deal a round and bucket.
+No new deals: nothing changes.  ``seq`` and ids are unique.
 """
 
 from __future__ import annotations
 
 import datetime
-import functools
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import amounts, fixed, keys, names
-from ledgerloom.operators import merge
-from ledgerloom.operators.resolve import match_tiers
+from ledgerloom.functions import amounts, dates, fixed, keys, names
+from ledgerloom.operators import fold, merge
+from ledgerloom.operators.linked import linked_groups
+from ledgerloom.operators.written import written
 
 STORED = ["deal_id", "name", "norm", "round_type", "amount", "amount_usd", "amount_source", "announced_date", "date_confidence", "date_source_count", "created_date", "dedup_key", "amount_key"]
 
+#: Amounts within 5 % of one another are in neighbouring steps of this ratio; smaller ones than the least count as it.
+STEP, LEAST = 1.06, 1000
 
-@functools.cache
-def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-")
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder of ``spark.checkpoint.dir``, so that its lineage ends there; in a local run without it, in a temporary one."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = _own_folder(context.applicationId)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def company_key(norm: Column, name: Column) -> Column:
-    """The part of a name that matching names share: without the suffixes that one may have over another."""
-    base = F.regexp_replace(norm, "^(.{3,}?)(?:" + "|".join(fixed.MATCH_SUFFIXES) + ")+$", "$1")
-    return F.when(base == "", names.stripped(F.lower(name))).otherwise(base)
+def company_key(norm: Column) -> Column:
+    """The part of a name that matching names share: its normal form without the suffixes that one may have over another."""
+    return F.coalesce(F.regexp_replace(norm, "^(.{3,}?)(?:" + "|".join(fixed.MATCH_SUFFIXES) + ")+$", "$1"), F.lit(""))
 
 
 def prepared(incoming: DataFrame, as_of: datetime.date) -> DataFrame:
@@ -52,9 +39,9 @@ def prepared(incoming: DataFrame, as_of: datetime.date) -> DataFrame:
     day = F.coalesce(extracted, F.when(published <= F.lit(as_of), published))
     filed = F.coalesce((F.col("sec_amount_usd") != 0) & (F.col("amount_source") == "sec_form_d"), F.lit(False))
     out = incoming.select(
-        F.col("new_id").alias("deal_id"), "seq", "name", names.normal_form(F.col("name")).alias("norm"), "round_type", F.when(filed, amounts.exact(F.col("sec_amount_usd"))).otherwise(F.col("amount")).alias("amount"),
+        F.col("new_id").cast("long").alias("deal_id"), F.col("seq").cast("long").alias("seq"), "name", names.normal_form(F.col("name")).alias("norm"), "round_type", F.when(filed, amounts.exact(F.col("sec_amount_usd"))).otherwise(F.col("amount")).alias("amount"),
         F.when(filed, F.col("sec_amount_usd")).otherwise(amounts.parsed(F.col("amount"))).alias("amount_usd"), F.coalesce("amount_source", F.lit("article")).alias("amount_source"), day.alias("announced_date"),
-        merge.date_confidence(published, extracted, as_of).cast("double").alias("date_confidence"), F.lit(1).cast("long").alias("date_source_count"), F.lit(as_of).alias("created_date"),
+        merge.date_confidence(published, extracted, as_of).cast("double").alias("date_confidence"), F.lit(1).cast("long").alias("date_source_count"), F.lit(as_of).alias("created_date"), filed.alias("filed"),
     )
     return written(out, "save-parsed").withColumns({
         "dedup_key": keys.dedup_key(F.col("name"), F.col("round_type"), F.col("announced_date"), as_of), "amount_key": keys.amount_key(F.col("name"), F.col("amount_usd"), F.col("announced_date"), as_of),
@@ -62,44 +49,54 @@ def prepared(incoming: DataFrame, as_of: datetime.date) -> DataFrame:
     })
 
 
+def company_links(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Pairs of companies ``a, b`` of which a new deal of one may meet a deal of the other by the beginning of its name.
+
+    A deal may take its day from one report and its amount from another, so that any day and any amount of a company count.
+    Companies meet under a day, the length of the shorter name and the beginning that it asks for, then under a step of amounts.
+    """
+    size = F.length("company")
+    known = (F.col("amount_usd") > 0) & (size >= 3)
+    facts = lambda df: df.where(size >= 3).select("company", "announced_date", "amount_usd")
+    every = facts(stored).union(facts(new))
+    start = F.substring("company", F.lit(1), F.least(F.col("cut"), F.greatest(F.lit(4), F.floor(F.col("cut") * 0.6).cast("int"))))
+    as_shorter = lambda df: df.withColumn("cut", size).withColumn("start", start)
+    as_longer = lambda df, least: df.withColumn("cut", F.explode(F.sequence(F.lit(3), size))).where(F.col("cut") <= size - least).withColumn("start", start)
+    step = F.floor(F.log(F.greatest(F.col("amount_usd"), F.lit(LEAST)).cast("double")) / F.log(F.lit(STEP)))
+    theirs = every.select("company", "announced_date").where("announced_date IS NOT NULL").distinct()
+    mine = new.where(known & F.col("announced_date").isNotNull()).select("company", "announced_date", F.col("amount_usd").alias("n")).distinct()
+    pairs = lambda x, y: x.join(y.withColumnRenamed("company", "other"), ["announced_date", "cut", "start"]).where("company != other").select("company", "other", "n")
+    met = pairs(as_shorter(mine), as_longer(theirs, 0)).union(pairs(as_longer(mine, 1), as_shorter(theirs))).distinct()
+    near = met.withColumn("step", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.log(F.greatest(F.col("n"), F.lit(LEAST)).cast("double")) / F.log(F.lit(STEP))) + k)))
+    sums = every.where("amount_usd IS NOT NULL").select(F.col("company").alias("other"), F.col("amount_usd").alias("sum"), step.alias("step")).distinct()
+    return near.join(sums, ["other", "step"]).where(F.col("sum").between(F.floor(F.col("n") * 0.95), F.floor(F.col("n") * 1.05))).select(F.col("company").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def _rows(df: DataFrame, is_new: bool) -> DataFrame:
+    """Rows of the fold."""
+    only = lambda name, kind: F.col(name) if is_new else F.lit(None).cast(kind)
+    return df.select(
+        "block", F.lit(is_new).alias("is_new"), only("seq", "long").alias("seq"), F.col("deal_id").cast("long").alias("deal_id"), "name", names.stripped(F.lower("name")).alias("low"), "norm", "round_type", "amount", F.col("amount_usd").cast("long").alias("amount_usd"),
+        "amount_source", F.unix_date("announced_date").alias("day"), F.coalesce(dates.is_placeholder(F.col("announced_date")), F.lit(False)).alias("placeholder"), F.col("date_confidence").cast("double").alias("date_confidence"), F.col("date_source_count").cast("long").alias("date_source_count"),
+        F.unix_date("created_date").alias("created"), amounts.is_real(F.col("amount")).alias("real"), (F.col("filed") if is_new else F.lit(False)).alias("filed"), "dedup_key", "amount_key", only("adjacent", "array<string>").alias("adjacent"),
+    )
+
+
 def save(stored: DataFrame, incoming: DataFrame, as_of: datetime.date) -> tuple[DataFrame, DataFrame]:
-    """The stored deals afterwards, and the outcome of every new one: ``seq, outcome, deal_id``.
+    """The stored deals afterwards, and the outcome of every new one: ``seq, outcome, tier, deal_id``.
 
     Outcomes: ``merged`` (and the ``tier``), ``amount key``, ``adjacent key``, ``key``, ``inserted``.
     """
-    new = written(prepared(incoming, as_of).withColumn("company", company_key(F.col("norm"), F.col("name"))), "save-new")
-    deals, outcomes, left = stored.select(*STORED), [], new
-    while not left.isEmpty():
-        first = left.withColumn("turn", F.row_number().over(Window.partitionBy("company").orderBy("seq"))).where("turn = 1")
-        deals, told = _round(deals, first, as_of)
-        outcomes.append(told)
-        left = new.join(functools.reduce(DataFrame.unionByName, outcomes).select("seq"), "seq", "left_anti")
-    none = new.where("false").select("seq", F.lit("").alias("outcome"), F.lit(0).alias("tier"), "deal_id")
-    return deals, functools.reduce(DataFrame.unionByName, outcomes, none)
-
-
-def _round(deals: DataFrame, new: DataFrame, as_of: datetime.date) -> tuple[DataFrame, DataFrame]:
-    hits = match_tiers(new, deals, as_of).select(F.col("in_id").alias("deal_id"), "tier", F.col("deal_id").alias("hit"))
-    least = lambda key: deals.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("deal_id").alias(f"by_{key}"))
-    near = new.select("deal_id", F.explode("adjacent").alias("dedup_key")).join(least("dedup_key"), "dedup_key").groupBy("deal_id").agg(F.min("by_dedup_key").alias("by_adjacent"))
-    told = new.join(hits, "deal_id", "left").join(least("amount_key"), "amount_key", "left").join(near, "deal_id", "left").join(least("dedup_key"), "dedup_key", "left")
-    outcome = F.when(F.col("hit").isNotNull(), "merged").when(F.col("by_amount_key").isNotNull(), "amount key").when(F.col("by_adjacent").isNotNull(), "adjacent key").when(F.col("by_dedup_key").isNotNull(), "key").otherwise("inserted")
-    target = F.coalesce("hit", "by_amount_key", "by_adjacent", "by_dedup_key", "deal_id")
-    told = told.select(*STORED, "seq", outcome.alias("outcome"), F.col("tier").cast("int").alias("tier"), target.alias("target"))
-    # of several that would change one deal, the first; the others wait for the next round
-    nth = F.row_number().over(Window.partitionBy("target", "outcome").orderBy("seq"))
-    told = written(told.withColumn("nth", nth).where("nth = 1 OR outcome != 'merged'").drop("nth"), "save-outcomes")
-
-    n = told.where("outcome = 'merged'").select(F.col("target").alias("deal_id"), *[F.col(c).alias(f"n_{c}") for c in ("amount", "amount_source", "amount_usd", "announced_date", "date_confidence")])
-    both = deals.join(n, "deal_id", "left")
-    old, day = F.col("announced_date"), F.col("n_announced_date")
-    date = merge.merged_date(old, F.coalesce("date_confidence", F.lit(0.5)), day, F.col("n_date_confidence"))
-    amount = merge.merged_amount(F.col("amount"), F.col("amount_source"), F.col("n_amount"), F.col("n_amount_source"))
-    taken = ~F.coalesce(F.col("amount"), F.lit("")).eqNullSafe(F.coalesce(amount, F.lit("")))
-    counted = F.when(day.isNull(), F.col("date_source_count")).when(old.isNull(), 1).when((F.abs(F.datediff(day, old)) <= 1) | (date["date"] != old), F.coalesce("date_source_count", F.lit(1)) + 1).otherwise(F.col("date_source_count"))
-    changed = both.select(
-        "deal_id", "name", "norm", "round_type", amount.alias("amount"), F.when(taken, F.col("n_amount_usd")).otherwise(F.col("amount_usd")).alias("amount_usd"), F.when(taken, F.col("n_amount_source")).otherwise(F.col("amount_source")).alias("amount_source"),
-        date["date"].alias("announced_date"), F.when(day.isNull(), F.col("date_confidence")).otherwise(date["sure"]).alias("date_confidence"), counted.cast("long").alias("date_source_count"), "created_date", "dedup_key", "amount_key",
-    )
-    after = changed.unionByName(told.where("outcome = 'inserted'").select(*STORED))
-    return written(after, "save-deals"), told.select("seq", "outcome", "tier", F.col("target").alias("deal_id"))
+    new = written(prepared(incoming, as_of).withColumn("company", company_key(F.col("norm"))), "save-new")
+    old = stored.select(*STORED).withColumn("company", company_key(F.col("norm")))
+    groups = linked_groups(company_links(old, new)).select(F.col("key").alias("company"), "least")
+    blocked = lambda df: df.join(groups, "company", "left").withColumn("block", F.coalesce("least", "company"))
+    new = blocked(new)
+    old = blocked(old).join(new.select("block").distinct(), "block", "left_semi")
+    rows = _rows(old, False).unionByName(_rows(new, True)).repartition("block").sortWithinPartitions("block", "is_new", "seq", "deal_id")
+    today = (as_of - datetime.date(1970, 1, 1)).days
+    told = written(rows.mapInArrow(lambda batches: fold.folded(batches, today), fold.OUT_DDL), "save-told")
+    dated = {"announced_date": F.date_from_unix_date("day"), "created_date": F.date_from_unix_date("created")}
+    changed = told.where("kind = 'deal'").withColumns(dated).select(*STORED)
+    deals = stored.select(*STORED).join(changed.select("deal_id"), "deal_id", "left_anti").unionByName(changed)
+    return deals, told.where("kind = 'outcome'").select("seq", "outcome", "tier", "deal_id")

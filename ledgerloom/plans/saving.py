@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, keys, names
-from ledgerloom.operators.save import save, written
+from ledgerloom.operators.save import save
+from ledgerloom.operators.written import written
 from ledgerloom.plans.registry import query
-from ledgerloom.plans.views import Views
+from ledgerloom.plans.views import AS_OF, Views
 
 _D = datetime.date
 TODAY = _D(2026, 1, 31)
@@ -63,3 +64,28 @@ def res02_saved_deals(v: Views) -> DataFrame:
     """The first deal of each company after saving."""
     deals = saved(v)[0].withColumn("id", F.floor(F.col("deal_id") / 10)).groupBy("id").agg(F.min_by(F.struct("amount", "announced_date", F.round("date_confidence", 6).alias("date_confidence"), "date_source_count"), "deal_id").alias("d"))
     return deals.select("id", "d.*")
+
+
+def _reported(v: Views) -> tuple[DataFrame, DataFrame]:
+    """All orders as stored deals, and all their lines as reports of deals: the same company under other suffixes, another day, amount and source."""
+    suffix = lambda k: F.element_at(F.array(*map(F.lit, ["", " Labs", " AI", ", Inc.", " Health"])), (k % 5 + 1).cast("int"))
+    stem = F.substring(F.md5(F.col("company_id").cast("string")), 1, 12)
+    deals = v.deals.select("deal_id", F.concat(stem, suffix(F.col("company_id"))).alias("name"), "round_type", F.when(F.col("amount_usd").isNotNull(), amounts.exact(F.col("amount_usd"))).alias("amount"), "amount_usd", "announced_date", "created_date")
+    deals = written(deals, "stored").withColumns({
+        "norm": names.normal_form(F.col("name")), "amount_source": F.lit("article"), "date_confidence": F.lit(0.5), "date_source_count": F.lit(1).cast("long"),
+        "dedup_key": keys.dedup_key(F.col("name"), F.col("round_type"), F.col("announced_date"), AS_OF), "amount_key": keys.amount_key(F.col("name"), F.col("amount_usd"), F.col("announced_date"), AS_OF),
+    })
+    line, k = v.table("lineitem"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    whole = F.round(F.col("l_extendedprice") * 1000).cast("long")
+    filed = F.col("l_linenumber") % 4 == 0
+    new = line.join(v.deals.select(F.col("deal_id").alias("l_orderkey"), "company_id", "round_type"), "l_orderkey").select(
+        (k + 10_000_000_000).alias("new_id"), k.alias("seq"), F.concat(stem, suffix(F.col("l_partkey"))).alias("name"), "round_type", F.when(F.col("l_partkey") % 6 > 0, amounts.exact(whole)).alias("amount"),
+        F.when(filed, "sec_form_d").alias("amount_source"), F.when(filed, whole).alias("sec_amount_usd"), F.when(F.col("l_suppkey") % 4 > 0, F.col("l_shipdate").cast("date")).alias("round_date"), F.when(F.col("l_suppkey") % 3 > 0, F.col("l_commitdate").cast("date") if "l_commitdate" in line.columns else F.date_add(F.col("l_shipdate").cast("date"), 3)).alias("published_date"),
+    )
+    return deals, new
+
+
+@query(None)
+def res02_saved_reports(v: Views) -> DataFrame:
+    """What becomes of a report of every line, saved over the deals of all orders; tests hold it against a plain loop over all deals."""
+    return save(*_reported(v), AS_OF)[1]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerloom.operators.save import written
+from ledgerloom.operators.written import written
 
 Combine = Callable[[DataFrame, DataFrame], DataFrame]
 
