@@ -209,14 +209,13 @@ def sco09_filing_matches(v: Views) -> DataFrame:
     return rows.select("deal_id", score.alias("score")).where("score >= 3").withColumn("label", scoring.filing_label(F.col("score")))
 
 
-@query("""WITH f AS (SELECT *, CASE WHEN source IN ('src0', 'src1') THEN 0 ELSE 1 END AS feed FROM articles), u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY feed, article_id) AS n FROM f)
-SELECT article_id, url FROM u WHERE n = 1 AND (published_date IS NULL OR published_date >= DATE '2001-06-01')""")
+@query("""WITH f AS (SELECT *, CASE WHEN source IN ('src0', 'src1') THEN 0 ELSE 1 END AS feed FROM articles), u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY feed, article_id) AS n FROM f WHERE published_date IS NULL OR published_date >= DATE '2001-06-01')
+SELECT article_id, url FROM u WHERE n = 1""")
 def src07_merged_feeds(v: Views) -> DataFrame:
-    """Feeds in order of priority, the first article of each URL, none from before the cutoff."""
+    """Feeds in order of priority, none from before the cutoff, the first article that is left of each URL."""
     feed = F.when(F.col("source").isin("src0", "src1"), 0).otherwise(1)
-    keyed = v.articles.withColumn("rank", F.struct(feed, F.col("article_id")))
-    first = keyed.groupBy("url").agg(F.min_by(F.struct("article_id", "published_date"), "rank").alias("a"))
-    return first.where("a.published_date IS NULL OR a.published_date >= DATE '2001-06-01'").select("a.article_id", "url")
+    fresh = v.articles.where("published_date IS NULL OR published_date >= DATE '2001-06-01'").withColumn("rank", F.struct(feed, F.col("article_id")))
+    return fresh.groupBy("url").agg(F.min_by("article_id", "rank").alias("article_id")).select("article_id", "url")
 
 
 @query("SELECT source, count(*) AS articles, count(*) FILTER (WHERE contains(lower(text), 'raised') OR contains(lower(text), 'funding')) AS funding, count(DISTINCT url) AS urls FROM articles GROUP BY source")
