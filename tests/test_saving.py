@@ -144,3 +144,22 @@ def test_matching_keys_are_those_of_names_match(spark):
     pairs = [(a, b) for a in norms[:-1] for b in norms[:-1]]
     df = spark.createDataFrame(pairs, "a string, b string").withColumn("m", names.names_match(F.col("a"), F.col("b"), F.col("a"), F.col("b")))
     assert all((r["b"] in fold.matching_keys(r["a"])) == r["m"] for r in df.collect())
+
+
+def test_rows_for_clients(spark):
+    from ledgerloom.operators.rows import deal_rows
+
+    d = "deal_id long, company_id long, round_type string, amount string, announced_date date, enterprise_category string, is_enterprise_ai boolean, is_ai_deal boolean, founders_json string"
+    deals = spark.createDataFrame([
+        (1, 1, "seed", "", None, None, True, None, '[{"title":"CEO","linkedin_url":"https://www.linkedin.com/in/bob"},{"name":"C","linkedin_url":"unknown"}]'), (2, 9, "seed", "$4M", TODAY, None, False, True, "broken"), (3, 1, None, None, None, None, None, None, None),
+    ], d)
+    investors = spark.createDataFrame([(1, 2, "B", True, True), (1, 1, "A", True, True), (1, 0, "Z", False, False), (2, 0, "Y", True, False)], "deal_id long, position long, investor_name string, is_lead boolean, is_tracked_fund boolean")
+    companies = spark.createDataFrame([(1, "Nova", "www.nova.ai", "none")], "company_id long, name string, website string, linkedin_url string")
+    articles = spark.createDataFrame([(7, 1, "late", "x", "l"), (5, 1, "first", None, "The title")], "article_id long, deal_id long, url string, source string, title string")
+    got = {r["deal_id"]: r["row"] for r in deal_rows(deals, investors, companies, articles).collect()}
+    one = got[1]
+    assert (one["id"], one["startup_name"], one["investor_roles"], one["lead_investor"], one["amount_invested"], one["date"], one["is_ai_deal"]) == ("1", "Nova", ["non_lead", "lead", "lead"], "B", "Undisclosed", "", True)
+    assert (one["company_website"], one["company_linkedin"], one["source_url"], one["source_name"]) == ("www.nova.ai", None, "first", "The title")
+    assert [tuple(f) for f in one["founders"]] == [("Unknown", "CEO", "https://www.linkedin.com/in/bob"), ("C", None, None)]
+    assert (got[2]["startup_name"], got[2]["founders"], got[2]["lead_investor"], got[2]["date"]) == ("Unknown", None, None, "2026-01-31")
+    assert got[3]["investor_roles"] == ["stealth"]
