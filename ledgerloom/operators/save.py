@@ -3,7 +3,7 @@
 Deals of one company are saved in order of arrival, as each changes what the next one meets.  Companies that may meet by the
 beginning of their names on one day (tier 2) are one block with all that they lead to; blocks are independent.  One shuffle
 brings the deals of a block together, sorted, and one pass folds them (``fold``); only deals that are new or changed are
-written, and stored deals of companies without new ones aren't even shuffled.
+written, and stored deals of blocks without new ones don't come to the fold.
 
 Rows without a name match nothing and are told apart by their keys alone.  Names without Latin letters or digits have one
 normal form, so that they share keys and are one company, as what is stored of them is at most one deal a round and bucket.
