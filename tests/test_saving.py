@@ -163,3 +163,23 @@ def test_rows_for_clients(spark):
     assert [tuple(f) for f in one["founders"]] == [("Unknown", "CEO", "https://www.linkedin.com/in/bob"), ("C", None, None)]
     assert (got[2]["startup_name"], got[2]["founders"], got[2]["lead_investor"], got[2]["date"]) == ("Unknown", None, None, "2026-01-31")
     assert got[3]["investor_roles"] == ["stealth"]
+
+
+def test_merges_of_the_fold_are_those_of_the_columns(spark):
+    from ledgerloom.operators import merge
+
+    days = [None, datetime.date(2026, 1, 1), datetime.date(2026, 1, 2), datetime.date(2026, 1, 10), datetime.date(2025, 12, 20)]
+    pairs = [(k, a, x, b, y) for k, (a, x, b, y) in enumerate((a, x, b, y) for a in days for x in (None, 0.4, 0.6, 0.95) for b in days for y in (0.4, 0.5, 0.7))]
+    df = spark.createDataFrame(pairs, "k int, old date, old_sure double, new date, new_sure double")
+    want = {r["k"]: r["m"] for r in df.select("k", merge.merged_date(F.col("old"), F.coalesce("old_sure", F.lit(0.5)), F.col("new"), F.col("new_sure")).alias("m")).collect()}
+    epoch = datetime.date(1970, 1, 1)
+    number = lambda d: None if d is None else (d - epoch).days
+    first = lambda d: d is not None and d.day == 1 and d.month in (1, 4, 7, 10)
+    plain = {"norm": "nova", "low": "nova", "round_type": "seed", "created": 0, "amount": None, "amount_usd": None, "amount_source": "article", "real": False, "filed": False, "dedup_key": None, "amount_key": None, "date_source_count": 1}
+    for k, a, x, b, y in pairs:
+        block, old = fold.Block(number(TODAY)), plain | {"deal_id": k, "day": number(a), "placeholder": first(a), "date_confidence": x}
+        block.add(old)
+        block.merge(old, plain | {"deal_id": -1, "day": number(b), "placeholder": first(b), "date_confidence": y})
+        sure = 0.5 if old["date_confidence"] is None else old["date_confidence"]
+        assert (old["day"], round(sure, 9)) == (number(want[k]["date"]), round(want[k]["sure"], 9)), (a, x, b, y)
+        assert [d["day"] for place in block._places(old) for d in place.values()] == [old["day"]] * len(block._places(old))
