@@ -183,3 +183,32 @@ def test_merges_of_the_fold_are_those_of_the_columns(spark):
         sure = 0.5 if old["date_confidence"] is None else old["date_confidence"]
         assert (old["day"], round(sure, 9)) == (number(want[k]["date"]), round(want[k]["sure"], 9)), (a, x, b, y)
         assert [d["day"] for place in block._places(old) for d in place.values()] == [old["day"]] * len(block._places(old))
+
+
+def joined_rows(spark, since: int) -> int:
+    """Rows that joins gave in the queries that ran since there were so many."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = store.executionsList()
+    for k in range(since, ran.size()):
+        at = ran.apply(k).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "Join" in node.name():
+                metrics = node.metrics()
+                for m in (metrics.apply(j) for j in range(metrics.size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_tiers_of_one_name_do_not_meet_all_its_deals(spark):
+    """Deals over many years of one company: each meets those near it, not all."""
+    n = 3000
+    k = F.col("id")
+    deals = spark.range(n).select(k.alias("deal_id"), F.lit("Nova").alias("name"), F.lit("nova").alias("norm"), F.lit("seed").alias("round_type"), (k * 7919 % n * 100_000 + 1_000_000).alias("amount_usd"), F.date_sub(F.lit(TODAY), (k * 3).cast("int")).alias("announced_date"))
+    deals = deals.withColumn("created_date", F.col("announced_date"))
+    before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = {r["in_id"]: (r["tier"], r["deal_id"]) for r in match_tiers(deals.where("deal_id % 2 = 0"), deals.where("deal_id % 2 = 1"), TODAY).collect()}
+    assert got == {i: (1, i - 1 if i else 1) for i in range(0, n, 2)}
+    assert 0 < joined_rows(spark, before) < 20 * n
