@@ -49,6 +49,19 @@ def prepared(incoming: DataFrame, as_of: datetime.date) -> DataFrame:
     })
 
 
+def shared_starts(companies: DataFrame) -> DataFrame:
+    """``company, cut, start, whole``: the beginnings that a company shares with another, one of them no longer than ``cut`` (``whole``).
+
+    Found from names alone, so that companies whose beginning no other one has (most of them) bring none of their deals to the search.
+    """
+    size = F.length("company")
+    start = F.substring("company", F.lit(1), F.least(F.col("cut"), F.greatest(F.lit(4), F.floor(F.col("cut") * 0.6).cast("int"))))
+    sizes = F.broadcast(companies.select(size.alias("cut")).distinct())  # as many as names have lengths
+    starts = companies.withColumn("cut", F.explode(F.sequence(F.lit(3), size))).join(sizes, "cut").withColumn("start", start).withColumn("whole", F.col("cut") == size)
+    shared = starts.groupBy("cut", "start").agg(F.count("*").alias("n"), F.max("whole").alias("w")).where("n > 1 AND w").select("cut", "start")
+    return written(starts.join(shared, ["cut", "start"]).select("company", "cut", "start", "whole"), "save-starts")
+
+
 def company_links(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Pairs of companies ``a, b`` of which a new deal of one may meet a deal of the other by the beginning of its name.
 
@@ -58,15 +71,17 @@ def company_links(stored: DataFrame, new: DataFrame) -> DataFrame:
     size = F.length("company")
     known = (F.col("amount_usd") > 0) & (size >= 3)
     facts = lambda df: df.where(size >= 3).select("company", "announced_date", "amount_usd")
-    every = facts(stored).union(facts(new))
-    start = F.substring("company", F.lit(1), F.least(F.col("cut"), F.greatest(F.lit(4), F.floor(F.col("cut") * 0.6).cast("int"))))
-    as_shorter = lambda df: df.withColumn("cut", size).withColumn("start", start)
-    as_longer = lambda df, least: df.withColumn("cut", F.explode(F.sequence(F.lit(3), size))).where(F.col("cut") <= size - least).withColumn("start", start)
+    places = shared_starts(facts(stored).union(facts(new)).select("company").distinct())
+    if places.isEmpty():
+        return places.select(F.col("company").alias("a"), F.col("start").alias("b"))
+    some = places.select("company").distinct()
+    every = facts(stored).union(facts(new)).join(some, "company", "left_semi")
     step = F.floor(F.log(F.greatest(F.col("amount_usd"), F.lit(LEAST)).cast("double")) / F.log(F.lit(STEP)))
     theirs = every.select("company", "announced_date").where("announced_date IS NOT NULL").distinct()
-    mine = new.where(known & F.col("announced_date").isNotNull()).select("company", "announced_date", F.col("amount_usd").alias("n")).distinct()
+    mine = new.where(known & F.col("announced_date").isNotNull()).select("company", "announced_date", F.col("amount_usd").alias("n")).join(some, "company", "left_semi").distinct()
+    at = lambda df, whole: df.join(places.where(F.col("whole") == whole).drop("whole"), "company")
     pairs = lambda x, y: x.join(y.withColumnRenamed("company", "other"), ["announced_date", "cut", "start"]).where("company != other").select("company", "other", "n")
-    met = pairs(as_shorter(mine), as_longer(theirs, 0)).union(pairs(as_longer(mine, 1), as_shorter(theirs))).distinct()
+    met = pairs(at(mine, True), at(theirs, True).union(at(theirs, False))).union(pairs(at(mine, False), at(theirs, True))).distinct()
     near = met.withColumn("step", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.log(F.greatest(F.col("n"), F.lit(LEAST)).cast("double")) / F.log(F.lit(STEP))) + k)))
     sums = every.where("amount_usd IS NOT NULL").select(F.col("company").alias("other"), F.col("amount_usd").alias("sum"), step.alias("step")).distinct()
     return near.join(sums, ["other", "step"]).where(F.col("sum").between(F.floor(F.col("n") * 0.95), F.floor(F.col("n") * 1.05))).select(F.col("company").alias("a"), F.col("other").alias("b")).distinct()

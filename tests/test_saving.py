@@ -185,8 +185,8 @@ def test_merges_of_the_fold_are_those_of_the_columns(spark):
         assert [d["day"] for place in block._places(old) for d in place.values()] == [old["day"]] * len(block._places(old))
 
 
-def joined_rows(spark, since: int) -> int:
-    """Rows that joins gave in the queries that ran since there were so many."""
+def rows_of(spark, since: int, kind: str = "Join") -> int:
+    """Rows that nodes of a kind gave in the queries that ran after the first so many."""
     store, total = spark._jsparkSession.sharedState().statusStore(), 0
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     ran = store.executionsList()
@@ -194,7 +194,7 @@ def joined_rows(spark, since: int) -> int:
         at = ran.apply(k).executionId()
         values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
         for node in (nodes.apply(j) for j in range(nodes.size())):
-            if "Join" in node.name():
+            if kind in node.name():
                 metrics = node.metrics()
                 for m in (metrics.apply(j) for j in range(metrics.size())):
                     if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
@@ -211,4 +211,14 @@ def test_tiers_of_one_name_do_not_meet_all_its_deals(spark):
     before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
     got = {r["in_id"]: (r["tier"], r["deal_id"]) for r in match_tiers(deals.where("deal_id % 2 = 0"), deals.where("deal_id % 2 = 1"), TODAY).collect()}
     assert got == {i: (1, i - 1 if i else 1) for i in range(0, n, 2)}
-    assert 0 < joined_rows(spark, before) < 20 * n
+    assert 0 < rows_of(spark, before) < 20 * n
+
+
+def test_companies_with_beginnings_of_their_own_bring_no_deals_to_the_links(spark):
+    """Long names that share nothing: only their names are cut into beginnings, once, at lengths that names have."""
+    n = 2000
+    k = F.col("id")
+    rows = spark.range(n).select((k + 1).alias("deal_id"), F.md5((k % 200).cast("string")).alias("company"), F.date_sub(F.lit(TODAY), (k % 300).cast("int")).alias("announced_date"), (k * 1000 + 5_000_000).alias("amount_usd"))
+    before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    assert company_links(rows, rows).count() == 0
+    assert 0 < rows_of(spark, before, "Generate") <= 200 * 30
