@@ -33,20 +33,27 @@ def company_key(norm: Column) -> Column:
     return F.coalesce(F.regexp_replace(norm, "^(.{3,}?)(?:" + "|".join(fixed.MATCH_SUFFIXES) + ")+$", "$1"), F.lit(""))
 
 
-def prepared(incoming: DataFrame, as_of: datetime.date) -> DataFrame:
-    """New deals (``new_id, seq, name, round_type, amount, amount_source, sec_amount_usd, round_date, published_date``) as they would be stored."""
+def _parsed(incoming: DataFrame, as_of: datetime.date) -> DataFrame:
+    """New deals as they would be stored, without their keys."""
     extracted, published = F.col("round_date"), F.col("published_date")
     day = F.coalesce(extracted, F.when(published <= F.lit(as_of), published))
     filed = F.coalesce((F.col("sec_amount_usd") != 0) & (F.col("amount_source") == "sec_form_d"), F.lit(False))
-    out = incoming.select(
+    return incoming.select(
         F.col("new_id").cast("long").alias("deal_id"), F.col("seq").cast("long").alias("seq"), "name", names.normal_form(F.col("name")).alias("norm"), "round_type", F.when(filed, amounts.exact(F.col("sec_amount_usd"))).otherwise(F.col("amount")).alias("amount"),
         F.when(filed, F.col("sec_amount_usd")).otherwise(amounts.parsed(F.col("amount"))).alias("amount_usd"), F.coalesce("amount_source", F.lit("article")).alias("amount_source"), day.alias("announced_date"),
         merge.date_confidence(published, extracted, as_of).cast("double").alias("date_confidence"), F.lit(1).cast("long").alias("date_source_count"), F.lit(as_of).alias("created_date"), filed.alias("filed"),
     )
-    return written(out, "save-parsed").withColumns({
-        "dedup_key": keys.dedup_key(F.col("name"), F.col("round_type"), F.col("announced_date"), as_of), "amount_key": keys.amount_key(F.col("name"), F.col("amount_usd"), F.col("announced_date"), as_of),
-        "adjacent": keys.adjacent_keys(F.col("name"), F.col("round_type"), F.col("announced_date"), as_of),
-    })
+
+
+def _keyed(new: DataFrame, as_of: datetime.date) -> DataFrame:
+    """New deals with their keys; the fold has them made after its shuffle, as four hashes are longer than all else of a deal."""
+    norm, day = F.col("norm"), F.col("announced_date")
+    return new.withColumns({"dedup_key": keys.dedup_key_of(norm, F.col("round_type"), day, as_of), "amount_key": keys.amount_key_of(norm, F.col("amount_usd"), day, as_of), "adjacent": keys.adjacent_keys_of(norm, F.col("round_type"), day, as_of)})
+
+
+def prepared(incoming: DataFrame, as_of: datetime.date) -> DataFrame:
+    """New deals (``new_id, seq, name, round_type, amount, amount_source, sec_amount_usd, round_date, published_date``) as they would be stored."""
+    return _keyed(written(_parsed(incoming, as_of), "save-parsed"), as_of)
 
 
 def shared_starts(companies: DataFrame) -> DataFrame:
@@ -87,13 +94,14 @@ def company_links(stored: DataFrame, new: DataFrame) -> DataFrame:
     return near.join(sums, ["other", "step"]).where(F.col("sum").between(F.floor(F.col("n") * 0.95), F.floor(F.col("n") * 1.05))).select(F.col("company").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def _rows(df: DataFrame, is_new: bool) -> DataFrame:
-    """Rows of the fold."""
-    only = lambda name, kind: F.col(name) if is_new else F.lit(None).cast(kind)
+def _rows(df: DataFrame, is_new: bool | None) -> DataFrame:
+    """Rows of the fold; ``is_new`` is a column where it is None."""
+    only = lambda name, kind: F.lit(None).cast(kind) if is_new is False else F.col(name)
+    flag = F.col("is_new") if is_new is None else F.lit(is_new)
     return df.select(
-        "block", F.lit(is_new).alias("is_new"), only("seq", "long").alias("seq"), F.col("deal_id").cast("long").alias("deal_id"), "name", names.stripped(F.lower("name")).alias("low"), "norm", "round_type", "amount", F.col("amount_usd").cast("long").alias("amount_usd"),
+        "block", flag.alias("is_new"), only("seq", "long").alias("seq"), F.col("deal_id").cast("long").alias("deal_id"), "name", names.stripped(F.lower("name")).alias("low"), "norm", "round_type", "amount", F.col("amount_usd").cast("long").alias("amount_usd"),
         "amount_source", F.unix_date("announced_date").alias("day"), F.coalesce(dates.is_placeholder(F.col("announced_date")), F.lit(False)).alias("placeholder"), F.col("date_confidence").cast("double").alias("date_confidence"), F.col("date_source_count").cast("long").alias("date_source_count"),
-        F.unix_date("created_date").alias("created"), amounts.is_real(F.col("amount")).alias("real"), (F.col("filed") if is_new else F.lit(False)).alias("filed"), "dedup_key", "amount_key", only("adjacent", "array<string>").alias("adjacent"),
+        F.unix_date("created_date").alias("created"), amounts.is_real(F.col("amount")).alias("real"), F.coalesce(only("filed", "boolean"), F.lit(False)).alias("filed"), "dedup_key", "amount_key", only("adjacent", "array<string>").alias("adjacent"),
     )
 
 
@@ -102,13 +110,20 @@ def save(stored: DataFrame, incoming: DataFrame, as_of: datetime.date) -> tuple[
 
     Outcomes: ``merged`` (and the ``tier``), ``amount key``, ``adjacent key``, ``key``, ``inserted``.
     """
-    new = written(prepared(incoming, as_of).withColumn("company", company_key(F.col("norm"))), "save-new")
+    new = written(_parsed(incoming, as_of).withColumn("company", company_key(F.col("norm"))), "save-new")
     old = stored.select(*STORED).withColumn("company", company_key(F.col("norm")))
     groups = linked_groups(company_links(old, new)).select(F.col("key").alias("company"), "least")
     blocked = lambda df: df.join(groups, "company", "left").withColumn("block", F.coalesce("least", "company"))
     new = blocked(new)
     old = blocked(old).join(new.select("block").distinct(), "block", "left_semi")
-    rows = _rows(old, False).unionByName(_rows(new, True)).repartition("block").sortWithinPartitions("block", "is_new", "seq", "deal_id")
+    come = [*STORED, "block", "is_new", "seq", "filed"]
+    new = new.withColumns({"is_new": F.lit(True), "dedup_key": F.lit(None).cast("string"), "amount_key": F.lit(None).cast("string")}).select(come)
+    old = old.withColumns({"is_new": F.lit(False), "seq": F.lit(None).cast("long"), "filed": F.lit(False)}).select(come)
+    rows = old.unionByName(new).repartition("block").sortWithinPartitions("block", "is_new", "seq", "deal_id")
+    made = _keyed(rows.withColumnsRenamed({"dedup_key": "_dedup", "amount_key": "_amount"}), as_of)
+    mine = lambda key, held=None: F.when(F.col("is_new"), F.col(key)).otherwise(held).alias(key)
+    rows = made.withColumns({"dedup_key": mine("dedup_key", F.col("_dedup")), "amount_key": mine("amount_key", F.col("_amount")), "adjacent": mine("adjacent")})
+    rows = _rows(rows, None)
     today = (as_of - datetime.date(1970, 1, 1)).days
     told = written(rows.mapInArrow(lambda batches: fold.folded(batches, today), fold.OUT_DDL), "save-told")
     dated = {"announced_date": F.date_from_unix_date("day"), "created_date": F.date_from_unix_date("created")}

@@ -222,3 +222,12 @@ def test_companies_with_beginnings_of_their_own_bring_no_deals_to_the_links(spar
     before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
     assert company_links(rows, rows).count() == 0
     assert 0 < rows_of(spark, before, "Generate") <= 200 * 30
+
+
+def test_keys_of_new_deals_are_made_after_the_shuffle(spark, monkeypatch):
+    from ledgerloom.operators import save as module
+
+    tables = {}
+    monkeypatch.setattr(module, "written", lambda df, name, to=module.written: tables.setdefault(name, df.columns) and to(df, name))
+    assert save(stored_deals(spark, 20, 3), incoming(spark, 20, 4), TODAY)[1].count() == 20
+    assert "save-new" in tables and not {"dedup_key", "amount_key", "adjacent"} & set(tables["save-new"])
