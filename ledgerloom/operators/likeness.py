@@ -9,8 +9,9 @@ bounds every pair from counts alone, and those that pass from their longest comm
 while its bound reaches the best score known for its deal; that begins with a filing of the very name, if there is one.
 Days split the search:
 
-* near: deals and filings meet in blocks of ``DAYS`` days, a block with those of the three before and after it, as days
-  add to a score within 90 only;
+* near: filings of ``DAYS`` days and deals of ``SPAN`` times as many meet in blocks, as days add to a score within 90 only; a
+  name is one row with all its days, so that two names are compared once, however many deals and filings have them, and
+  first of all with filings of the very name, after which most deals have the best score there is;
 * far: what days don't add to can reach 1.1 at most, and 1.1 by equal names alone.  Deals that know a better score are
   done; the others meet names in bands of lengths that the bound on lengths allows for the score they have.
 
@@ -21,6 +22,7 @@ first, until no bound reaches what was found.  Rows that repeat names and days a
 from __future__ import annotations
 
 import difflib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +32,18 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.written import written
 
-#: Rows of a block, days of a block, and the step from one band of lengths to the next.
+#: Names of a block, days of a block of filings, how many times as many a block of deals has, and the step from one band of lengths to the next.
 BLOCK = 512
-DAYS = 30
+DAYS = 90
+SPAN = 4
 BAND = 1.1
 #: What days (at most so many) and the form add.
 NEAR = ((7, 0.3), (30, 0.2), (90, 0.1))
 FORM_D = 0.1
 _REACH = -(-max(days for days, _ in NEAR) // DAYS)
+_MOST = 1.0 + max(add for _, add in NEAR) + FORM_D
 _NO_DAY = -(1 << 31)
+_NO_ID = (1 << 63) - 1
 _BINS = 64
 _ROUNDING = 1e-9
 
@@ -119,6 +124,62 @@ def best_of(names: list[str], days: np.ndarray, known: np.ndarray, companies: li
                 yield found
 
 
+@functools.lru_cache(1 << 17)
+def _likeness(name: str, company: str) -> float:
+    return difflib.SequenceMatcher(None, name, company).ratio()
+
+
+def best_near(names: list[str], days: list, known: list, companies: list[str], filed: list, form: np.ndarray, ids: list) -> Iterator[tuple[str, int, int, float, float]]:
+    """``name, day, filing, likeness, score`` of the best filing within ``NEAR`` of each name and day that reaches the score known for it.
+
+    A name comes once with all its days, a company with all its filings, so that two names are compared once for all of them.
+    """
+    mine, theirs, every = counted(names), counted(companies), np.unique(np.concatenate(filed))
+    for first in range(0, len(names), 64):
+        part = slice(first, first + 64)
+        most = bounds((mine[0][part], mine[1][part]), theirs) + form
+        for row, name in enumerate(names[part]):
+            day, best = days[first + row], known[first + row].copy()
+            cap = nearness(day, every).max(1)  # what days can add here
+            reach, where = most[row], places(name)
+            found, alike = np.full(len(day), _NO_ID), np.zeros(len(day))
+            if not (open_days := cap > 0).any():
+                continue
+            rest = np.flatnonzero(reach >= (best - cap)[open_days].min() - _ROUNDING)
+            for k in rest[np.argsort(-reach[rest], kind="stable")].tolist():
+                need = (best - cap)[open_days].min() - _ROUNDING
+                if reach[k] < need:
+                    break
+                company = companies[k]
+                both = len(name) + len(company)
+                if both and 2 * common_in_order(where, len(name), company) / both + form[k] < need:
+                    continue
+                likeness = _likeness(name, company)
+                if likeness + form[k] < need:
+                    continue
+                near = nearness(day, filed[k])
+                level = near.max(1)
+                least = np.where(near == level[:, None], ids[k][None, :], _NO_ID).min(1)
+                score = (likeness + level) + form[k]
+                better = (level > 0) & ((score > best) | (score == best) & (least < found))
+                best, found, alike = np.where(better, score, best), np.where(better, least, found), np.where(better, likeness, alike)
+            for k in np.flatnonzero(found != _NO_ID).tolist():
+                yield name, int(day[k]), int(found[k]), float(alike[k]), float(best[k])
+
+
+def _compared_near(batches):
+    whole = lambda lists, kind=np.int64: [np.array(x, kind) for x in lists]
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            yield _table(list(best_near(row["names"], whole(row["days"]), whole(row["known"], np.float64), row["companies"], whole(row["filed"]), np.array(row["form"]), whole(row["ids"]))))
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["name", "day", "filing_id", "likeness", "score"])
+
+
 _FOUND = "name string, day int, filing_id bigint, likeness double, score double"
 
 
@@ -129,8 +190,7 @@ def _compared(batches):
             days = np.array(row["days"], np.int64)
             for k, filing, likeness, score in best_of(row["names"], days, np.array(row["known"]), row["companies"], np.array(row["filed"], np.int64), np.array(row["form"]), np.array(row["ids"], np.int64)):
                 out.append((row["names"][k], int(days[k]), filing, likeness, score))
-        columns = zip(*out, strict=True) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["name", "day", "filing_id", "likeness", "score"])
+        yield _table(out)
 
 
 def _blocks(rows: DataFrame, key: str, block: str, **lists: str) -> DataFrame:
@@ -141,10 +201,10 @@ def _blocks(rows: DataFrame, key: str, block: str, **lists: str) -> DataFrame:
     return spread.groupBy(key, "_part").agg(held.alias("_rows")).select(key, F.xxhash64(F.lit(block), key, "_part").alias(block), *[F.col(f"_rows.{name}").alias(name) for name in lists])
 
 
-def _met(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+def _met(a: DataFrame, b: DataFrame, pairs: DataFrame, compared=_compared) -> DataFrame:
     """The best of each name in pairs of blocks; pairs are spread over blocks of either side, whatever their key."""
     pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a_block", "b_block")  # few bytes, much work
-    return pairs.join(a, "a_block").join(b, "b_block").select("names", "days", "known", "companies", "filed", "form", "ids").mapInArrow(_compared, _FOUND)
+    return pairs.join(a, "a_block").join(b, "b_block").select("names", "days", "known", "companies", "filed", "form", "ids").mapInArrow(compared, _FOUND)
 
 
 def _band(length: Column) -> Column:
@@ -165,12 +225,22 @@ def best_filing(deals: DataFrame, filings: DataFrame) -> DataFrame:
     a = asked.select("name", "day").distinct().join(same, "name", "left").withColumn("known", F.coalesce(F.lit(1.0) + F.col("same"), F.lit(0.0)))
     equal = a.where("same IS NOT NULL").select("name", "day", F.col("id").alias("filing_id"), F.lit(1.0).alias("likeness"), F.col("known").alias("score"))
 
-    bucket = lambda c: F.floor(F.col(c) / DAYS).cast("int").alias("bucket")
-    near_a = _blocks(a.where(F.col("day") != _NO_DAY).withColumn("bucket", bucket("day")), "bucket", "a_block", names="name", days="day", known="known")
-    near_b = _blocks(b.where(F.col("filed") != _NO_DAY).withColumn("bucket", bucket("filed")), "bucket", "b_block", companies="company", filed="filed", form="form", ids="id")
-    around = F.explode(F.sequence(F.col("bucket") - _REACH, F.col("bucket") + _REACH)).alias("bucket")
+    # filings of one name, and then deals of one name, are one row with all their days, as many as a span of days has
+    b_days = b.where(F.col("filed") != _NO_DAY).withColumn("bucket", F.floor(F.col("filed") / DAYS).cast("int"))
+    held = b_days.groupBy("company", "form", "bucket").agg(F.collect_list(F.struct("filed", "id")).alias("f")).select("company", "form", "bucket", F.col("f.filed").alias("filed"), F.col("f.id").alias("ids"))
+    a_days = a.where(F.col("day") != _NO_DAY).withColumn("span", F.floor(F.col("day") / (DAYS * SPAN)).cast("int"))
+    spans = lambda rows: rows.groupBy("name", "span").agg(F.collect_list(F.struct("day", "known")).alias("d")).select("name", "span", F.col("d.day").alias("days"), F.col("d.known").alias("known"))
+    around = F.explode(F.sequence(F.col("span") * SPAN - _REACH, F.col("span") * SPAN + SPAN - 1 + _REACH)).alias("bucket")
+    one = lambda *columns: [F.array(c).alias(c if c != "name" and c != "company" else {"name": "names", "company": "companies"}[c]) for c in columns]
+    own = spans(a_days.where("same IS NOT NULL")).select("name", "days", "known", around).join(held.withColumn("name", F.col("company")), ["name", "bucket"])
+    own = own.select(*one("name", "days", "known", "company", "filed", "form", "ids")).mapInArrow(_compared_near, _FOUND)
+    own = written(own.groupBy("name", "day").agg(F.max_by(F.struct("filing_id", "likeness", "score"), F.struct("score", -F.col("filing_id"))).alias("b")).select("name", "day", "b.*"), "likeness-own")
+    a_days = a_days.join(own.select("name", "day", F.col("score").alias("_own")), ["name", "day"], "left").withColumn("known", F.greatest("known", F.coalesce("_own", F.lit(0.0))))
+    near_a = _blocks(spans(a_days.where(F.col("known") < _MOST - _ROUNDING)), "span", "a_block", names="name", days="days", known="known")
+    near_b = _blocks(held, "bucket", "b_block", companies="company", filed="filed", form="form", ids="ids")
     pairs = near_a.select("a_block", around).join(near_b.select("b_block", "bucket"), "bucket").drop("bucket")
-    near = written(_met(near_a.drop("bucket"), near_b.drop("bucket"), pairs), "likeness-near")  # read several times below
+    other = _met(near_a.drop("span"), near_b.drop("bucket"), pairs, _compared_near)
+    near = written(own.unionByName(other), "likeness-near")  # read several times below
 
     known = a.select("name", "day", "known").unionByName(near.select("name", "day", F.col("score").alias("known"))).groupBy("name", "day").agg(F.max("known").alias("known"))
     far = known.where(F.col("known") < 1.0 + FORM_D - _ROUNDING).groupBy("name").agg(F.min("known").alias("known"))

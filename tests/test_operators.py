@@ -304,3 +304,17 @@ def test_deep_and_open_pages():
     assert [e.text() for e in page.find("td")] == ["1", "2", "3"] and len(page.find("tr")) == 2
     assert all(e.parent.tag == "" for e in page.find("p")) and page.find("div")[0].parent.tag == ""
     assert [e.text() for e in markup.tree("<table><tr><td><p>a<table><tr><td>b</table>c</table>").find("td")] == ["abc", "b"]
+
+
+def test_deals_of_one_name_meet_filings_as_one(spark, monkeypatch):
+    """Names are compared once for all their days: pairs of blocks grow with names, not with deals and filings."""
+    from tests.test_saving import rows_of
+
+    monkeypatch.setattr(likeness, "BLOCK", 4)
+    name = lambda k: f"{'abcdefghij'[k % 10] * 3} company {k % 10}"
+    deals = [(k, name(k), D(2024, 1, 1) + datetime.timedelta(k // 10)) for k in range(3000)]
+    filings = [(k, name(k), D(2024, 1, 1) + datetime.timedelta(k // 10 * 3), "D/A") for k in range(1000)]
+    before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = likeness.best_filing(spark.createDataFrame(deals, DEALS), spark.createDataFrame(filings, FILINGS)).collect()
+    assert len(got) == 3000 and all(r["filing_id"] % 10 == r["deal_id"] % 10 and r["score"] == 1.3 for r in got)
+    assert 0 < rows_of(spark, before) < 50_000
