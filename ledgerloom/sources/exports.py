@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,18 +88,26 @@ class _Text(HTMLParser):
             self.parts.append(data.strip())
 
 
-def plain_text(html: Column) -> Column:
-    """The text of an HTML page, one line for each run of it."""
-
-    @F.pandas_udf("string")
-    def parse(pages: pd.Series) -> pd.Series:
-        out = []
-        for page in pages:
+def page_texts(pages: pa.Array, step: int = 64) -> pa.Array:
+    """Texts of pages, a few at a time as Python strings, so that a worker never holds a batch in three forms."""
+    out = [pa.array([], pa.string())]
+    for first in range(0, len(pages), step):
+        texts = []
+        for page in pages.slice(first, step).to_pylist():
             p = _Text()
             p.feed(page or "")
             p.close()
-            out.append("\n".join(p.parts))
-        return pd.Series(out, dtype=object)
+            texts.append("\n".join(p.parts))
+        out.append(pa.array(texts, pa.string()))
+    return pa.concat_arrays(out)
+
+
+def plain_text(html: Column) -> Column:
+    """The text of an HTML page, one line for each run of it."""
+
+    @F.arrow_udf("string")
+    def parse(pages: pa.Array) -> pa.Array:
+        return page_texts(pages)
 
     return parse(html)
 

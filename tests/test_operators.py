@@ -318,3 +318,19 @@ def test_deals_of_one_name_meet_filings_as_one(spark, monkeypatch):
     got = likeness.best_filing(spark.createDataFrame(deals, DEALS), spark.createDataFrame(filings, FILINGS)).collect()
     assert len(got) == 3000 and all(r["filing_id"] % 10 == r["deal_id"] % 10 and r["score"] == 1.3 for r in got)
     assert 0 < rows_of(spark, before) < 50_000
+
+
+def test_page_texts_are_made_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ledgerloom.sources import exports
+
+    pages = pa.array([f"<p>{k}</p>" + "<b>word</b>" * 2000 for k in range(400)] + [None])
+    tracemalloc.start()
+    texts = exports.page_texts(pages, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(texts) == 401 and texts[7].as_py() == "\n".join(["7"] + ["word"] * 2000) and texts[400].as_py() == ""
+    assert peak < 2_000_000  # all texts are 4 MB, all pages 9 MB
