@@ -86,9 +86,9 @@ def extracted(amount: Column) -> Column:
     return value.cast("long")
 
 
-def review_reason(usd: Column, round_type: Column, text: Column) -> Column:
+def review_reason(usd: Column, round_type: Column, text: Column, low: Column | None = None) -> Column:
     """Why an amount over its round's limit has to be looked at: like a market's size in the text, or just large; null under the limit."""
-    millions, low = usd / 1_000_000, F.lower(text)
+    millions, low = usd / 1_000_000, F.lower(text) if low is None else low
     sizes = F.flatten(F.array(*[F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)), lambda x: x.try_cast("double")) for p in fixed.MARKET_SIZES]))
     like = F.filter(sizes, lambda b: F.abs(millions - b) < 1)
     return F.when(over_round_limit(usd, round_type), F.when(F.size(like) > 0, "market size").otherwise("over threshold"))

@@ -1,4 +1,7 @@
-"""Classifiers of extracted deals; each gives the reason of its first rule that holds, or null."""
+"""Classifiers of extracted deals; each gives the reason of its first rule that holds, or null.
+
+``low`` is a column that has the text's lower case already, where there is one.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +12,9 @@ from ledgerloom.functions import fixed
 from ledgerloom.functions.text import count_distinct_words, count_matches, has_any, lowered
 
 
-def crypto(name: Column, description: Column, text: Column, fund: Column, leads: Column) -> Column:
+def crypto(name: Column, description: Column, text: Column, fund: Column, leads: Column, low: Column | None = None) -> Column:
     """Why a deal is about crypto; ``leads`` is an array of names."""
-    n, d, t = lowered(name), lowered(description), lowered(text)
+    n, d, t = lowered(name), lowered(description), lowered(text, low)
     ai = has_any(t, fixed.AI_IN_CRYPTO_TEXT)
     hits = count_matches(t, fixed.CRYPTO_WORDS)
     return (
@@ -26,8 +29,8 @@ def crypto(name: Column, description: Column, text: Column, fund: Column, leads:
     )
 
 
-def consumer_fintech(name: Column, description: Column, text: Column) -> Column:
-    n, d, t = lowered(name), lowered(description), lowered(text)
+def consumer_fintech(name: Column, description: Column, text: Column, low: Column | None = None) -> Column:
+    n, d, t = lowered(name), lowered(description), lowered(text, low)
     words = count_distinct_words(t, fixed.FINTECH_WORDS)
     plain = ~has_any(t, fixed.AI_IN_FINTECH_TEXT)
     return (
@@ -38,8 +41,8 @@ def consumer_fintech(name: Column, description: Column, text: Column) -> Column:
     )
 
 
-def consumer_ai(name: Column, description: Column, text: Column, category: Column) -> Column:
-    n, d, t = lowered(name), lowered(description), lowered(text)
+def consumer_ai(name: Column, description: Column, text: Column, category: Column, low: Column | None = None) -> Column:
+    n, d, t = lowered(name), lowered(description), lowered(text, low)
     business = has_any(d, fixed.ENTERPRISE_DESCRIPTIONS)
     return (
         F.when(category.isin(fixed.CONSUMER_CATEGORIES), "category")
@@ -49,25 +52,25 @@ def consumer_ai(name: Column, description: Column, text: Column, category: Colum
     )
 
 
-def grounded_category(category: Column, text: Column, description: Column) -> Column:
+def grounded_category(category: Column, text: Column, description: Column, low: Column | None = None) -> Column:
     """A category outside AI, or ``other`` if neither text nor description has a word of it."""
-    both = F.concat_ws("\n", lowered(text), lowered(description))
+    both = F.concat_ws("\n", lowered(text, low), lowered(description))
     out = F
     for c, words in fixed.CATEGORY_WORDS.items():
         out = out.when((category == c) & ~has_any(both, words), "other")
     return out.otherwise(category)
 
 
-def background_mention(name: Column, text: Column, external: Column) -> Column:
+def background_mention(name: Column, text: Column, external: Column, low: Column | None = None) -> Column:
     """Whether a company occurs only after an article's headline area."""
-    low, t = F.trim(F.lower(name)), F.coalesce(text, F.lit(""))
+    company, t = F.trim(F.lower(name)), F.coalesce(text, F.lit(""))
     n = F.length(t)
     line = F.instr(t, "\n") - 1
     area = F.when(n < 1000, F.greatest(F.lit(200), F.floor(n * 0.4).cast("int"))).when(line < 0, 500).otherwise(F.greatest(line, F.lit(500)))
-    head = F.substring(F.lower(t), F.lit(1), area)
-    first = F.element_at(F.split(low, r"\s+"), 1)
-    missing = ~head.contains(low) & (F.length(first) >= 4) & ~head.contains(first)
-    return F.coalesce(~external & (n >= 500) & (low != "") & missing, F.lit(False))
+    head = F.substring(lowered(text, low), F.lit(1), area)
+    first = F.element_at(F.split(company, r"\s+"), 1)
+    missing = ~head.contains(company) & (F.length(first) >= 4) & ~head.contains(first)
+    return F.coalesce(~external & (n >= 500) & (company != "") & missing, F.lit(False))
 
 
 def source_skip(source: Column, url: Column, title: Column) -> Column:
@@ -96,18 +99,18 @@ def crypto_site(url: Column) -> Column:
     return has_any(lowered(url), fixed.CRYPTO_SITES)
 
 
-def fund_structure(name: Column, text: Column, usd: Column) -> Column:
+def fund_structure(name: Column, text: Column, usd: Column, low: Column | None = None) -> Column:
     """Why a startup's name is really that of a fund or its vehicle."""
     from ledgerloom.functions.funds import matched_fund
 
-    low = F.lower(name)
+    n = F.lower(name)
     return (
-        F.when(low.rlike(fixed.FUND_NAME_END), "fund name")
-        .when(low.rlike(fixed.SPECIAL_VEHICLE), "special vehicle")
-        .when(low.rlike(r",\s*(lp|llc|llp)$"), "legal form")
-        .when(name.rlike(r"^[A-Z]{2,4}-\d{3,}") & low.contains("fund"), "fund code")
+        F.when(n.rlike(fixed.FUND_NAME_END), "fund name")
+        .when(n.rlike(fixed.SPECIAL_VEHICLE), "special vehicle")
+        .when(n.rlike(r",\s*(lp|llc|llp)$"), "legal form")
+        .when(name.rlike(r"^[A-Z]{2,4}-\d{3,}") & n.contains("fund"), "fund code")
         .when(matched_fund(name).isNotNull(), "tracked fund")
-        .when(has_any(lowered(text), fixed.FUND_RAISES) & (usd >= 1_000_000_000), "fund raise")
+        .when((usd >= 1_000_000_000) & has_any(lowered(text, low), fixed.FUND_RAISES), "fund raise")
     )
 
 

@@ -72,9 +72,9 @@ def of_snippet(text: Column, as_of: datetime.date) -> Column:
     return F.coalesce(*[F.when(d.between(F.date_sub(F.lit(as_of), 365), F.lit(as_of)), d) for d in found])
 
 
-def corrected(date: Column, text: Column, published: Column, as_of: datetime.date) -> Column:
+def corrected(date: Column, text: Column, published: Column, as_of: datetime.date, low: Column | None = None) -> Column:
     """A date within a week of today gives way to the first relative date of the text, as of its publication, that is over 30 days away."""
-    day, low = F.coalesce(published, F.lit(as_of)), F.lower(text)
+    day, low = F.coalesce(published, F.lit(as_of)), F.lower(text) if low is None else low
     year = F.year(day)
     kinds = [
         *(article_relative(F.regexp_extract(low, rf"\d+\s*{unit}s?\s*ago", 0), day) for unit in ("month", "year", "week")), F.when(low.rlike(r"last\s+year"), F.add_months(day, -12)),

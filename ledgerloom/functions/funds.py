@@ -9,21 +9,28 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed
 from ledgerloom.functions.names import stripped
+from ledgerloom.functions.text import has_any
 
 
 def _either(words: list[str]) -> str:
     return r"(?U)\b(?:" + "|".join(re.escape(w) for w in words) + r")\b"
 
 
-def matched_fund(investor: Column, context: Column | None = None) -> Column:
+def speaks_of_investment(low: Column) -> Column:
+    """Whether a lower-case text has a word of investment."""
+    return has_any(low, fixed.INVESTMENT_WORDS)
+
+
+def matched_fund(investor: Column, context: Column | None = None, invests: Column | None = None) -> Column:
     """The tracked fund whose name stands first in an investor's name, unless it only looks like that fund; ties by registry order.
 
-    Where the name or the context speaks of investment, a fund's partners stand for it too, after the funds themselves.
+    Where the name or the context speaks of investment, a fund's partners stand for it too, after the funds themselves; ``invests`` says
+    whether the context does, so that it is read once for all its names.
     """
     low = stripped(F.lower(investor))
-    invests = low.rlike("|".join(re.escape(w) for w in fixed.INVESTMENT_WORDS))
     if context is not None:
-        invests = invests | F.coalesce(F.lower(context), F.lit("")).rlike("|".join(re.escape(w) for w in fixed.INVESTMENT_WORDS))
+        invests = speaks_of_investment(F.coalesce(F.lower(context), F.lit("")))
+    invests = speaks_of_investment(low) if invests is None else speaks_of_investment(low) | invests
     rank = {slug: k for k, slug in enumerate(fixed.FUND_NAMES)}
 
     def found(slug: str, names: list[str], later: int, asked: Column) -> Column:
@@ -44,7 +51,7 @@ def named_in(investor: Column, text: Column) -> Column:
 
     def stands(name: Column) -> Column:
         quoted = F.concat(F.lit(r"(?<![./])"), F.when(F.length(name) < 8, F.lit(r"\b")).otherwise(""), F.lit(r"\Q"), name, F.lit(r"\E"), F.when(F.length(name) < 8, F.lit(r"\b")).otherwise(""), F.lit(r"(?!\.[a-z])"))
-        return F.regexp_like(text, quoted)
+        return text.contains(name) & F.regexp_like(text, quoted)  # most texts haven't even the letters
 
     parts = F.filter(F.split(low, r"\s+"), lambda p: F.length(p) >= 4)
     several = F.size(F.split(low, r"\s+")) > 1
@@ -55,5 +62,10 @@ def named_in(investor: Column, text: Column) -> Column:
     return F.coalesce(stands(low) | (several & F.exists(parts, stands)) | alias, F.lit(False))
 
 
-def lead_language(text: Column) -> Column:
-    return F.coalesce(F.lower(text).rlike(fixed.LEAD_LANGUAGE), F.lit(False))
+# all its alternatives begin with a word's start, which is asked once, and only before their first letters
+_LEADS = [p.removeprefix(r"\b") for p in fixed.LEAD_LANGUAGE.split("|")]
+_LEAD_LANGUAGE = f"(?=[{''.join(sorted({p[0] for p in _LEADS}))}])\\b(?:{'|'.join(_LEADS)})"
+
+
+def lead_language(text: Column, low: Column | None = None) -> Column:
+    return F.coalesce((F.lower(text) if low is None else low).rlike(_LEAD_LANGUAGE), F.lit(False))

@@ -106,23 +106,28 @@ def _description():
     return F.concat(F.lit("startup for "), F.col("source"))
 
 
+def _lowered(v: Views) -> DataFrame:
+    """Articles with their text in lower case, once for all that read it."""
+    return v.articles.withColumn("low", F.lower("text"))
+
+
 @query(f"""SELECT article_id, CASE WHEN {words_sql(_NAME, fixed.KNOWN_CRYPTO)} THEN 'known' WHEN {words_sql(_NAME, fixed.CRYPTO_NAMES)} THEN 'name' WHEN regexp_matches({_NAME}, '\\bprotocol\\b|\\btoken\\b|\\bcoin\\b') THEN 'name word'
 WHEN {words_sql(_DESC, fixed.CRYPTO_WORDS)} AND NOT {words_sql(_DESC, fixed.AI_IN_DESCRIPTION)} THEN 'description' WHEN len(regexp_extract_all({_X}, '{_pattern(fixed.CRYPTO_WORDS)}')) >= CASE WHEN {_AI} THEN 6 ELSE 4 END THEN 'density'
 WHEN {words_sql(_X, fixed.CRYPTO_LABELS)} AND NOT {_AI} THEN 'label' END AS reason FROM articles""")
 def cls01_crypto(v: Views) -> DataFrame:
-    return v.articles.select("article_id", classify.crypto(_name(v), _description(), F.col("text"), F.lit(None).cast("string"), F.array(F.lit("Foo Capital"))).alias("reason"))
+    return _lowered(v).select("article_id", classify.crypto(_name(v), _description(), F.col("text"), F.lit(None).cast("string"), F.array(F.lit("Foo Capital")), F.col("low")).alias("reason"))
 
 
 @query(f"""SELECT article_id, CASE WHEN {words_sql(_NAME, fixed.KNOWN_FINTECH)} THEN 'known' WHEN {words_sql(_NAME, fixed.FINTECH_NAMES)} AND {count_sql(_X, fixed.FINTECH_WORDS)} >= 2 AND NOT {words_sql(_X, fixed.AI_IN_FINTECH_TEXT)} THEN 'name'
 WHEN {count_sql(_X, fixed.FINTECH_WORDS)} >= 3 AND NOT {words_sql(_X, fixed.AI_IN_FINTECH_TEXT)} THEN 'density' WHEN {words_sql(_DESC, fixed.FINTECH_DESCRIPTIONS)} THEN 'description' END AS reason FROM articles""")
 def cls02_consumer_fintech(v: Views) -> DataFrame:
-    return v.articles.select("article_id", classify.consumer_fintech(_name(v), _description(), F.col("text")).alias("reason"))
+    return _lowered(v).select("article_id", classify.consumer_fintech(_name(v), _description(), F.col("text"), F.col("low")).alias("reason"))
 
 
 @query(f"""SELECT article_id, CASE WHEN {words_sql(_NAME, fixed.CONSUMER_NAMES)} AND NOT {words_sql(_DESC, fixed.ENTERPRISE_DESCRIPTIONS)} THEN 'name' WHEN {count_sql(_X, fixed.CONSUMER_WORDS)} >= 3 THEN 'density'
 WHEN {words_sql(_DESC, fixed.CONSUMER_DESCRIPTIONS)} AND NOT {words_sql(_DESC, fixed.ENTERPRISE_DESCRIPTIONS)} THEN 'description' END AS reason FROM articles""")
 def cls03_consumer_ai(v: Views) -> DataFrame:
-    return v.articles.select("article_id", classify.consumer_ai(_name(v), _description(), F.col("text"), F.lit("vertical_saas")).alias("reason"))
+    return _lowered(v).select("article_id", classify.consumer_ai(_name(v), _description(), F.col("text"), F.lit("vertical_saas"), F.col("low")).alias("reason"))
 
 
 _CATEGORY = "CASE article_id % 6 WHEN 0 THEN 'crypto' WHEN 1 THEN 'fintech' WHEN 2 THEN 'healthcare' WHEN 3 THEN 'hardware' WHEN 4 THEN 'saas' ELSE 'other' END"
@@ -130,7 +135,7 @@ _CATEGORY = "CASE article_id % 6 WHEN 0 THEN 'crypto' WHEN 1 THEN 'fintech' WHEN
 
 @query(f"""SELECT article_id, CASE {' '.join(f"WHEN {_CATEGORY} = '{c}' AND NOT ({words_sql(_X, w)} OR {words_sql(_DESC, w)}) THEN 'other'" for c, w in fixed.CATEGORY_WORDS.items())} ELSE {_CATEGORY} END AS category FROM articles""")
 def cls04_grounded_category(v: Views) -> DataFrame:
-    return v.articles.select("article_id", classify.grounded_category(F.expr(_CATEGORY), F.col("text"), _description()).alias("category"))
+    return _lowered(v).select("article_id", classify.grounded_category(F.expr(_CATEGORY), F.col("text"), _description(), F.col("low")).alias("category"))
 
 
 _TITLE_SQL = " OR ".join("regexp_matches(lower(title), '" + p.replace("'", "''") + "')" for p in fixed.TITLE_PATTERNS)

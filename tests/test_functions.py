@@ -1,11 +1,13 @@
 """Scalar functions on literal cases."""
 
 import datetime
+import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import amounts, classify, dates, funds, keys, names, scoring, text, urls
+from ledgerloom.functions import amounts, classify, dates, fixed, funds, keys, names, scoring, text, urls
 
 AS_OF = datetime.date(2026, 1, 31)
 
@@ -101,6 +103,19 @@ def test_crypto(spark, name, description, body, reason):
     assert df.select(classify.crypto(F.col("n"), F.col("d"), F.col("t"), F.lit(None).cast("string"), F.array(F.lit("Foo")))).collect()[0][0] == reason
 
 
+@pytest.mark.parametrize("words", [["token", "tokenomics", "tok"], ["tokenomics", "token", "a.b", "a$"], ["led", "leads", "co-led", "[x]"], ["m", "mn", "million", "é"], ["gas fee"]])
+def test_keyword_patterns_find_what_the_plain_list_finds(spark, words):
+    plain = re.compile("|".join(map(re.escape, words)))
+    texts = ["".join(t) for t in itertools.product(["token", "omics", "co-led", "a.b", "axb", "mn", "é", "gas fee", " "], repeat=3)]
+    found = lambda x: F.struct(text.has_any(x, words), text.count_matches(x, words))
+    assert [tuple(r) for r in each(spark, texts, found)] == [(bool(n), n) for n in (len(plain.findall(t)) for t in texts)]
+
+
+def test_lead_language(spark):
+    words = ["led by", "led the", "lead ", "leads ", "leading", "co-led", "co-lead", "co-leads", "headed by", "lead investor", "spearheaded", "fled by", "pled the", "misleading", "ledby", "leader", "a headed  by"]
+    check(spark, [(w, bool(re.search(fixed.LEAD_LANGUAGE, w))) for w in words], funds.lead_language)
+
+
 def test_background_mentions(spark):
     body = "x" * 900
     cases = [("Acme " + body, False, False), (body + " Acme", False, True), ("short", False, False), (body + " Acme", True, False), ("", False, False)]

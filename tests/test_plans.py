@@ -2,6 +2,7 @@
 
 import math
 import pathlib
+import re
 
 import duckdb
 import pytest
@@ -55,3 +56,13 @@ def test_date_votes_of_every_deal(spark, duck):
     deals = duck.execute(with_views("SELECT DISTINCT deal_id FROM articles WHERE published_date IS NOT NULL")).fetchall()
     assert {r["deal_id"] for r in plans.QUERIES["enr01_date_votes"](spark, FOLDER).collect()} == {d for d, in deals}
     assert max(d for d, in deals) >= 300
+
+
+@pytest.mark.parametrize("name", ["val03_judged_articles", "cls01_crypto", "cls02_consumer_fintech", "cls03_consumer_ai", "cls04_grounded_category"])
+def test_articles_are_lowered_once(spark, name):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        plan = plans.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert len(re.findall(r"lower\((?:coalesce\()?(?:text#|concat\(CASE)", plan)) == 1
