@@ -439,6 +439,31 @@ def test_suffix_dedup_of_frequent_passages(spark, monkeypatch):
     assert [got[d] for d, _ in rows] == brute_removed(rows, 150)
 
 
+def test_suffix_dedup_deals_a_frequent_passage_once_from_a_task(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP_REGIONS", 8)
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tests.llm.conftest import sentence
+
+    dealt, repartition = [], DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *a: (dealt.append(self) if a == ("key", "salt") else None, repartition(self, *a))[1])
+    r = random.Random(31)
+    shared = sentence(r, 40)[:170]
+    rows = [(k, f"{sentence(r, 40)} {shared} {sentence(r, 40)}") for k in range(120)]
+    rows += [rows[7], rows[7]]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), 150)
+    assert {x["doc_id"]: tuple(x)[1:5] for x in got.collect()} == {k: x for (k, _), x in zip(rows, brute_removed(rows, 150), strict=True)}
+    groups = dealt[0].where("salt >= 0").groupBy("key", "salt").count().collect()
+    frequent = {x["key"] for x in groups if x["salt"] > 4}
+    assert frequent and max(x["count"] for x in groups if x["key"] in frequent) <= dealt[0].rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("held", [1, 500])
+def test_suffix_dedup_of_frequent_passages_held_in_parts(spark, monkeypatch, held):
+    monkeypatch.setattr(suffix, "HELD_STRINGS", held)
+    test_suffix_dedup_of_frequent_passages(spark, monkeypatch)
+
+
 def test_suffix_levels_merge_and_texts_shrink(spark, monkeypatch):
     sizes = []
     add = suffix.IndexFamily.add
