@@ -9,20 +9,20 @@ bounds every pair from counts alone, and those that pass from their longest comm
 while its bound reaches the best score known for its deal; that begins with a filing of the very name, if there is one.
 Days split the search:
 
-* near: filings of ``DAYS`` days and deals of ``SPAN`` times as many meet in blocks, as days add to a score within 90 only; a
-  name is one row with all its days, so that two names are compared once, however many deals and filings have them, and
-  first of all with filings of the very name, after which most deals have the best score there is;
+* near: deals of ``SPAN`` days meet filings of these and ``REACH`` days around in blocks, as days add to a score within 90
+  only; a name is one row with all its days, so that two names are compared once, however many deals and filings have them,
+  and first of all with filings of the very name, after which most deals have the best score there is;
 * far: what days don't add to can reach 1.1 at most, and 1.1 by equal names alone.  Deals that know a better score are
   done; the others meet names in bands of lengths that the bound on lengths allows for the score they have.
 
-Within two blocks the bounds of all pairs are two small matrices; pairs are compared in order of their bound, the best
-first, until no bound reaches what was found.  Rows that repeat names and days are compared once.
+Within two blocks the bounds of all pairs are small matrices; pairs are compared in order of their bound, the best first,
+until no bound reaches what was found.  Near pairs are bounded for each day by what its own filings add, and only those
+that reach the score of some day are compared.  Rows that repeat names and days are compared once.
 """
 
 from __future__ import annotations
 
 import difflib
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,20 +32,25 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.written import written
 
-#: Names of a block, days of a block of filings, how many times as many a block of deals has, and the step from one band of lengths to the next.
+#: Names of a block, how many times as many companies meet them near, days of a block of deals, and the step from one band of lengths to the next.
 BLOCK = 512
-DAYS = 90
-SPAN = 4
+WIDE = 8
+SPAN = 360
 BAND = 1.1
 #: What days (at most so many) and the form add.
 NEAR = ((7, 0.3), (30, 0.2), (90, 0.1))
 FORM_D = 0.1
-_REACH = -(-max(days for days, _ in NEAR) // DAYS)
+REACH = max(days for days, _ in NEAR)
+#: What each level of nearness adds, from the widest to the nearest; 0 is beyond all, which isn't near.
+_ADDS = np.array([-np.inf, *[add for _, add in reversed(NEAR)]])
+_GAPS = np.array([-1, *[days for days, _ in reversed(NEAR)]])
 _MOST = 1.0 + max(add for _, add in NEAR) + FORM_D
 _NO_DAY = -(1 << 31)
 _NO_ID = (1 << 63) - 1
 _BINS = 64
 _ROUNDING = 1e-9
+#: Companies that are bounded at a time, thresholds of counts likewise, filings of a block of companies, places of a name that one machine word has, and lengths from which ``difflib`` knows frequent characters.
+_STEP, _COLUMNS, _FILED, _WORD, _POPULAR = 1024, 512, 1 << 17, 63, 200
 
 
 def counted(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +63,17 @@ def counted(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bounds(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The most that the likeness of each pair can be."""
-    common = np.minimum(a[0][:, None, :], b[0][None, :, :]).sum(-1, dtype=np.uint32)
+    """The most that the likeness of each pair can be.
+
+    The lesser of two counts is the number of thresholds that both reach, so that products of matrices sum it.
+    """
+    most = np.minimum(a[0].max(0, initial=0), b[0].max(0, initial=0)).astype(np.int64)
+    bins = np.repeat(np.arange(_BINS), most)
+    least = np.arange(len(bins)) - np.repeat(np.cumsum(most) - most, most) + 1
+    common = np.zeros((len(a[0]), len(b[0])), np.float64)
+    for k in range(0, len(bins), _COLUMNS):
+        at, t = bins[k : k + _COLUMNS], least[k : k + _COLUMNS]
+        common += (a[0][:, at] >= t).astype(np.float32) @ (b[0][:, at] >= t).astype(np.float32).T
     both = a[1][:, None] + b[1][None, :]
     return np.where(both > 0, 2.0 * common / np.maximum(both, 1), 1.0)
 
@@ -91,17 +105,70 @@ def common_in_order(where: dict[str, int], length: int, other: str) -> int:
     return length - open_places.bit_count()
 
 
+def matched(a: str, b: str) -> int:
+    """Characters in matching blocks: the longest, the first of several in ``a`` and then in ``b``, and those before and after it."""
+    size = at = 0
+    for k in range(len(a)):
+        if len(a) - k <= size:
+            break
+        while k + size < len(a) and a[k : k + size + 1] in b:
+            size, at = size + 1, k
+    if not size:
+        return 0
+    other = b.index(a[at : at + size])
+    return size + matched(a[:at], b[:other]) + matched(a[at + size :], b[other + size :])
+
+
+def likeness(name: str, company: str) -> float:
+    """The ratio of ``difflib``, which leaves out frequent characters of companies from ``_POPULAR`` on."""
+    if max(len(name), len(company)) >= _POPULAR:
+        return difflib.SequenceMatcher(None, name, company).ratio()
+    both = len(name) + len(company)
+    return 2.0 * matched(name, company) / both if both else 1.0
+
+
+class Companies:
+    """Names as columns of characters, against which a name's longest common subsequences are found for all at once."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.sizes = names, np.array([len(n) for n in names], np.int64)
+        points = [np.frombuffer(n[:_STEP].encode("utf-32-le", "surrogatepass"), np.uint32) for n in names]
+        self.alphabet = np.unique(np.concatenate(points)) if points else np.zeros(0, np.uint32)
+        self.codes = np.full((max((len(p) for p in points), default=0), len(names)), len(self.alphabet), np.int32)
+        for k, p in enumerate(points):
+            self.codes[: len(p), k] = np.searchsorted(self.alphabet, p)
+
+    def in_order(self, name: str, some: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of a name and some of the companies."""
+        where = places(name)
+        if len(name) > _WORD:
+            return np.array([common_in_order(where, len(name), self.names[k]) for k in some.tolist()], np.int64)
+        bits = np.zeros(len(self.alphabet) + 1, np.uint64)
+        for c, at in where.items():
+            k = np.searchsorted(self.alphabet, ord(c))
+            if k < len(self.alphabet) and self.alphabet[k] == ord(c):
+                bits[k] = at
+        every = np.uint64((1 << len(name)) - 1)
+        open_places = np.full(len(some), every)
+        for column in self.codes[: self.sizes[some].max(initial=0), some]:
+            met = open_places & bits[column]
+            open_places = open_places + met | open_places - met  # what is carried beyond the name's places never comes back
+        out = len(name) - np.bitwise_count(open_places & every).astype(np.int64)
+        for k in np.flatnonzero(self.sizes[some] > _STEP).tolist():
+            out[k] = common_in_order(where, len(name), self.names[some[k]])
+        return out
+
+
 def best_of(names: list[str], days: np.ndarray, known: np.ndarray, companies: list[str], filed: np.ndarray, form: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
     """``row, filing, likeness, score`` of the best filing of each name that reaches the score known for it.
 
     Matching blocks stand in the same order in both names, so a pair whose counts allow it is held against its longest common
     subsequence before it is compared.
     """
-    mine, theirs = counted(names), counted(companies)
-    compare = difflib.SequenceMatcher(None)
+    every = bounds(counted(names), counted(companies))
     for first in range(0, len(names), 64):
         part = slice(first, first + 64)
-        most = bounds((mine[0][part], mine[1][part]), theirs)
+        most = every[part]
         near = nearness(days[part], filed)
         reach = (most + near) + form
         for row in np.flatnonzero((reach >= known[part, None] - _ROUNDING).any(1)).tolist():
@@ -115,64 +182,122 @@ def best_of(names: list[str], days: np.ndarray, known: np.ndarray, companies: li
                 both = len(name) + len(company)
                 if both and 2 * common_in_order(where, len(name), company) / both + add[0] + add[1] < best - _ROUNDING:
                     continue
-                compare.set_seqs(name, company)
-                likeness = compare.ratio()
-                score = float((likeness + add[0]) + add[1])
+                alike = likeness(name, company)
+                score = float((alike + add[0]) + add[1])
                 if score > best or score == best and (found is None or ids[k] < found[1]):
-                    best, found = score, (first + row, int(ids[k]), likeness, score)
+                    best, found = score, (first + row, int(ids[k]), alike, score)
             if found:
                 yield found
 
 
-@functools.lru_cache(1 << 17)
-def _likeness(name: str, company: str) -> float:
-    return difflib.SequenceMatcher(None, name, company).ratio()
+def levels(owner: np.ndarray, filed: np.ndarray, companies: int, days: int) -> np.ndarray:
+    """For each company and each of so many days from 0 the level of its nearest filing; filings are given by company and day."""
+    out = np.zeros((companies, days), np.int8)
+    for level in range(1, len(_ADDS)):
+        turns = np.zeros((companies, days + 1), np.int32)
+        np.add.at(turns, (owner, np.clip(filed - _GAPS[level], 0, days)), 1)
+        np.add.at(turns, (owner, np.clip(filed + _GAPS[level] + 1, 0, days)), -1)
+        out[np.cumsum(turns[:, :-1], 1, dtype=np.int32) > 0] = level
+    return out
+
 
+class Found:
+    """The best filing of each day of a name so far; ``known`` is the score that it has to reach."""
 
-def best_near(names: list[str], days: list, known: list, companies: list[str], filed: list, form: np.ndarray, ids: list) -> Iterator[tuple[str, int, int, float, float]]:
+    def __init__(self, days: np.ndarray, known: np.ndarray):
+        self.days, self.best = days, known.copy()
+        self.ids, self.alike = np.full(len(days), _NO_ID), np.zeros(len(days))
+
+    def take(self, likeness: float, form: float, at: np.ndarray, level: np.ndarray, filed: np.ndarray, ids: np.ndarray) -> None:
+        """Filings of one company, given their ``level`` for the days ``at``: the least id of those at the level counts."""
+        score = (likeness + _ADDS[level]) + form
+        reached = score >= self.best[at]
+        if reached.any():
+            at, level, score = at[reached], level[reached], score[reached]
+            gap = np.abs(self.days[at, None] - filed[None, :])
+            least = np.where(gap <= _GAPS[level, None], ids[None, :], _NO_ID).min(1)
+            take = (score > self.best[at]) | (least < self.ids[at])
+            at = at[take]
+            self.best[at], self.ids[at], self.alike[at] = score[take], least[take], likeness
+
+    def rows(self, name: str, first: int) -> list[tuple]:
+        return [(name, int(self.days[k]) + first, int(self.ids[k]), float(self.alike[k]), float(self.best[k])) for k in np.flatnonzero(self.ids != _NO_ID).tolist()]
+
+
+def best_near(names: list[str], days: list[np.ndarray], known: list[np.ndarray], first: int, companies: list[str], filed: list[np.ndarray], form: np.ndarray, ids: list[np.ndarray]) -> Iterator[list[tuple]]:
     """``name, day, filing, likeness, score`` of the best filing within ``NEAR`` of each name and day that reaches the score known for it.
 
-    A name comes once with all its days, a company with all its filings, so that two names are compared once for all of them.
+    A name comes once with all its days, a company with all its filings, so that two names are compared once for all of them;
+    days are those of one span that begins at ``first``.
     """
-    mine, theirs, every = counted(names), counted(companies), np.unique(np.concatenate(filed))
-    for first in range(0, len(names), 64):
-        part = slice(first, first + 64)
-        most = bounds((mine[0][part], mine[1][part]), theirs) + form
-        for row, name in enumerate(names[part]):
-            day, best = days[first + row], known[first + row].copy()
-            cap = nearness(day, every).max(1)  # what days can add here
-            reach, where = most[row], places(name)
-            found, alike = np.full(len(day), _NO_ID), np.zeros(len(day))
-            if not (open_days := cap > 0).any():
-                continue
-            rest = np.flatnonzero(reach >= (best - cap)[open_days].min() - _ROUNDING)
-            for k in rest[np.argsort(-reach[rest], kind="stable")].tolist():
-                need = (best - cap)[open_days].min() - _ROUNDING
-                if reach[k] < need:
-                    break
-                company = companies[k]
-                both = len(name) + len(company)
-                if both and 2 * common_in_order(where, len(name), company) / both + form[k] < need:
-                    continue
-                likeness = _likeness(name, company)
-                if likeness + form[k] < need:
-                    continue
-                near = nearness(day, filed[k])
-                level = near.max(1)
-                least = np.where(near == level[:, None], ids[k][None, :], _NO_ID).min(1)
-                score = (likeness + level) + form[k]
-                better = (level > 0) & ((score > best) | (score == best) & (least < found))
-                best, found, alike = np.where(better, score, best), np.where(better, least, found), np.where(better, likeness, alike)
-            for k in np.flatnonzero(found != _NO_ID).tolist():
-                yield name, int(day[k]), int(found[k]), float(alike[k]), float(best[k])
+    theirs = Companies(companies)
+    filed = [f - first for f in filed]
+    level = levels(np.repeat(np.arange(len(filed)), [len(f) for f in filed]), np.concatenate(filed), len(companies), SPAN)
+    most, every = _ADDS[level.max(0)], bounds(counted(names), counted(companies)) + form
+    for name, mine, reach, score in zip(names, days, every, known, strict=True):
+        near = most[mine - first] > -np.inf
+        day = mine[near] - first
+        out, cap = Found(day, score[near]), most[day]
+        if not len(day):
+            continue
+        rest = np.flatnonzero(reach >= (out.best - cap).min() - _ROUNDING)
+        rest = rest[np.argsort(-reach[rest], kind="stable")]
+        k, step = 0, _STEP // 8
+        while k < len(rest):
+            some = rest[k : k + step]
+            k, step = k + step, min(2 * step, _STEP)
+            still = np.flatnonzero(out.best - cap <= reach[some[0]] + _ROUNDING)
+            if not len(still):
+                break
+            _take_all(out, name, theirs, some, reach, level, still, filed, form, ids)
+        yield out.rows(name, first)
+
+
+def _take_all(out: Found, name: str, theirs: Companies, some: np.ndarray, reach: np.ndarray, level: np.ndarray, still: np.ndarray, filed: list[np.ndarray], form: np.ndarray, ids: list[np.ndarray]) -> None:
+    """Holds a name against some companies for the days that are ``still`` open, in order of the most that they can reach on a day."""
+    adds = _ADDS[level[some[:, None], out.days[still][None, :]]]
+    can = (reach[some, None] + adds >= out.best[still] - _ROUNDING).any(1)
+    some, adds = some[can], adds[can]
+    if not len(some):
+        return
+    both = len(name) + theirs.sizes[some]
+    likely = np.where(both > 0, 2 * theirs.in_order(name, some) / np.maximum(both, 1), 1.0) + form[some]
+    reached = likely[:, None] + adds
+    can = np.flatnonzero((reached >= out.best[still] - _ROUNDING).any(1))
+    for j in can[np.argsort(-reached[can].max(1), kind="stable")].tolist():
+        at = still[reached[j] >= out.best[still] - _ROUNDING]
+        if len(at):
+            k = some[j]
+            out.take(likeness(name, theirs.names[k]), form[k], at, level[k, out.days[at]], filed[k], ids[k])
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column of lists of numbers."""
+    if not len(column):
+        return []
+    ends = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy()[ends[0] : ends[-1]], ends[1:-1] - ends[0])
 
 
 def _compared_near(batches):
-    whole = lambda lists, kind=np.int64: [np.array(x, kind) for x in lists]
     for batch in batches:
         for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            yield _table(list(best_near(row["names"], whole(row["days"]), whole(row["known"], np.float64), row["companies"], whole(row["filed"]), np.array(row["form"]), whole(row["ids"]))))
+            of = {n: batch.column(n)[k].values for n in ("names", "days", "known", "companies", "filed", "form", "ids")}
+            found = best_near(of["names"].to_pylist(), [d.astype(np.int64) for d in _lists(of["days"])], _lists(of["known"]), batch.column("span")[k].as_py() * SPAN, of["companies"].to_pylist(), [f.astype(np.int64) for f in _lists(of["filed"])], of["form"].to_numpy(), _lists(of["ids"]))
+            yield _table([row for rows in found for row in rows])
+
+
+def _compared_own(batches):
+    """Names with filings of the very name, each in one row with its days and theirs."""
+    for batch in batches:
+        of = {n: _lists(batch.column(n)) for n in ("days", "known", "filed", "ids")}
+        out: list[tuple] = []
+        for k, (name, span, form) in enumerate(zip(batch.column("name").to_pylist(), batch.column("span").to_pylist(), batch.column("form").to_pylist(), strict=True)):
+            days, filed = of["days"][k].astype(np.int64) - span * SPAN, of["filed"][k].astype(np.int64) - span * SPAN
+            found = Found(days, of["known"][k])
+            found.take(1.0, form, np.arange(len(days)), levels(np.zeros(len(filed), np.int64), filed, 1, SPAN)[0, days], filed, of["ids"][k])
+            out += found.rows(name, span * SPAN)
+        yield _table(out)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -193,18 +318,19 @@ def _compared(batches):
         yield _table(out)
 
 
-def _blocks(rows: DataFrame, key: str, block: str, **lists: str) -> DataFrame:
-    """Rows of one ``key`` in blocks of about ``BLOCK``, each column of ``lists`` as a list; ``key`` has few values."""
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
-    spread = rows.join(F.broadcast(sizes), key).withColumn("_part", F.pmod(F.xxhash64(*lists.values()), F.col("_parts")))
+def _blocks(rows: DataFrame, key: str, block: str, most: Column | None = None, **lists: str) -> DataFrame:
+    """Rows of one ``key`` in blocks, each column of ``lists`` as a list; ``key`` has few values, ``most`` is how many blocks a key needs."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK if most is None else most).alias("_parts"))
+    spread = rows.join(F.broadcast(sizes), key).withColumn("_part", F.pmod(F.xxhash64(next(iter(lists.values()))), F.col("_parts")))
     held = F.collect_list(F.struct(*[F.col(c).alias(name) for name, c in lists.items()]))
     return spread.groupBy(key, "_part").agg(held.alias("_rows")).select(key, F.xxhash64(F.lit(block), key, "_part").alias(block), *[F.col(f"_rows.{name}").alias(name) for name in lists])
 
 
-def _met(a: DataFrame, b: DataFrame, pairs: DataFrame, compared=_compared) -> DataFrame:
-    """The best of each name in pairs of blocks; pairs are spread over blocks of either side, whatever their key."""
-    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a_block", "b_block")  # few bytes, much work
-    return pairs.join(a, "a_block").join(b, "b_block").select("names", "days", "known", "companies", "filed", "form", "ids").mapInArrow(compared, _FOUND)
+def _met(a: DataFrame, b: DataFrame, pairs: DataFrame, compared=_compared, *more: str) -> DataFrame:
+    """The best of each name in pairs of blocks; pairs are spread whole, as there are few blocks of either side and much work in a pair."""
+    parts = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = pairs.join(a, "a_block").join(b, "b_block").repartition(parts, "a_block", "b_block")
+    return met.select("names", "days", "known", "companies", "filed", "form", "ids", *more).mapInArrow(compared, _FOUND)
 
 
 def _band(length: Column) -> Column:
@@ -225,21 +351,19 @@ def best_filing(deals: DataFrame, filings: DataFrame) -> DataFrame:
     a = asked.select("name", "day").distinct().join(same, "name", "left").withColumn("known", F.coalesce(F.lit(1.0) + F.col("same"), F.lit(0.0)))
     equal = a.where("same IS NOT NULL").select("name", "day", F.col("id").alias("filing_id"), F.lit(1.0).alias("likeness"), F.col("known").alias("score"))
 
-    # filings of one name, and then deals of one name, are one row with all their days, as many as a span of days has
-    b_days = b.where(F.col("filed") != _NO_DAY).withColumn("bucket", F.floor(F.col("filed") / DAYS).cast("int"))
-    held = b_days.groupBy("company", "form", "bucket").agg(F.collect_list(F.struct("filed", "id")).alias("f")).select("company", "form", "bucket", F.col("f.filed").alias("filed"), F.col("f.id").alias("ids"))
-    a_days = a.where(F.col("day") != _NO_DAY).withColumn("span", F.floor(F.col("day") / (DAYS * SPAN)).cast("int"))
+    # filings of one name, and deals of one name, are one row with all their days of a span and of those around it
+    reached = F.explode(F.sequence(F.floor((F.col("filed") - REACH) / SPAN).cast("int"), F.floor((F.col("filed") + REACH) / SPAN).cast("int"))).alias("span")
+    b_days = b.where(F.col("filed") != _NO_DAY).select("company", "form", "filed", "id", reached)
+    held = b_days.groupBy("company", "form", "span").agg(F.collect_list(F.struct("filed", "id")).alias("f")).select("company", "form", "span", F.col("f.filed").alias("filed"), F.col("f.id").alias("ids"))
+    a_days = a.where(F.col("day") != _NO_DAY).withColumn("span", F.floor(F.col("day") / SPAN).cast("int"))
     spans = lambda rows: rows.groupBy("name", "span").agg(F.collect_list(F.struct("day", "known")).alias("d")).select("name", "span", F.col("d.day").alias("days"), F.col("d.known").alias("known"))
-    around = F.explode(F.sequence(F.col("span") * SPAN - _REACH, F.col("span") * SPAN + SPAN - 1 + _REACH)).alias("bucket")
-    one = lambda *columns: [F.array(c).alias(c if c != "name" and c != "company" else {"name": "names", "company": "companies"}[c]) for c in columns]
-    own = spans(a_days.where("same IS NOT NULL")).select("name", "days", "known", around).join(held.withColumn("name", F.col("company")), ["name", "bucket"])
-    own = own.select(*one("name", "days", "known", "company", "filed", "form", "ids")).mapInArrow(_compared_near, _FOUND)
+    own = spans(a_days.where("same IS NOT NULL")).join(held.withColumnRenamed("company", "name"), ["name", "span"]).select("name", "span", "days", "known", "form", "filed", "ids").mapInArrow(_compared_own, _FOUND)
     own = written(own.groupBy("name", "day").agg(F.max_by(F.struct("filing_id", "likeness", "score"), F.struct("score", -F.col("filing_id"))).alias("b")).select("name", "day", "b.*"), "likeness-own")
     a_days = a_days.join(own.select("name", "day", F.col("score").alias("_own")), ["name", "day"], "left").withColumn("known", F.greatest("known", F.coalesce("_own", F.lit(0.0))))
     near_a = _blocks(spans(a_days.where(F.col("known") < _MOST - _ROUNDING)), "span", "a_block", names="name", days="days", known="known")
-    near_b = _blocks(held, "bucket", "b_block", companies="company", filed="filed", form="form", ids="ids")
-    pairs = near_a.select("a_block", around).join(near_b.select("b_block", "bucket"), "bucket").drop("bucket")
-    other = _met(near_a.drop("span"), near_b.drop("bucket"), pairs, _compared_near)
+    near_b = _blocks(held, "span", "b_block", F.greatest(F.count("*") / (BLOCK * WIDE), F.sum(F.size("filed")) / _FILED), companies="company", filed="filed", form="form", ids="ids")
+    pairs = near_a.select("a_block", "span").join(near_b.select("b_block", "span"), "span")
+    other = _met(near_a.drop("span"), near_b.drop("span"), pairs, _compared_near, "span")
     near = written(own.unionByName(other), "likeness-near")  # read several times below
 
     known = a.select("name", "day", "known").unionByName(near.select("name", "day", F.col("score").alias("known"))).groupBy("name", "day").agg(F.max("known").alias("known"))

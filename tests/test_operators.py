@@ -320,6 +320,52 @@ def test_deals_of_one_name_meet_filings_as_one(spark, monkeypatch):
     assert 0 < rows_of(spark, before) < 50_000
 
 
+def test_names_are_compared_only_for_days_with_filings_of_their_own(monkeypatch):
+    """Many names alike, each filed on a day of its own: a deal is held against those filed around it, not against all of them."""
+    import numpy as np
+
+    companies = [f"company {k}, inc." for k in range(1000)]
+    names, days = [f"company {k} labs" for k in range(20)], [np.array([k * 18, k * 18 + 5]) for k in range(20)]
+    filed, ids, form = [np.array([k % 360]) for k in range(1000)], [np.array([k]) for k in range(1000)], np.full(1000, 0.1)
+    ran = []
+    monkeypatch.setattr(likeness, "likeness", lambda a, b, to=likeness.likeness: ran.append((a, b)) or to(a, b))
+    got = {row[:2]: row[2:] for rows in likeness.best_near(names, days, [np.zeros(2)] * 20, 0, companies, filed, form, ids) for row in rows}
+    compared = len(set(ran))
+    for name, mine in zip(names, days, strict=True):
+        for day in mine.tolist():
+            scores = [(likeness.likeness(name, c) + add + 0.1, -k, likeness.likeness(name, c)) for k, c in enumerate(companies) if (add := next((add for gap, add in likeness.NEAR if abs(k % 360 - day) <= gap), None))]
+            score, k, alike = max(scores)
+            assert got[name, day] == (-k, alike, pytest.approx(score))
+    assert 0 < compared < 20 * 100  # of 20 * 1000
+
+
+def test_matching_blocks_and_subsequences_are_those_of_plain_ways():
+    import difflib
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    for turn in range(3000):
+        some = lambda: "".join(r.choice("abé😀 "[: r.randint(1, 5)]) for _ in range(r.randint(0, r.choice([6, 25, 90, 210]))))
+        a, others = some(), [some() for _ in range(3)]
+        assert [likeness.likeness(a, b) for b in others] == [difflib.SequenceMatcher(None, a, b).ratio() for b in others]
+        if turn % 10 == 0:
+            others.append("b" * 1100 + a)  # longer than the columns
+            assert likeness.Companies(others).in_order(a, np.arange(4)).tolist() == [likeness.common_in_order(likeness.places(a), len(a), b) for b in others]
+
+
+def test_best_filings_of_long_names(spark):
+    import random
+
+    r = random.Random(11)
+    name = lambda: " ".join(r.choice(["nova robotics", "acme data labs", "orbit health", "zeta quantum"]) for _ in range(r.choice([1, 5, 7, 19])))
+    day = lambda: D(2024, 1, 1) + datetime.timedelta(r.randint(0, 400))
+    filings, deals = [(k, name(), day(), r.choice(["D", "D/A"])) for k in range(60)], [(k, name()[1:], day()) for k in range(60)]
+    got = likeness.best_filing(spark.createDataFrame(deals, DEALS), spark.createDataFrame(filings, FILINGS)).collect()
+    assert {x["deal_id"]: tuple(x) for x in got} == best_of_all_pairs(deals, filings)
+
+
 def test_page_texts_are_made_a_few_at_a_time():
     import tracemalloc
 
