@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed
+from ledgerloom.functions.apart import apart
 from ledgerloom.functions.names import stripped
 
 
@@ -27,6 +28,17 @@ def parsed(amount: Column) -> Column:
     return F.when(~hidden & (F.coalesce(amount, F.lit("")) != ""), value.cast("long"))
 
 
+def parsed_or_plain(amount: Column) -> Column:
+    """``parsed``, for columns where most amounts are a number and a letter, as in $4.2M or $500,000: those are read without its patterns."""
+    unit, number = F.right(amount, F.lit(1)), F.translate(amount, "$,KMB", "").try_cast("double")
+    letters = {letter: fixed.AMOUNT_UNITS[letter.lower()] for letter in "MBK"}
+    plain = F.when(F.lit(False), number)
+    for letter, factor in letters.items():
+        plain = plain.when(unit == letter, number * factor)
+    plain = plain.when(number < 1000, number * 1_000_000).otherwise(number)
+    return F.when(amount.rlike(r"\A\$[0-9][0-9,]*(?:\.[0-9]+)?[KMB]?\z"), plain.cast("long")).otherwise(apart(amount, parsed))
+
+
 def is_real(amount: Column) -> Column:
     """Whether an amount is more than a placeholder."""
     low = stripped(F.lower(amount))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed
 
-_SUFFIX_RUN = "(?:" + "|".join(re.escape(s) for s in fixed.NAME_SUFFIXES) + r")+\z"
+#: A run of suffixes up to the end; it is tried only where one of their first characters stands.
+_SUFFIX_RUN = "(?=[" + re.escape("".join(sorted({s[0] for s in fixed.NAME_SUFFIXES}))) + "])(?:" + "|".join(re.escape(s) for s in fixed.NAME_SUFFIXES) + r")+\z"
 
 
 def stripped(text: Column) -> Column:

@@ -8,7 +8,9 @@ rounds, years and steps of 15 % in amount.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,7 +26,9 @@ OUT = pa.schema([
     ("amount_usd", pa.int64()), ("amount_source", pa.string()), ("day", pa.int32()), ("date_confidence", pa.float64()), ("date_source_count", pa.int64()), ("created", pa.int32()), ("dedup_key", pa.string()), ("amount_key", pa.string()),
 ])
 OUT_DDL = "kind string, seq long, outcome string, tier int, deal_id long, name string, norm string, round_type string, amount string, amount_usd long, amount_source string, day int, date_confidence double, date_source_count long, created int, dedup_key string, amount_key string"
+_TOLD = ["seq", "outcome", "tier", "deal_id"]
 _DEAL = [f.name for f in OUT if f.name not in ("kind", "seq", "outcome", "tier")]
+_deal = operator.itemgetter(*_DEAL)
 
 
 def amounts_agree(n: int | None, other: int | None) -> bool:
@@ -41,17 +45,14 @@ def name_tier(new: dict, old: dict, today: int) -> int | None:
     d, sd, n, sn = new["day"], old["day"], new["amount_usd"], old["amount_usd"]
     age = math.inf if old["created"] is None else today - old["created"]
     gap = None if d is None or sd is None else abs(d - sd)
-
-    def within(days: int, unseen: int) -> bool:
-        if d is not None:
-            return gap <= days if gap is not None else age <= unseen
-        return (age if sd is None else today - sd) <= unseen
-
-    same, round_too = new["low"] == old["low"], new["round_type"] is not None and new["round_type"] == old["round_type"]
-    exact = within(5, 10) if d is not None else within(5, 21) and age <= 21
-    if same and round_too and exact:
+    away = gap if gap is not None else age if d is not None or sd is None else today - sd
+    round_too = new["round_type"] is not None and new["round_type"] == old["round_type"]
+    if away > (365 if round_too else 60) and not (round_too and age <= 30):
+        return None  # beyond all tiers
+    same = new["low"] == old["low"]
+    if same and round_too and (away <= (10 if gap is None else 5) if d is not None else away <= 21 and age <= 21):
         return 1
-    if n and sn is not None and math.floor(n * 0.9) <= sn <= math.floor(n * 1.1) and within(30, 60):
+    if n and sn is not None and math.floor(n * 0.9) <= sn <= math.floor(n * 1.1) and away <= (60 if gap is None else 30):
         return 3
     if gap == 0:
         return 4 if same else 5
@@ -60,7 +61,7 @@ def name_tier(new: dict, old: dict, today: int) -> int | None:
             return 6
         if d is not None and sd is None and age <= 30:
             return 7
-    if round_too and within(365, 365) and (abs(n - sn) <= 0.15 * max(n, sn) if n and sn else gap is None or gap <= 60):
+    if round_too and away <= 365 and (abs(n - sn) <= 0.15 * max(n, sn) if n and sn else gap is None or gap <= 60):
         return 8
     return None
 
@@ -72,6 +73,7 @@ def starts_alike(a: str, b: str) -> bool:
     return a[:start] == b[:start]
 
 
+@functools.lru_cache(1 << 12)
 def matching_keys(key: str) -> list[str]:
     """Names that match one: itself, and it with or without one suffix; a name without a normal form ("=...") matches itself alone."""
     if key.startswith("="):
@@ -87,6 +89,7 @@ class Block:
         self.today = today
         self.deals: dict[int, dict] = {}
         self.named: dict[str, dict[int | None, dict[int, dict]]] = defaultdict(lambda: defaultdict(dict))
+        self.meeting: dict[str, list[dict[int | None, dict[int, dict]]]] = {}
         self.dated: dict[tuple, dict[int, dict]] = defaultdict(dict)
         self.keyed: dict[str, int] = {}
         self.changed: set[int] = set()
@@ -97,6 +100,8 @@ class Block:
 
     def _places(self, deal: dict) -> list[dict]:
         key, day = self._key(deal), deal["day"]
+        if key is not None and key not in self.named:
+            self.meeting.clear()
         slots = [] if key is None else [self.named[key][None if day is None else day // SLOT]]
         return slots + ([] if day is None else [self.dated[day, deal["round_type"]]])
 
@@ -108,13 +113,27 @@ class Block:
             if key is not None:
                 self.keyed[key] = min(self.keyed.get(key, deal["deal_id"]), deal["deal_id"])
 
+    def _met(self, key: str) -> list[dict[int | None, dict[int, dict]]]:
+        """The slots of each name that matches one."""
+        found = self.meeting.get(key)
+        if found is None:
+            found = self.meeting[key] = [self.named[k] for k in matching_keys(key) if k in self.named]
+        return found
+
     def hit(self, new: dict) -> tuple[int, int] | None:
-        """The least tier and deal that a new deal repeats."""
-        best, key, day = None, self._key(new), new["day"]
-        for k in matching_keys(key) if key is not None else []:
-            slots = self.named.get(k)
-            for slot in () if slots is None else list(slots) if day is None else (None, *range(day // SLOT - 1, day // SLOT + 2)):
+        """The least tier and deal that a new deal repeats.
+
+        Where both days are known, no tier takes deals of another round over 30 days away or any over 365, which are most.
+        """
+        best, key, day, round_type = None, self._key(new), new["day"], new["round_type"]
+        around = () if day is None else (None, day // SLOT - 1, day // SLOT, day // SLOT + 1)
+        for slots in self._met(key) if key is not None else ():
+            for slot in around or list(slots):
                 for deal in slots[slot].values() if slot in slots else ():
+                    if around and slot is not None:
+                        gap = abs(day - deal["day"])
+                        if gap > 30 and (gap > 365 or deal["round_type"] != round_type):
+                            continue
                     tier = name_tier(new, deal, self.today)
                     if tier and (best is None or (tier, deal["deal_id"]) < best):
                         best = tier, deal["deal_id"]
@@ -125,9 +144,9 @@ class Block:
                     best = min(best or (9, 0), (2, deal["deal_id"]))
         return best
 
-    def save(self, new: dict) -> dict:
-        """The outcome of a new deal."""
-        tell = lambda outcome, deal_id, tier=None: {"kind": "outcome", "seq": new["seq"], "outcome": outcome, "tier": tier, "deal_id": deal_id}
+    def save(self, new: dict) -> tuple[int, str, int | None, int]:
+        """The outcome of a new deal: ``seq, outcome, tier, deal_id``."""
+        tell = lambda outcome, deal_id, tier=None: (new["seq"], outcome, tier, deal_id)
         if hit := self.hit(new):
             self.merge(self.deals[hit[1]], new)
             return tell("merged", hit[1], hit[0])
@@ -167,24 +186,44 @@ class Block:
         if old["amount_source"] != "sec_form_d" if new["filed"] else new["real"] and not old["real"]:
             old.update({c: new[c] for c in ("amount", "amount_usd", "amount_source", "real")})
 
-    def after(self) -> list[dict]:
+    def after(self) -> list[tuple]:
         """The deals that are new or changed."""
-        return [{"kind": "deal"} | {c: self.deals[k][c] for c in _DEAL} for k in sorted(self.changed)]
+        return [_deal(self.deals[k]) for k in sorted(self.changed)]
+
+
+def _values(column: pa.Array) -> list:
+    """The values of a column; Arrow makes those of strings and whole numbers faster all at once than one by one."""
+    if pa.types.is_list(column.type):
+        ends, flat = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
+        return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    if pa.types.is_floating(column.type):
+        return column.to_pylist()
+    return column.to_pandas(integer_object_nulls=True).tolist()
+
+
+def _batch(kind: str, names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {}
+    arrays = [pa.array([kind] * len(rows) if f.name == "kind" else columns[f.name], f.type) if f.name == "kind" or f.name in columns else pa.nulls(len(rows), f.type) for f in OUT]
+    return pa.RecordBatch.from_arrays(arrays, schema=OUT)
 
 
 def folded(batches: Iterator[pa.RecordBatch], today: int, most: int = 10_000) -> Iterator[pa.RecordBatch]:
     """Outcomes and changed deals of blocks, from rows in order of block, stored before new, and arrival."""
-    block, name, out = Block(today), None, []
+    block, name, told, deals = Block(today), None, [], []
     for batch in batches:
-        for row in batch.to_pylist():
+        names = batch.schema.names
+        for values in zip(*map(_values, batch.columns), strict=True):
+            row = dict(zip(names, values, strict=True))
             if row["block"] != name:
-                out += block.after()
+                deals += block.after()
                 block, name = Block(today), row["block"]
             if row["is_new"]:
-                out.append(block.save(row))
+                told.append(block.save(row))
             else:
                 block.add(row)
-            if len(out) >= most:
-                yield pa.RecordBatch.from_pylist(out, schema=OUT)
-                out = []
-    yield pa.RecordBatch.from_pylist(out + block.after(), schema=OUT)
+            if len(told) + len(deals) >= most:
+                yield _batch("outcome", _TOLD, told)
+                yield _batch("deal", _DEAL, deals)
+                told, deals = [], []
+    yield _batch("outcome", _TOLD, told)
+    yield _batch("deal", _DEAL, deals + block.after())

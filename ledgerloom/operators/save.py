@@ -40,7 +40,7 @@ def _parsed(incoming: DataFrame, as_of: datetime.date) -> DataFrame:
     filed = F.coalesce((F.col("sec_amount_usd") != 0) & (F.col("amount_source") == "sec_form_d"), F.lit(False))
     return incoming.select(
         F.col("new_id").cast("long").alias("deal_id"), F.col("seq").cast("long").alias("seq"), "name", names.normal_form(F.col("name")).alias("norm"), "round_type", F.when(filed, amounts.exact(F.col("sec_amount_usd"))).otherwise(F.col("amount")).alias("amount"),
-        F.when(filed, F.col("sec_amount_usd")).otherwise(amounts.parsed(F.col("amount"))).alias("amount_usd"), F.coalesce("amount_source", F.lit("article")).alias("amount_source"), day.alias("announced_date"),
+        F.when(filed, F.col("sec_amount_usd")).otherwise(amounts.parsed_or_plain(F.col("amount"))).alias("amount_usd"), F.coalesce("amount_source", F.lit("article")).alias("amount_source"), day.alias("announced_date"),
         merge.date_confidence(published, extracted, as_of).cast("double").alias("date_confidence"), F.lit(1).cast("long").alias("date_source_count"), F.lit(as_of).alias("created_date"), filed.alias("filed"),
     )
 

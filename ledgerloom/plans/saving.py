@@ -71,9 +71,9 @@ def _reported(v: Views) -> tuple[DataFrame, DataFrame]:
     suffix = lambda k: F.element_at(F.array(*map(F.lit, ["", " Labs", " AI", ", Inc.", " Health"])), (k % 5 + 1).cast("int"))
     stem = F.substring(F.md5(F.col("company_id").cast("string")), 1, 12)
     deals = v.deals.select("deal_id", F.concat(stem, suffix(F.col("company_id"))).alias("name"), "round_type", F.when(F.col("amount_usd").isNotNull(), amounts.exact(F.col("amount_usd"))).alias("amount"), "amount_usd", "announced_date", "created_date")
-    deals = written(deals, "stored").withColumns({
-        "norm": names.normal_form(F.col("name")), "amount_source": F.lit("article"), "date_confidence": F.lit(0.5), "date_source_count": F.lit(1).cast("long"),
-        "dedup_key": keys.dedup_key(F.col("name"), F.col("round_type"), F.col("announced_date"), AS_OF), "amount_key": keys.amount_key(F.col("name"), F.col("amount_usd"), F.col("announced_date"), AS_OF),
+    deals = written(deals.withColumn("norm", names.normal_form(F.col("name"))), "stored").withColumns({
+        "amount_source": F.lit("article"), "date_confidence": F.lit(0.5), "date_source_count": F.lit(1).cast("long"),
+        "dedup_key": keys.dedup_key_of(F.col("norm"), F.col("round_type"), F.col("announced_date"), AS_OF), "amount_key": keys.amount_key_of(F.col("norm"), F.col("amount_usd"), F.col("announced_date"), AS_OF),
     })
     line, k = v.table("lineitem"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
     whole = F.round(F.col("l_extendedprice") * 1000).cast("long")

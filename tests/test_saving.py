@@ -231,3 +231,38 @@ def test_keys_of_new_deals_are_made_after_the_shuffle(spark, monkeypatch):
     monkeypatch.setattr(module, "written", lambda df, name, to=module.written: tables.setdefault(name, df.columns) and to(df, name))
     assert save(stored_deals(spark, 20, 3), incoming(spark, 20, 4), TODAY)[1].count() == 20
     assert "save-new" in tables and not {"dedup_key", "amount_key", "adjacent"} & set(tables["save-new"])
+
+
+def test_deals_beyond_all_tiers_are_not_looked_at(monkeypatch):
+    """One company with deals of all rounds over many years: a report is held against the few that a tier may take."""
+    looked = []
+    monkeypatch.setattr(fold, "name_tier", lambda new, old, today, to=fold.name_tier: looked.append(old) or to(new, old, today))
+    plain = {"name": "Nova", "norm": "nova", "low": "nova", "created": 0, "amount": None, "amount_usd": None, "amount_source": "article", "real": False, "filed": False, "dedup_key": None, "amount_key": None, "adjacent": [], "placeholder": False, "date_confidence": 0.5, "date_source_count": 1}
+    block = fold.Block(20_000)
+    for k in range(2000):
+        block.add(plain | {"deal_id": k, "day": 10_000 + k * 2, "round_type": f"r{k % 20}"})
+    for day in range(10_100, 13_900, 38):
+        best = min((t, d["deal_id"]) for d in block.deals.values() if (t := fold.name_tier(plain | {"day": day, "round_type": "r3"}, d, 20_000)))
+        looked.clear()
+        assert block.hit(plain | {"day": day, "round_type": "r3"}) == best
+        assert 0 < len(looked) < 60  # of some 550 in the slots around
+
+
+def test_folded_rows_keep_nulls_and_kinds():
+    """Rows of one batch come out as outcomes and deals, whole numbers as such beside nulls."""
+    import pyarrow as pa
+
+    row = {"block": "b", "is_new": True, "seq": 1, "deal_id": 7, "name": "Nova", "low": "nova", "norm": "nova", "round_type": None, "amount": None, "amount_usd": None, "amount_source": "article", "day": None, "placeholder": False, "date_confidence": None, "date_source_count": 1, "created": 5, "real": False, "filed": False, "dedup_key": "k", "amount_key": None, "adjacent": ["x", "y"]}
+    old = row | {"is_new": False, "seq": None, "deal_id": 2**53 + 1, "name": "Other", "low": "other", "norm": "other", "amount_usd": 2**53 + 3, "day": 9, "date_confidence": 0.5, "dedup_key": "x", "adjacent": None}
+    kinds = pa.schema([(n, pa.list_(pa.string()) if n == "adjacent" else pa.bool_() if n in ("is_new", "placeholder", "real", "filed") else pa.float64() if n == "date_confidence" else pa.int32() if n in ("day", "created") else pa.int64() if n in ("seq", "deal_id", "amount_usd", "date_source_count") else pa.string()) for n in row])
+    got = [r for b in fold.folded(iter([pa.RecordBatch.from_pylist([old, row, row | {"seq": 2, "deal_id": 8, "norm": "z", "low": "z", "dedup_key": "q", "adjacent": ["p"]}], kinds)]), 10) for r in b.to_pylist()]
+    assert [(r["kind"], r["seq"], r["outcome"], r["tier"], r["deal_id"]) for r in got] == [("outcome", 1, "adjacent key", None, 2**53 + 1), ("outcome", 2, "inserted", None, 8), ("deal", None, None, None, 8)]
+    assert (got[2]["amount_usd"], got[2]["day"], got[2]["date_confidence"], got[2]["created"]) == (None, None, None, 5)
+
+
+def test_plain_amounts_are_read_as_parsed(spark):
+    from ledgerloom.functions import amounts
+
+    texts = [None, "", "$4M", "$4.25M", "$1,500,000", "$900", "$999.5", "$1000", "$47.5B", "$3K", "$12,3M", "4M", "$4m", "$.5M", "$5.", "$1.2.3M", "undisclosed", "up to $5 million", "$5-10M", "$4M ", "US$7M", "$٤M", "€3M", "$4MM"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", amounts.parsed(F.col("t")).alias("a"), amounts.parsed_or_plain(F.col("t")).alias("b"))
+    assert [r["b"] for r in df.collect()] == [r["a"] for r in df.collect()]
